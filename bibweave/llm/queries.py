@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibweave.llm import exact_dedup, quotations, url_filter
+from bibweave.llm import exact_dedup, jaccard, quotations, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def mail_form(conversations: DataFrame) -> DataFrame:
     """The conversations as mail: every turn after the first opens with the turn before it, quoted, and that one's own quote
     of the turn before, quoted twice. The table itself holds no quotes."""
@@ -41,7 +45,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op5_quotation_linking, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_ngram_jaccard, op5_quotation_linking, op8_exact_dedup)}
 
 ORACLES = {
     "op2_url_filter": r"""
