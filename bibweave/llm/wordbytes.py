@@ -31,6 +31,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+SAME = np.arange(256, dtype=np.uint8)
 POWERS = _powers(BASE, SPAN)
 LEAP = (POWERS[-1:] * BASE)[0]
 
@@ -82,7 +83,8 @@ def word_counts(column: pa.Array) -> np.ndarray:
     return np.diff(np.searchsorted(starts, offsets))
 
 
-def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, mapped through table."""
     out = np.empty(len(starts), dtype=np.uint64)
     a = 0
     while a < len(starts):
@@ -94,7 +96,7 @@ def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         np.cumsum(size[:-1], out=begin[1:])
         place = np.arange(int(size.sum()), dtype=np.int64)
         within = place - np.repeat(begin, size)
-        value = (LOWER[raw[place + np.repeat(s - begin, size)]]).astype(np.uint64) + np.uint64(1)
+        value = (table[raw[place + np.repeat(s - begin, size)]]).astype(np.uint64) + np.uint64(1)
         if size.max() <= SPAN:
             value *= POWERS[within]
         else:
@@ -108,7 +110,7 @@ def hashed_words(column: pa.Array, inside: np.ndarray | None = None) -> tuple[np
     """Hash of every word (A-Z lower-cased), and for each text the n + 1 positions where its words begin."""
     raw, offsets = text_bytes(column)
     starts, ends = word_spans(raw, offsets, ~SPACE if inside is None else inside)
-    return _hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+    return span_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
 def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
