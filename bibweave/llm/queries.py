@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibweave.llm import exact_dedup, jaccard, quotations, url_filter
+from bibweave.llm import exact_dedup, jaccard, mixing, packing, quotations, token_shards, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 # The rules that the url query's contract states (fixed values).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -25,6 +35,13 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken")
+    )
+
+
 def mail_form(conversations: DataFrame) -> DataFrame:
     """The conversations as mail: every turn after the first opens with the turn before it, quoted, and that one's own quote
     of the turn before, quoted twice. The table itself holds no quotes."""
@@ -41,11 +58,15 @@ def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_quotations(mail_form(table(spark, sf_dir, "conversations")))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_ngram_jaccard, op5_quotation_linking, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op8_exact_dedup)}
 
 ORACLES = {
     "op2_url_filter": r"""
