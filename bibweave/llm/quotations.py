@@ -52,17 +52,21 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     base = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     parsed = _lines(base)
     own = F.array_join(F.filter(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.body), lambda b: b != ""), "\n")
-    parsed = parsed.withColumn("own_text", own)
-
-    said = parsed.select(
-        "conv_id", "turn",
-        F.explode(F.array_distinct(F.concat(F.array("own_text"), F.transform(F.filter("runs", lambda x: x.level == 0), lambda x: x.body), F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.body)))).alias("body"),
-    ).select("conv_id", "turn", _key(F.col("body")).alias("key")).where("key IS NOT NULL")
+    of_level_0 = lambda name: F.transform(F.filter(name, lambda x: x.level == 0), lambda x: _key(x.body))
+    parsed = persisted(
+        parsed.withColumn("own_text", own).select(
+            "conv_id", "turn", "role", "own_text",
+            F.coalesce(F.array_max(F.transform("lines", lambda x: x.level)), F.lit(0)).alias("max_level"),
+            F.transform(F.filter("runs", lambda x: x.level > 0), lambda x: F.struct(x.level.alias("level"), _key(x.body).alias("key"))).alias("quotes"),
+            F.array_distinct(F.concat(F.array(_key(F.col("own_text"))), of_level_0("runs"), of_level_0("lines"))).alias("said"),
+        ),
+        "messages",
+    )
+    said = parsed.select("conv_id", "turn", F.explode("said").alias("key")).where("key IS NOT NULL")
     here = said.groupBy("conv_id", "key").agg(F.min("turn").alias("first_turn"))
+    quoted = parsed.select("conv_id", "turn", F.posexplode("quotes").alias("nr", "quote")).select("conv_id", "turn", "nr", "quote.level", "quote.key")
     anywhere = here.groupBy("key").agg(F.min(F.struct("conv_id", "first_turn")).alias("first"))
 
-    quoted = parsed.select("conv_id", "turn", F.posexplode(F.filter("runs", lambda x: x.level > 0)).alias("nr", "run"))
-    quoted = quoted.select("conv_id", "turn", "nr", "run.level", _key(F.col("run.body")).alias("key"))
     linked = (
         quoted.join(here, ["conv_id", "key"], "left")
         .join(anywhere, "key", "left")
@@ -77,9 +81,10 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
         F.count_if(F.col("to_turn").isNull() & F.col("to_conv").isNotNull()).alias("n_linked_elsewhere"),
         F.min(F.when(F.col("to_turn").isNotNull() & (F.col("level") == 1), F.struct("nr", "to_turn")))["to_turn"].alias("reply_to"),
     )
+    per_message = persisted(per_message, "links")
     roots = _roots(per_message.where("reply_to IS NOT NULL").select("conv_id", "turn", "reply_to"))
     links = per_message.join(roots, ["conv_id", "turn"], "left")
-    out = parsed.select("conv_id", "turn", "role", "own_text", F.size(F.filter("runs", lambda x: x.level > 0)).alias("n_quotes"), F.coalesce(F.array_max(F.transform("lines", lambda x: x.level)), F.lit(0)).alias("max_level")).join(links, ["conv_id", "turn"], "left")
+    out = parsed.select("conv_id", "turn", "role", "own_text", F.size("quotes").alias("n_quotes"), "max_level").join(links, ["conv_id", "turn"], "left")
     out = out.withColumns(
         {
             "n_linked": F.coalesce("n_linked", F.lit(0)),
@@ -103,12 +108,12 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
 
 def _roots(replies: DataFrame) -> DataFrame:
     """conv_id, turn, thread_root, thread_depth by pointer doubling: each pass doubles the distance, so a chain of n replies
-    takes log2(n) joins. A parent is always earlier, so there are no cycles."""
-    at = persisted(replies.select("conv_id", "turn", F.col("reply_to").alias("thread_root"), F.lit(1).cast("long").alias("thread_depth")), "replies")
-    while True:
+    takes log2(n) joins, and only messages that have not met their root yet go into the next one. A parent is always
+    earlier, so there are no cycles."""
+    at = persisted(replies.select("conv_id", "turn", F.col("reply_to").alias("thread_root"), F.lit(1).cast("long").alias("thread_depth"), F.lit(True).alias("open")), "replies")
+    while at.where("open").limit(1).count():
         up = at.select("conv_id", F.col("turn").alias("thread_root"), F.col("thread_root").alias("higher"), F.col("thread_depth").alias("more"))
-        step = at.join(up, ["conv_id", "thread_root"], "left")
-        at = persisted(step.select("conv_id", "turn", F.coalesce("higher", "thread_root").alias("thread_root"), (F.col("thread_depth") + F.coalesce("more", F.lit(0))).alias("thread_depth"), F.col("higher").isNotNull().alias("moved")), "threads")
-        if at.where("moved").limit(1).count() == 0:
-            return at.drop("moved")
-        at = at.drop("moved")
+        step = at.where("open").join(up, ["conv_id", "thread_root"], "left")
+        step = step.select("conv_id", "turn", F.coalesce("higher", "thread_root").alias("thread_root"), (F.col("thread_depth") + F.coalesce("more", F.lit(0))).alias("thread_depth"), F.col("higher").isNotNull().alias("open"))
+        at = persisted(at.where("NOT open").unionByName(step), "threads")
+    return at.drop("open")
