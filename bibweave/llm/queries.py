@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibweave.llm import exact_dedup, jaccard, mixing, packing, quotations, token_shards, url_filter
+from bibweave.llm import exact_dedup, jaccard, mixing, mjpeg, packing, quality, quotations, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,25 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op8_exact_dedup)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_media_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = mjpeg.media_column(table(spark, sf_dir, "documents"))
+    shots = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c.first_frame, c.last_frame)), ",")
+    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.lit("frames="), "n_frames", F.lit(";shots="), shots).alias("feature"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op7_toxicity, op8_exact_dedup, op9_quality, op10_media_mjpeg)}
 
 ORACLES = {
     "op2_url_filter": r"""
