@@ -77,6 +77,17 @@ SELECT event_id, ts, user_id % 11 AS host, concat('db', user_id % 11) AS source_
 FROM {events}"""
 
 
+#: Printed lines of each document: a header, then two lines per reference, numbered in two documents of three.
+LINES = f"""
+WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ref_number, ref_id) AS n, title, journal, year, kind FROM ({REFS}) AS f),
+l AS (SELECT DISTINCT doc_id, 0 AS line_no, CASE WHEN doc_id % 5 = 0 THEN 'Kaynaklar' ELSE 'References' END AS text, 50 AS x0, 0 AS gaps FROM r
+    UNION ALL SELECT doc_id, n * 3 - 2, concat(CASE WHEN doc_id % 3 > 0 THEN concat('[', n, '] ') ELSE '' END, substr(title, 1, 20), CASE WHEN kind = 2 THEN '-' ELSE '' END), 50, n FROM r
+    UNION ALL SELECT doc_id, n * 3 - 1, concat(substr(title, 21), '. ', journal, ' ', year), 62, n FROM r
+    UNION ALL SELECT doc_id, n * 3, CASE WHEN n % 4 = 0 THEN ' 17 ' ELSE '' END, 50, n FROM r)
+SELECT doc_id, CAST(floor(line_no / 12.0) + 1 AS INT) AS page, CAST(line_no AS INT) AS line_no, text, CAST(x0 AS DOUBLE) AS x0, CAST(line_no % 12 * 12 + gaps % 12 * 9 AS DOUBLE) AS y0,
+       CAST(x0 + length(text) * 5 AS DOUBLE) AS x1, CAST(line_no % 12 * 12 + gaps % 12 * 9 + 10 AS DOUBLE) AS y1 FROM l"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibweave.functions import fuzzy, identifiers, text
-from bibweave.operators import curation, labels, linkage, reports
-from bibweave.plans.derived import CATALOG, FEED, RAW, REFS, VERDICTS, catalog, derived, duck, refs, view
+from bibweave.operators import curation, extract, labels, layout, linkage, reports
+from bibweave.plans.derived import CATALOG, FEED, LINES, RAW, REFS, VERDICTS, catalog, derived, duck, refs, view
+from bibweave.streaming import feeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -411,3 +412,75 @@ def validate_spans(spark, sf_dir):
 @query()
 def group_split(spark, sf_dir):
     return labels.group_split(refs(spark, sf_dir).select("ref_id", "doc_id"), "doc_id")
+
+
+# --- segmentation
+
+
+def printed_lines(spark, sf_dir):
+    return derived(spark, sf_dir, LINES)
+
+
+@query(f"SELECT doc_id, line_no FROM {duck(LINES)} WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\\s*\\d{{1,3}}\\s*$')")
+def line_filter(spark, sf_dir):
+    return layout.line_filter(printed_lines(spark, sf_dir)).select("doc_id", "line_no")
+
+
+@query(f"""WITH g AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, line_no) AS gap FROM {duck(LINES)})
+    SELECT doc_id, page, min(CASE WHEN gap >= 0 THEN gap END) AS gap, round(avg(y1 - y0), 6) AS height, min(x0) AS left_edge FROM g GROUP BY doc_id, page""")
+def page_baselines(spark, sf_dir):
+    return layout.page_baselines(printed_lines(spark, sf_dir)).withColumnRenamed("left", "left_edge").withColumn("height", F.round("height", 6))
+
+
+@query(f"SELECT doc_id, min(line_no) AS header_line FROM {duck(LINES)} WHERE regexp_matches(text, '(?i)^(references|kaynaklar)$') GROUP BY doc_id")
+def find_header(spark, sf_dir):
+    return layout.find_header(printed_lines(spark, sf_dir))
+
+
+@query(f"""WITH n AS (SELECT doc_id, line_no, TRY_CAST(regexp_extract(text, '^\\[(\\d{{1,3}})\\] *\\S', 1) AS INT) AS n FROM {duck(LINES)}), s AS (SELECT *, row_number() OVER w AS place, n - lag(n) OVER w AS step FROM n WHERE n IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+    SELECT doc_id, count(*) > 2 AND count_if(coalesce(step > 0, false)) >= count(*) // 3 AS valid FROM s WHERE place <= 10 GROUP BY doc_id""")
+def numbering_is_valid(spark, sf_dir):
+    return layout.numbering_is_valid(printed_lines(spark, sf_dir))
+
+
+@query(f"""SELECT doc_id, CAST((line_no + 2) // 3 AS BIGINT) AS ref_no, page, greatest(0, min(x0) - 3) AS x0, greatest(0, min(y0) - 3) AS y0, max(x1) + 3 AS x1, max(y1) + 3 AS y1 FROM {duck(LINES)} WHERE line_no > 0 GROUP BY ALL""")
+def union_boxes(spark, sf_dir):
+    lines = printed_lines(spark, sf_dir).where("line_no > 0").withColumn("ref_no", F.floor((F.col("line_no") + 2) / 3))
+    return layout.union_boxes(lines)
+
+
+@query()
+def segment_references(spark, sf_dir):
+    return layout.segment_references(printed_lines(spark, sf_dir)).select("doc_id", "ref_no", "raw", F.size("boxes").alias("pages"))
+
+
+# --- extraction
+
+
+@query()
+def detect_style(spark, sf_dir):
+    return extract.detect_style(raw_refs(spark, sf_dir).select("ref_id", "raw"))
+
+
+@query()
+def parse_references(spark, sf_dir):
+    return extract.parse_references(raw_refs(spark, sf_dir).select("ref_id", "raw"))
+
+
+# --- the feed in batch form
+
+
+@query(f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, source_db, outcome, count(*) AS n FROM {duck(FEED)} GROUP BY ALL")
+def outcome_rates(spark, sf_dir):
+    return feeds.outcome_rates(feed(spark, sf_dir))
+
+
+@query(f"""WITH w AS (SELECT host, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * unnest([0, 1, 2, 3])) AS start FROM {duck(FEED)})
+    SELECT start, host, count(*) AS n, count(*) > 3 AS over FROM w GROUP BY ALL""")
+def request_rates(spark, sf_dir):
+    return feeds.request_rates(feed(spark, sf_dir), 3)
+
+
+@query(f"""SELECT ref_no, job_no, ts, event_id, source_db, outcome FROM (SELECT *, row_number() OVER (PARTITION BY ref_no ORDER BY job_no DESC, ts DESC, event_id DESC) AS n FROM {duck(FEED)}) WHERE n = 1""")
+def latest_progress(spark, sf_dir):
+    return feeds.latest_progress(feed(spark, sf_dir))
