@@ -138,7 +138,7 @@ def _place(runs: np.ndarray):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, per_bucket: int = 50_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, per_bucket: int = 8_192) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     id_type = docs.schema[id_col].dataType.simpleString()
     columns = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
