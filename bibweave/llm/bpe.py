@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from bibweave.llm.wordbytes import SAME, SPACE, span_hashes, text_bytes
 
-KNOWN = 1_500_000
+KNOWN = 800_000
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 PUNCT = np.zeros(256, dtype=bool)

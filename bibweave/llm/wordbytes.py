@@ -113,7 +113,7 @@ def hashed_words(column: pa.Array, inside: np.ndarray | None = None) -> tuple[np
     return span_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each (a longer text makes a slice alone)."""
     column = batch.column(batch.schema.names.index(text))
     sizes = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
