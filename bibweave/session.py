@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "bibweave", cpus: str | int = "*", **extra) -> SparkSession:
     """A local session with the settings the tests and the bench use; on a cluster, pass your own session instead."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if here not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # Python workers import the package wherever the job starts
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [here, os.environ.get("PYTHONPATH")]))
     conf = {
         "spark.master": f"local[{cpus}]",
         "spark.app.name": app,
