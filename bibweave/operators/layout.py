@@ -65,6 +65,15 @@ def split_numbered(lines: DataFrame) -> DataFrame:
     return rows.where("ref_no IS NOT NULL").select(*lines.columns, "ref_no")
 
 
+def valid_splits(split: DataFrame) -> DataFrame:
+    """doc_id of the documents whose numbered split holds: any references, the first number at most 10 and, of more than two, at
+    least a third of the steps ascending. All references count."""
+    starts = split.groupBy("doc_id", "ref_no").agg(F.min("line_no").alias("line_no"))
+    rows = starts.withColumn("step", F.col("ref_no") - F.lag("ref_no").over(Window.partitionBy("doc_id").orderBy("line_no")))
+    judged = rows.groupBy("doc_id").agg(F.min_by("ref_no", "line_no").alias("first"), F.count("*").alias("n"), F.count_if(F.col("step") > 0).alias("ascending"))
+    return judged.where("first <= 10 AND (n <= 2 OR ascending >= floor(n / 3))").select("doc_id")
+
+
 def split_by_gaps(lines: DataFrame, least_length: int = 30) -> DataFrame:
     """lines with ref_no by blank gaps and by flush lines after indented ones; a group shorter than ``least_length`` joins the
     one before."""
@@ -82,11 +91,12 @@ def split_by_gaps(lines: DataFrame, least_length: int = 30) -> DataFrame:
 
 
 def segment_references(lines: DataFrame) -> DataFrame:
-    """doc_id, ref_no, raw, boxes: after the header, by numbers where they are valid, else by gaps. Lines are put together in
-    order; a line that ends in a hyphen joins without a blank."""
+    """doc_id, ref_no, raw, boxes: after the header, by numbers where that split is not empty and valid, else by gaps. Lines are
+    put together in order; a line that ends in a hyphen joins without a blank."""
     body = persisted(line_filter(lines_after_header(lines, find_header(lines))), "lines")
-    valid = numbering_is_valid(body).where("valid").select("doc_id")
-    split = split_numbered(body.join(valid, "doc_id", "left_semi")).unionByName(split_by_gaps(body.join(valid, "doc_id", "left_anti")))
+    numbered = persisted(split_numbered(body), "numbered")
+    valid = valid_splits(numbered)
+    split = numbered.join(valid, "doc_id", "left_semi").unionByName(split_by_gaps(body.join(valid, "doc_id", "left_anti")))
     split = persisted(split, "split")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     text = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.transform(ordered, lambda s: F.trim(s.text)), "\n"), r"(?<=\p{L})-\n(?=\p{Ll})", ""), r"\s+", " "))

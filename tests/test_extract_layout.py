@@ -87,6 +87,26 @@ def test_segments(spark, sf_dir):
     assert numbered > 100 and {d for d, _ in got} == docs
 
 
+def test_no_document_loses_its_references(spark):
+    def printed(doc, texts):
+        header = [(doc, 1, 0, "References", 50.0, 0.0, 100.0, 10.0)]
+        return header + [(doc, 1, i, t, 50.0, 30.0 * i, 200.0, 30.0 * i + (28 if i % 2 else 10)) for i, t in enumerate(texts, 1)]
+
+    title = "A study of things that is long enough to stand alone"
+    late = printed("late", [f"[{n}] {title}" for n in range(11, 16)])
+    noisy = printed("noisy", [f"{n}. {title}" for n in (1, 9, 8, 7, 6, 5, 4, 3, 2, 2, *range(2, 30))])
+    one = printed("one", [f"[1] {title}"])
+    rows = late + noisy + one
+    got = layout.segment_references(spark.createDataFrame(rows, "doc_id string, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double"))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, {})[r.ref_no] = r.raw
+    assert all(f"[{n}] {title}" in " ".join(found["late"].values()) for n in range(11, 16))
+    # the numbers that follow on start references, whatever the lines between are
+    assert len(found["noisy"]) > 20 and found["noisy"][29] == f"29. {title}"
+    assert found["one"] == {1: f"[1] {title}"}
+
+
 def test_lines_and_boxes(spark):
     items = [("d", 1, 0, "Deep", 0.0, 100.0, 20.0, 10.0), ("d", 1, 1, "learning", 24.0, 100.0, 40.0, 10.0), ("d", 1, 2, "s", 64.0, 100.0, 5.0, 10.0), ("d", 1, 3, "next", 0.0, 80.0, 20.0, 10.0)]
     got = layout.group_items_into_lines(spark.createDataFrame(items, "doc_id string, page int, item int, text string, x double, y double, width double, height double")).collect()
