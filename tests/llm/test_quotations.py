@@ -29,3 +29,26 @@ def test_repeats_clashes_and_empty(spark):
     got = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, key int"))
     assert sorted((r.turn, r.reply_to, r.reply_index) for r in got.collect()) == [(0, None, 1), (0, None, 2), (1, 0, 3)]
     assert link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_trimmed_quotes_other_conversations_and_nulls(spark):
+    rows = [
+        (1, 0, "u", "one fish\ntwo fish\nred fish\nblue fish\nold fish"),
+        (1, 1, "a", "> two fish\n> red fish\nWhich ones?"),
+        (1, 2, "u", "> one fish\n> [...]\nx\n> one fish\n>\n> old fish\ny"),
+        (2, 0, "u", "> red fish\n> blue fish\nI read this elsewhere."),
+        (3, 0, "u", "> said there later\nz"),
+        (3, 1, "a", "said there later"),
+        (4, 5, "u", "said there later"),
+        (None, 0, "u", "left out"),
+        (None, 1, "a", "> left out\nyes"),
+        (5, None, "u", "> one fish\nw"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert (got[1, 1].n_linked, got[1, 1].reply_to, got[1, 1].thread_root) == (1, 0, 0)
+    assert (got[1, 2].n_quotes, got[1, 2].n_linked, got[1, 2].reply_to) == (2, 1, 0)
+    assert (got[2, 0].n_linked, got[2, 0].n_linked_elsewhere) == (0, 1)
+    assert (got[3, 0].n_linked, got[3, 0].n_linked_elsewhere) == (0, 1)
+    assert (got[None, 1].n_linked, got[None, 1].reply_to, got[None, 1].thread_depth, got[None, 1].reply_index) == (1, 0, 1, 2)
+    assert got[5, None].n_linked_elsewhere == 1
