@@ -65,6 +65,58 @@ def block_by_title(refs: DataFrame, works: DataFrame, k: int = 5, rarest: int =
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("ref_id", "work_id", "weight")
 
 
+def title_candidates(refs: DataFrame, works: DataFrame, k: int = 5, rarest: int | None = 3, year_band: int | None = 1, only: DataFrame | None = None) -> DataFrame:
+    """(ref_id, source_db, work_id, weight): for each reference and database the k works with the largest summed idf of ALL shared
+    keys, and every work that ties with the last of them.
+
+    The ``rarest`` keys (None: all) only find works; the weight of a found work counts each key that it shares. ``only``
+    (ref_id, source_db) restricts the search to these databases of a reference.
+    """
+    token = title_keys(works, "work_id").join(works.select("work_id", "source_db", "year"), "work_id")
+    df = token.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(1.0) + 1_000_000) / F.col("df"))
+    keys = persisted(title_keys(refs, "ref_id").join(df, "token").withColumn("idf", idf), "title_keys")
+    wanted = keys.withColumn("rank", F.row_number().over(Window.partitionBy("ref_id").orderBy("df", "token")))
+    if rarest is not None:
+        wanted = wanted.where(F.col("rank") <= rarest)
+    wanted = wanted.select("ref_id", "token").join(refs.select("ref_id", F.col("year").alias("ref_year")), "ref_id")
+    on = ["token"]
+    if year_band is not None:
+        wanted = wanted.withColumn("year", F.explode(F.sequence(F.col("ref_year") - year_band, F.col("ref_year") + year_band)))
+        on = ["token", "year"]
+    else:
+        token = token.drop("year")
+    if only is not None:
+        wanted, on = wanted.join(only, "ref_id"), [*on, "source_db"]
+    found = wanted.join(token, on).select("ref_id", "source_db", "work_id").distinct()
+    if rarest is not None:
+        ref_keys = keys.groupBy("ref_id").agg(F.collect_list(F.struct("token", "idf")).alias("ref_keys"))
+        work_keys = title_keys(works, "work_id").groupBy("work_id").agg(F.collect_list("token").alias("work_keys"))
+        shared = F.filter("ref_keys", lambda x: F.array_contains("work_keys", x.token))
+        weight = F.aggregate(F.array_sort(F.transform(shared, lambda x: x.idf)), F.lit(0.0), lambda a, x: a + x)
+        hits = found.join(ref_keys, "ref_id").join(work_keys, "work_id").select("ref_id", "source_db", "work_id", weight.alias("weight"))
+    else:
+        hits = wanted.join(token, on).join(keys.select("ref_id", "token", "idf"), ["ref_id", "token"]).groupBy("ref_id", "source_db", "work_id").agg(F.sum("idf").alias("weight"))
+    best = Window.partitionBy("ref_id", "source_db").orderBy(F.desc(F.round("weight", 9)))
+    return hits.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= k).drop("rank")
+
+
+def search_by_title(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
+    """Scored pairs (see ``score_pairs``) of references with works found by title.
+
+    First by rare keys in the year band, without a candidate in any year; a reference without a good work then (score HIGH and a
+    title that matches) is looked up once more by all its keys, in the band and in any year.
+    """
+    good = (F.col("score") >= HIGH) & (F.col("title_score") >= TITLE_MATCH)
+    seen = persisted(score_pairs(title_candidates(refs, works, k).select("ref_id", "work_id"), refs, works), "band")
+    again = title_candidates(refs.join(seen.select("ref_id").distinct(), "ref_id", "left_anti"), works, k, year_band=None).select("ref_id", "work_id")
+    seen = seen.unionByName(persisted(score_pairs(again, refs, works), "any_year"))
+    rest = persisted(refs.join(seen.where(good).select("ref_id").distinct(), "ref_id", "left_anti"), "low")
+    more = title_candidates(rest, works, k, rarest=None).unionByName(title_candidates(rest, works, k, rarest=None, year_band=None))
+    more = more.select("ref_id", "work_id").distinct().join(seen, ["ref_id", "work_id"], "left_anti")
+    return seen.unionByName(persisted(score_pairs(more, rest, works), "all_keys"))
+
+
 def candidates(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     """(ref_id, work_id, by): identifiers first; references without one are looked up by title in the year band, and those
     without a candidate then, by title in any year."""
@@ -163,14 +215,12 @@ def strong_match(score: Column, title_score: Column) -> Column:
 def verify(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     """One row per reference: ref_id, status, decision, problem_tags, work_id, source_db, score, title_score, strong.
 
-    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title.
+    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title (``search_by_title``).
     """
     first = score_pairs(match_by_doi(refs, works).unionByName(match_by_arxiv(refs, works)).distinct(), refs, works)
     first = persisted(first.where(F.col("score") >= IDENTIFIER_MATCH), "by_identifier")
     rest = persisted(refs.join(first.select("ref_id").distinct(), "ref_id", "left_anti"), "rest")
-    band = persisted(block_by_title(rest, works, k), "band")
-    wide = block_by_title(rest.join(band, "ref_id", "left_anti"), works, k, year_band=None)
-    second = score_pairs(band.unionByName(wide).select("ref_id", "work_id"), rest, works)
+    second = search_by_title(rest, works, k)
     best = field_agreement(best_match(best_per_database(first.unionByName(second))))
     out = refs.select("ref_id").join(best, "ref_id", "left")
     matched = F.col("work_id").isNotNull()
