@@ -104,12 +104,16 @@ def title_candidates(refs: DataFrame, works: DataFrame, k: int = 5, rarest: int
 def search_by_title(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     """Scored pairs (see ``score_pairs``) of references with works found by title.
 
-    First by rare keys in the year band, without a candidate in any year; a reference without a good work then (score HIGH and a
-    title that matches) is looked up once more by all its keys, in the band and in any year.
+    First by rare keys in the year band. Each database where a reference is not settled then (score HIGH and a title that
+    matches), or has no candidate, is searched again in any year; a reference settled in none of them is looked up once more by
+    all its keys, in the band and in any year.
     """
     good = (F.col("score") >= HIGH) & (F.col("title_score") >= TITLE_MATCH)
     seen = persisted(score_pairs(title_candidates(refs, works, k).select("ref_id", "work_id"), refs, works), "band")
-    again = title_candidates(refs.join(seen.select("ref_id").distinct(), "ref_id", "left_anti"), works, k, year_band=None).select("ref_id", "work_id")
+    settled = seen.where(good)
+    databases = works.select("source_db").distinct()
+    low = refs.select("ref_id").crossJoin(F.broadcast(databases)).join(settled.select("ref_id", F.col("work_source_db").alias("source_db")), ["ref_id", "source_db"], "left_anti")
+    again = title_candidates(refs, works, k, year_band=None, only=low).select("ref_id", "work_id").join(seen, ["ref_id", "work_id"], "left_anti")
     seen = seen.unionByName(persisted(score_pairs(again, refs, works), "any_year"))
     rest = persisted(refs.join(seen.where(good).select("ref_id").distinct(), "ref_id", "left_anti"), "low")
     more = title_candidates(rest, works, k, rarest=None).unionByName(title_candidates(rest, works, k, rarest=None, year_band=None))

@@ -27,3 +27,11 @@ def test_ties_and_wrong_rare_keys_keep_the_true_work(spark):
     got = found(spark, refs, [*stock, true, *wrong, *common])
     assert (got["stock"].work_id, got["stock"].decision) == (9, "valid")
     assert got["misspelt"].work_id == 20
+
+
+def test_a_wrong_year_is_searched_again_in_each_database(spark):
+    title = "routing of harbour towns"
+    other = [work(2, "a long story of harbour lights and other songs", ["Petrov, Karim"]), work(3, "an older tale of harbour people", ["Petrov, Karim"], 2000, "pubmed")]
+    refs = [("r", title, ["Okafor, Dana"], 2000, "Annals of Testing", "")]
+    for db in ("crossref", "openalex"):
+        assert found(spark, refs, [work(1, title, ["Okafor, Dana"], 2006, db), *other])["r"].work_id == 1
