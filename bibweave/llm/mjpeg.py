@@ -5,8 +5,10 @@ JPEG (process SOF3, predictor 1), so every frame is an intra frame that decodes
 code of 9 - k bits: with its k extra bits a sample always takes 9 bits, which numpy packs and unpacks for a whole batch. The
 container is RIFF AVI: headers, a ``movi`` list of ``00dc`` chunks and an ``idx1`` index, by which the reader finds frames.
 
-Shots: a frame starts a shot when its histogram differs from the last frame's by more than the mean plus ``SHARP`` standard
-deviations of the clip's differences, and by a floor. Each shot is a clip row with times at ``FPS`` frames a second.
+Shots: a frame starts a shot when its histogram differs from the last frame's by more than a floor (which allows for the
+sampling error of a short last frame, whose padding doesn't count) and, with ``FEW`` other differences or more in ``NEAR`` places
+to each side, by more than their median plus ``SHARP`` deviations (1.4826 times the median absolute deviation); a difference
+over ``HARD`` needs the floor alone. Each shot is a clip row with times at ``FPS`` frames a second.
 
 Defined results: null and empty texts are one block of 64 zero bytes; equal texts give equal media. A container whose chunks
 or tables aren't of this form raises an error rather than yield wrong samples. Extra columns don't matter.
@@ -31,8 +33,11 @@ ROWS = 64
 FPS = 25
 BITS = 9
 BINS = 16
-SHARP = 2.0
+SHARP = 3.0
 FLOOR = 0.25
+HARD = 1.0  # half of a frame's samples in other bins
+NEAR = 8
+FEW = 5
 
 
 def _codes() -> tuple[np.ndarray, np.ndarray]:
@@ -166,16 +171,24 @@ def decode_files(files: list[bytes]) -> tuple[list[np.ndarray], list[list[int]]]
     return np.split(samples, ends[:-1]), per_file
 
 
-def shots(samples: np.ndarray, rows: list[int]) -> list[tuple[int, int]]:
-    """First and last frame of each shot."""
-    if len(rows) < 3:
+def shots(samples: np.ndarray, rows: list[int], size: int | None = None) -> list[tuple[int, int]]:
+    """First and last frame of each shot; samples from ``size`` on are padding."""
+    if len(rows) < 2:
         return [(0, len(rows) - 1)]
-    frame = np.repeat(np.arange(len(rows)), np.array(rows) * WIDTH)
-    histogram = np.bincount(frame * BINS + (samples >> 4), minlength=len(rows) * BINS).reshape(-1, BINS)
-    share = histogram / histogram.sum(axis=1, keepdims=True)
+    frame = np.repeat(np.arange(len(rows)), np.array(rows) * WIDTH)[:size]
+    histogram = np.bincount(frame * BINS + (samples[:size] >> 4), minlength=len(rows) * BINS).reshape(-1, BINS)
+    n = histogram.sum(axis=1)
+    share = histogram / n[:, None]
     change = np.abs(np.diff(share, axis=0)).sum(axis=1)
-    cut = np.flatnonzero((change > change.mean() + SHARP * change.std()) & (change > FLOOR)) + 1
-    edges = [0, *cut.tolist(), len(rows)]
+    floor = FLOOR + np.sqrt(BINS / np.minimum(n[1:], n[:-1]))
+    cut = []
+    for i in np.flatnonzero(change > floor).tolist():
+        others = np.concatenate((change[max(0, i - NEAR) : i], change[i + 1 : i + 1 + NEAR]))
+        middle = np.median(others) if len(others) >= FEW else 0.0
+        spread = np.median(np.abs(others - middle)) if len(others) >= FEW else 0.0
+        if change[i] > max(floor[i], HARD) or change[i] > middle + SHARP * 1.4826 * spread:
+            cut.append(i + 1)
+    edges = [0, *cut, len(rows)]
     return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
@@ -193,7 +206,7 @@ def _run(with_media: bool):
                 out = []
                 for t, m, s, r in zip(texts, media, samples, rows, strict=True):
                     data = s.tobytes()
-                    clips = [{"clip": i, "first_frame": a, "last_frame": b, "start_s": a / FPS, "end_s": (b + 1) / FPS} for i, (a, b) in enumerate(shots(s, r))]
+                    clips = [{"clip": i, "first_frame": a, "last_frame": b, "start_s": a / FPS, "end_s": (b + 1) / FPS} for i, (a, b) in enumerate(shots(s, r, len(t) or None))]
                     out.append((len(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(r), clips))
                 columns = [part.column(0), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), KINDS, strict=True))]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(media, pa.binary())] if with_media else [])], [*NAMES, *(["media"] if with_media else [])])

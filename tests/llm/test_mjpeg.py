@@ -70,6 +70,26 @@ def test_shots():
     assert mjpeg.shots(np.concatenate([dark] * 5), [64] * 5) == [(0, 4)]
 
 
+def test_shots_of_short_clips_and_several_cuts():
+    tone = lambda v: np.full(4096, v, np.uint8)
+    clip = lambda values: mjpeg.shots(np.concatenate([tone(v) for v in values]), [64] * len(values))
+    assert clip([0, 200]) == [(0, 0), (1, 1)]
+    assert clip([0, 0, 200, 200]) == [(0, 1), (2, 3)]
+    assert clip([0] * 3 + [200] * 3 + [0] * 4) == [(0, 2), (3, 5), (6, 9)]
+    assert clip([0, 200] * 6) == [(i, i) for i in range(12)]
+    # a short last frame of the same kind, whose padding is no picture, is no cut
+    rng = np.random.default_rng(2)
+    for left in (1, 40, 64, 100, 500):
+        text = rng.integers(97, 123, 8192 + left).astype(np.uint8).tobytes()
+        samples = np.frombuffer(mjpeg.padded(text), np.uint8)
+        assert mjpeg.shots(samples, [64, 64, -(-left // 64)], len(text)) == [(0, 2)]
+    # half of a frame moved by a bin stands out among small changes, and doesn't among equal ones
+    mixed = lambda part: np.where(np.arange(4096) < 4096 * part, 200, 0).astype(np.uint8)
+    frames = lambda parts: mjpeg.shots(np.concatenate([mixed(p) for p in parts]), [64] * len(parts))
+    assert frames([0.1, 0.12, 0.1, 0.12, 0.4, 0.42, 0.4, 0.42]) == [(0, 3), (4, 7)]
+    assert frames([0.1, 0.4] * 5) == [(0, 9)]
+
+
 def test_query_and_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "é" * 50_000), (-3, "x" * 64)], "doc_id long, text string")
