@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibweave.functions.fuzzy import title_similarity, venue_similarity
+from bibweave.functions.fuzzy import title_forms, titles_alike, venue_forms, venues_alike
 from bibweave.functions.identifiers import arxiv_base, extract_arxiv, identifier_match, normalize_doi, url_doi
 from bibweave.functions.names import author_agreement
-from bibweave.session import persisted
+from bibweave.session import persisted, spread
 
 HIGH, MEDIUM, TITLE_MATCH, IDENTIFIER_MATCH, VENUE_MATCH = 0.75, 0.50, 0.85, 0.50, 0.75
 LOW_CONFIDENCE, HIGH_CONFIDENCE = 0.3, 0.7
@@ -35,136 +35,92 @@ def match_by_arxiv(refs: DataFrame, works: DataFrame) -> DataFrame:
     return left.join(works.select("work_id", arxiv_base(F.col("arxiv")).alias("arxiv")).where("arxiv <> ''"), "arxiv").select("ref_id", "work_id")
 
 
-def title_keys(titles: DataFrame, key: str) -> DataFrame:
-    """(key, token) with the pairs of neighbouring words of each title; a title of one word is its own key."""
+def title_keys(titles: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` with token: the runs of two and of three words of each title; a title of one word is its own key.
+    Runs of three are rare in any catalog and find most works; runs of two find what a wrong word hides from them."""
     words = F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), 1)
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.col("w"))
-    return titles.select(key, words.alias("w")).select(key, F.explode(F.array_distinct(pairs)).alias("token"))
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    keys = F.when(F.size("w") > 1, F.concat(run(2), run(3))).otherwise(F.col("w"))
+    return titles.select(*keep, words.alias("w")).select(*keep, F.explode(F.array_distinct(keys)).alias("token"))
 
 
-def block_by_title(refs: DataFrame, works: DataFrame, k: int = 5, rarest: int = 3, year_band: int | None = 1) -> DataFrame:
-    """(ref_id, work_id, weight): for each reference and database the k works with the largest summed idf of shared keys.
+def query_terms(works: DataFrame) -> DataFrame:
+    """token, df, idf of the works' title keys; idf is ln(1 + works / df)."""
+    n = works.agg(F.count("*").alias("n"))
+    df = title_keys(works).groupBy("token").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(n)).select("token", "df", F.log1p(F.col("n") / F.col("df")).alias("idf"))  # n is one row
 
-    A reference is looked up by its ``rarest`` keys only, so a frequent key costs nothing unless all of a title's keys are
-    frequent. With a year band, the years around the reference's join as an equi-key.
-    """
-    token = title_keys(works, "work_id").join(works.select("work_id", "source_db", "year"), "work_id")
-    df = token.groupBy("token").agg(F.count("*").alias("df"))
-    wanted = title_keys(refs, "ref_id").join(df, "token")
-    order = Window.partitionBy("ref_id").orderBy("df", "token")
-    wanted = wanted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rarest).join(refs.select("ref_id", F.col("year").alias("ref_year")), "ref_id")
-    on = ["token"]
-    if year_band is not None:
-        wanted = wanted.withColumn("year", F.explode(F.sequence(F.col("ref_year") - year_band, F.col("ref_year") + year_band)))
-        on = ["token", "year"]
-    else:
-        token = token.drop("year")
-    weight = F.log((F.lit(1.0) + 1_000_000) / F.col("df"))
-    hits = wanted.join(token, on).groupBy("ref_id", "source_db", "work_id").agg(F.sum(weight).alias("weight"))
-    best = Window.partitionBy("ref_id", "source_db").orderBy(F.desc("weight"), "work_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("ref_id", "work_id", "weight")
-
-
-def title_candidates(refs: DataFrame, works: DataFrame, k: int = 5, rarest: int | None = 3, year_band: int | None = 1, only: DataFrame | None = None) -> DataFrame:
-    """(ref_id, source_db, work_id, weight): for each reference and database the k works with the largest summed idf of ALL shared
-    keys, and every work that ties with the last of them.
-
-    The ``rarest`` keys (None: all) only find works; the weight of a found work counts each key that it shares. ``only``
-    (ref_id, source_db) restricts the search to these databases of a reference.
-    """
-    token = title_keys(works, "work_id").join(works.select("work_id", "source_db", "year"), "work_id")
-    df = token.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(1.0) + 1_000_000) / F.col("df"))
-    keys = persisted(title_keys(refs, "ref_id").join(df, "token").withColumn("idf", idf), "title_keys")
-    wanted = keys.withColumn("rank", F.row_number().over(Window.partitionBy("ref_id").orderBy("df", "token")))
-    if rarest is not None:
-        wanted = wanted.where(F.col("rank") <= rarest)
-    wanted = wanted.select("ref_id", "token").join(refs.select("ref_id", F.col("year").alias("ref_year")), "ref_id")
-    on = ["token"]
-    if year_band is not None:
-        wanted = wanted.withColumn("year", F.explode(F.sequence(F.col("ref_year") - year_band, F.col("ref_year") + year_band)))
-        on = ["token", "year"]
-    else:
-        token = token.drop("year")
-    if only is not None:
-        wanted, on = wanted.join(only, "ref_id"), [*on, "source_db"]
-    found = wanted.join(token, on).select("ref_id", "source_db", "work_id").distinct()
-    if rarest is not None:
-        ref_keys = keys.groupBy("ref_id").agg(F.collect_list(F.struct("token", "idf")).alias("ref_keys"))
-        work_keys = title_keys(works, "work_id").groupBy("work_id").agg(F.collect_list("token").alias("work_keys"))
-        shared = F.filter("ref_keys", lambda x: F.array_contains("work_keys", x.token))
-        weight = F.aggregate(F.array_sort(F.transform(shared, lambda x: x.idf)), F.lit(0.0), lambda a, x: a + x)
-        hits = found.join(ref_keys, "ref_id").join(work_keys, "work_id").select("ref_id", "source_db", "work_id", weight.alias("weight"))
-    else:
-        hits = wanted.join(token, on).join(keys.select("ref_id", "token", "idf"), ["ref_id", "token"]).groupBy("ref_id", "source_db", "work_id").agg(F.sum("idf").alias("weight"))
-    best = Window.partitionBy("ref_id", "source_db").orderBy(F.desc(F.round("weight", 9)))
-    return hits.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= k).drop("rank")
-
-
-def search_by_title(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
-    """Scored pairs (see ``score_pairs``) of references with works found by title.
-
-    First by rare keys in the year band. Each database where a reference is not settled then (score HIGH and a title that
-    matches), or has no candidate, is searched again in any year; a reference settled in none of them is looked up once more by
-    all its keys, in the band and in any year.
+
+def block_by_title(refs: DataFrame, works: DataFrame, k: int = 5, rarest: int = 3, year_band: int = 1) -> DataFrame:
+    """(ref_id, source_db, work_id, weight): for each reference and database the k works with the largest weight, once among
+    those within ``year_band`` years of it and once in any year, with every work that ties with the last.
+
+    The weight of a work is the summed idf of all keys that it shares with the reference. Works are found by the reference's
+    ``rarest`` keys; where the keys left could still outweigh the best work found, by all its keys. So the work of largest
+    weight is always found, and a frequent key is looked up only where nothing rarer decides. References of one title and
+    year are one question. A title made of frequent keys alone meets all works that hold them: AQE splits that join.
     """
-    good = (F.col("score") >= HIGH) & (F.col("title_score") >= TITLE_MATCH)
-    seen = persisted(score_pairs(title_candidates(refs, works, k).select("ref_id", "work_id"), refs, works), "band")
-    settled = seen.where(good)
-    databases = works.select("source_db").distinct()
-    low = refs.select("ref_id").crossJoin(F.broadcast(databases)).join(settled.select("ref_id", F.col("work_source_db").alias("source_db")), ["ref_id", "source_db"], "left_anti")
-    again = title_candidates(refs, works, k, year_band=None, only=low).select("ref_id", "work_id").join(seen, ["ref_id", "work_id"], "left_anti")
-    seen = seen.unionByName(persisted(score_pairs(again, refs, works), "any_year"))
-    rest = persisted(refs.join(seen.where(good).select("ref_id").distinct(), "ref_id", "left_anti"), "low")
-    more = title_candidates(rest, works, k, rarest=None).unionByName(title_candidates(rest, works, k, rarest=None, year_band=None))
-    more = more.select("ref_id", "work_id").distinct().join(seen, ["ref_id", "work_id"], "left_anti")
-    return seen.unionByName(persisted(score_pairs(more, rest, works), "all_keys"))
-
-
-def candidates(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
-    """(ref_id, work_id, by): identifiers first; references without one are looked up by title in the year band, and those
-    without a candidate then, by title in any year."""
-    known = match_by_doi(refs, works).unionByName(match_by_arxiv(refs, works)).distinct()
-    rest = refs.join(known, "ref_id", "left_anti")
-    band = block_by_title(rest, works, k)
-    wide = block_by_title(rest.join(band, "ref_id", "left_anti"), works, k, year_band=None)
-    named = lambda df, by: df.select("ref_id", "work_id", F.lit(by).alias("by"))
-    return named(known, "identifier").unionByName(named(band, "title")).unionByName(named(wide, "title_any_year"))
-
-
-def _pair(*values) -> Column:
-    return F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit("\u0002")) for v in values]))
+    asked = refs.select("ref_id", F.coalesce("title", F.lit("")).alias("title"), F.col("year").alias("ref_year")).withColumn("q", F.xxhash64("title", "ref_year"))
+    terms = persisted(query_terms(works).withColumn("t", F.xxhash64("token")), "terms")
+    held = persisted(title_keys(works, "work_id").select("work_id", F.xxhash64("token").alias("t")), "work_keys")
+    order = Window.partitionBy("q").orderBy("df", "token")
+    asks = title_keys(asked.dropDuplicates(["q"]), "q", "ref_year").join(terms, "token").withColumn("rank", F.row_number().over(order))
+    asks = persisted(asks.select("q", "ref_year", "t", "idf", "rank"), "ref_keys")
+    asks_of = asks.groupBy("q").agg(F.first("ref_year").alias("ref_year"), F.collect_list(F.struct("t", "idf")).alias("asked"))
+    held_of = works.select("work_id", "source_db", "year").join(held.groupBy("work_id").agg(F.collect_list("t").alias("held")), "work_id")
+    shared = F.array_sort(F.transform(F.filter("asked", lambda x: F.array_contains("held", x.t)), lambda x: x.idf))
+
+    def weighed(keys: DataFrame) -> DataFrame:
+        met = keys.select("q", "t").join(held, "t").select("q", "work_id").distinct()
+        weight, near = F.aggregate(shared, F.lit(0.0), lambda a, x: a + x), F.abs(F.col("year") - F.col("ref_year")) <= year_band
+        return met.join(held_of, "work_id").join(asks_of, "q").select("q", "work_id", "source_db", F.coalesce(near, F.lit(False)).alias("near"), F.round(weight, 9).alias("weight"))
+
+    few = persisted(weighed(asks.where(F.col("rank") <= rarest)), "found")
+    left = asks.where(F.col("rank") > rarest).groupBy("q").agg(F.sum("idf").alias("left"))
+    open_ = left.join(few.groupBy("q").agg(F.max("weight").alias("best")), "q", "left").where(F.coalesce("best", F.lit(0.0)) < F.col("left")).select("q")
+    all_ = weighed(asks.join(open_, "q", "left_semi"))
+    found = few.join(open_, "q", "left_anti").unionByName(all_)
+    level = lambda name, rows: rows.withColumn(name, F.rank().over(Window.partitionBy("q", "source_db").orderBy(F.desc("weight"))))
+    best = level("r", found).withColumn("n", F.rank().over(Window.partitionBy("q", "source_db", "near").orderBy(F.desc("weight"))))
+    best = best.where((F.col("r") <= k) | (F.col("near") & (F.col("n") <= k)))
+    return asked.select("ref_id", "q").join(best, "q").select("ref_id", "source_db", "work_id", "weight")
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """rows with the forms of their titles and venues, made once per row instead of once per pair."""
+    plain, tokens = title_forms(F.col("title"))
+    return rows if "venue_forms" in rows.columns else rows.withColumns({"title_plain": plain, "title_tokens": tokens, "venue_forms": venue_forms(F.col("journal"))})
 
 
 def score_pairs(pairs: DataFrame, refs: DataFrame, works: DataFrame) -> DataFrame:
-    """The pairs with their field scores, raw_score and score. Titles, venues and author lists are compared once per distinct
-    pair of values and joined back."""
+    """One row per pair: ref_id, work_id, work_source_db, the field scores, raw_score, score, and what ``field_agreement`` finds.
+    Two joins fetch the fields, all else is a projection."""
     if "confidence" not in refs.columns:
         refs = refs.withColumn("confidence", F.lit(1.0))
     side = lambda df, key, name: df.select(key, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != key])
-    rows = pairs.join(side(refs, "ref_id", "ref"), "ref_id").join(side(works, "work_id", "work"), "work_id")
-    rows = persisted(rows.withColumns({"title_pair": _pair("ref_title", "work_title"), "venue_pair": _pair("ref_journal", "work_journal"), "author_pair": _pair(F.array_join("ref_authors", "; "), F.array_join("work_authors", "; "))}), "pairs")
-
-    def once(key: str, *columns) -> DataFrame:
-        return rows.select(key, *columns).dropDuplicates([key])
-
-    titles = once("title_pair", "ref_title", "work_title").select("title_pair", title_similarity(F.col("ref_title"), F.col("work_title")).alias("title_score"))
-    venues = once("venue_pair", "ref_journal", "work_journal").select("venue_pair", venue_similarity(F.col("ref_journal"), F.col("work_journal")).alias("venue_score"))
-    lists = persisted(once("author_pair", "ref_authors", "work_authors").toDF("pair_id", "left_authors", "right_authors"), "author_lists")
-    authors = author_agreement(lists).withColumnRenamed("pair_id", "author_pair")
-    rows = rows.join(titles, "title_pair").join(venues, "venue_pair").join(authors, "author_pair").drop("title_pair", "venue_pair", "author_pair")
-
+    rows = pairs.join(side(prepared(refs), "ref_id", "ref"), "ref_id").join(side(prepared(works), "work_id", "work"), "work_id")
+    title = titles_alike(*[(F.col(f"{s}_title_plain"), F.col(f"{s}_title_tokens")) for s in ("ref", "work")])
+    rows = spread(rows, "ref_id", "work_id").withColumns(
+        {"title_score": title, "venue_score": venues_alike(F.col("ref_venue_forms"), F.col("work_venue_forms")), "authors": author_agreement(F.col("ref_authors"), F.col("work_authors"))}
+    )
     gap = F.abs(F.col("ref_year") - F.col("work_year"))
-    year = F.when(gap == 0, 1.0).when(gap == 1, 0.5).otherwise(0.0)
     ref_doi, ref_arxiv = url_doi(F.col("ref_url")), extract_arxiv(F.col("ref_url"))
     same_id = identifier_match(ref_doi, ref_arxiv, normalize_doi(F.col("work_doi")), F.col("work_arxiv"))
-    has_id = ~blank(ref_doi) | ~blank(ref_arxiv)
-    rows = rows.withColumns({"year_score": F.coalesce(year, F.lit(0.0)), "same_identifier": same_id, "has_identifier": has_id, "venue_match": ~blank(F.col("ref_journal")) & ~blank(F.col("work_journal")) & (F.col("venue_score") >= VENUE_MATCH)})
+    rows = rows.withColumns(
+        {
+            "author_score": F.col("authors.score"), "authors_match": F.col("authors.match"), "same_identifier": same_id, "has_identifier": ~blank(ref_doi) | ~blank(ref_arxiv),
+            "year_score": F.coalesce(F.when(gap == 0, 1.0).when(gap == 1, 0.5), F.lit(0.0)), "venue_match": ~blank(F.col("ref_journal")) & ~blank(F.col("work_journal")) & (F.col("venue_score") >= VENUE_MATCH),
+        }
+    )
     titles_only = (F.coalesce("ref_confidence", F.lit(1.0)) < LOW_CONFIDENCE) | (F.coalesce(F.size("ref_authors"), F.lit(0)) <= 0)
     base = F.when(titles_only, F.col("title_score")).otherwise(0.75 * F.col("title_score") + 0.25 * F.col("author_score"))
     extra = lambda c: F.when(c, BONUS).otherwise(0.0)
-    raw = F.greatest(F.lit(0.0), base + extra(F.coalesce(gap <= 1, F.lit(False))) + extra(F.col("venue_match")) + extra(has_id & same_id))
-    return rows.withColumn("raw_score", F.bround(raw, 4)).withColumn("score", F.least(F.lit(1.0), "raw_score"))
+    raw = F.greatest(F.lit(0.0), base + extra(F.col("year_score") > 0) + extra(F.col("venue_match")) + extra(F.col("has_identifier") & F.col("same_identifier")))
+    rows = field_agreement(rows.withColumn("raw_score", F.bround(raw, 4)).withColumn("score", F.least(F.lit(1.0), "raw_score")))
+    return rows.select(
+        "ref_id", "work_id", "work_source_db", F.bround("title_score", 4).alias("title_score"), "author_score", "year_score", "venue_score", "venue_match", "has_identifier", "same_identifier",
+        "raw_score", "score", "title_ok", "authors_ok", "year_ok", "venue_ok", "id_ok",
+    )
 
 
 def best_per_database(scored: DataFrame) -> DataFrame:
@@ -219,13 +175,16 @@ def strong_match(score: Column, title_score: Column) -> Column:
 def verify(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     """One row per reference: ref_id, status, decision, problem_tags, work_id, source_db, score, title_score, strong.
 
-    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title (``search_by_title``).
+    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title (``block_by_title``). Both
+    tables are written once, with the columns needed; the steps read them from there.
     """
-    first = score_pairs(match_by_doi(refs, works).unionByName(match_by_arxiv(refs, works)).distinct(), refs, works)
-    first = persisted(first.where(F.col("score") >= IDENTIFIER_MATCH), "by_identifier")
+    refs = persisted(prepared(refs.select("ref_id", "title", "authors", "year", "journal", "url", *[c for c in ("confidence",) if c in refs.columns])), "refs")
+    works = persisted(prepared(works.select("work_id", "source_db", "title", "authors", "year", "journal", "doi", "arxiv")), "works")
+    first = persisted(score_pairs(match_by_doi(refs, works).unionByName(match_by_arxiv(refs, works)).distinct(), refs, works), "by_identifier")
+    first = first.where(F.col("score") >= IDENTIFIER_MATCH)
     rest = persisted(refs.join(first.select("ref_id").distinct(), "ref_id", "left_anti"), "rest")
-    second = search_by_title(rest, works, k)
-    best = field_agreement(best_match(best_per_database(first.unionByName(second))))
+    second = persisted(score_pairs(block_by_title(rest, works, k).select("ref_id", "work_id"), rest, works), "by_title")
+    best = best_match(best_per_database(first.unionByName(second)))
     out = refs.select("ref_id").join(best, "ref_id", "left")
     matched = F.col("work_id").isNotNull()
     return out.select(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bibweave.session import spread
+
 TOPICS = "adaptive,robust,sparse,bayesian,neural,spectral,causal,stochastic,modular,quantum,recursive,federated,symbolic,latent,convex,temporal"
 FIELDS = "retrieval,inference,planning,scheduling,alignment,diffusion,clustering,routing,sampling,parsing,tracking,forecasting,synthesis"
 FAMILIES = "Keller,Okafor,Lindqvist,Moreau,Tanaka,Baptista,Novak,Rahman,Silva,Johansson,Petrov,Haddad,Ivanova,Castillo,Weber,Nakamura,Oduya,Fischer,Romano"
@@ -92,12 +94,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The table, dealt over the shuffle partitions by a key where its file has fewer splits than there are cores (a file of one
+    row group is one split, however large)."""
+    table = view(spark, sf_dir, name)
+    return table if table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else spread(table, key)
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CATALOG, part=view(spark, sf_dir, "part"))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REFS, part=view(spark, sf_dir, "part"), lineitem=view(spark, sf_dir, "lineitem"))
+    return spark.sql(REFS, part=view(spark, sf_dir, "part"), lineitem=dealt(spark, sf_dir, "lineitem", "l_orderkey"))
 
 
 CATALOG_DUCK = CATALOG.format(part="part")
@@ -105,7 +114,7 @@ REFS_DUCK = REFS.format(part="part", lineitem="lineitem")
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    tables = {t: view(spark, sf_dir, t) for t in ("part", "lineitem", "events", "documents") if "{" + t + "}" in text}
+    tables = {t: dealt(spark, sf_dir, t, "l_orderkey") if t == "lineitem" else view(spark, sf_dir, t) for t in ("part", "lineitem", "events", "documents") if "{" + t + "}" in text}
     return spark.sql(text, **tables)
 
 

@@ -126,17 +126,19 @@ def match_by_doi(spark, sf_dir):
     return linkage.match_by_doi(refs(spark, sf_dir), works(spark, sf_dir))
 
 
-def _keys(sql: str, key: str) -> str:
-    return f"""(SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM (SELECT {key}, regexp_extract_all(lower(title), '[a-z0-9]+') AS w FROM {sql}))"""
+def _keys(sql: str, *keep: str) -> str:
+    cols = ", ".join(keep)
+    return f"""(SELECT {cols}, unnest(list_distinct(CASE WHEN len(w) > 1 THEN list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE w END)) AS token FROM (SELECT {cols}, regexp_extract_all(lower(title), '[a-z0-9]+') AS w FROM {sql}))"""
 
 
-BLOCK = f"""WITH r AS MATERIALIZED (SELECT DISTINCT md5(concat_ws(chr(1), title, authors, year, journal, url)) AS ref_id, title, year FROM {duck(REFS)} WHERE url = ''),
-    w AS MATERIALIZED (SELECT * FROM {duck(CATALOG)}),
-    t AS MATERIALIZED (SELECT k.*, source_db, year FROM {_keys("w", "work_id")} k JOIN w USING (work_id)),
-    df AS (SELECT token, count(*) AS df FROM t GROUP BY token),
-    q AS (SELECT * FROM (SELECT k.ref_id, token, df, row_number() OVER (PARTITION BY k.ref_id ORDER BY df, token) AS n FROM {_keys("r", "ref_id")} k JOIN df USING (token)) WHERE n <= 3),
-    h AS (SELECT q.ref_id, source_db, work_id, sum(ln(1000001.0 / df)) AS weight FROM q JOIN r USING (ref_id) JOIN t ON t.token = q.token AND abs(t.year - r.year) <= 1 GROUP BY ALL)
-    SELECT ref_id, work_id, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, source_db ORDER BY round(weight, 9) DESC, work_id) AS n FROM h) WHERE n <= 5"""
+BLOCK = f"""WITH r AS MATERIALIZED (SELECT DISTINCT title, year, concat_ws('/', title, year) AS q FROM {duck(REFS)}), w AS MATERIALIZED (SELECT * FROM {duck(CATALOG)}),
+    t AS MATERIALIZED (SELECT * FROM {_keys("w", "work_id", "source_db", "year")}), df AS (SELECT token, count(*) AS df, ln(1 + (SELECT count(*) FROM w) / count(*)) AS idf FROM t GROUP BY token),
+    a AS MATERIALIZED (SELECT k.*, df, idf, row_number() OVER (PARTITION BY q ORDER BY df, k.token) AS rank FROM {_keys("r", "q", "year")} k JOIN df USING (token)),
+    p AS MATERIALIZED (SELECT q, work_id, any_value(source_db) AS source_db, bool_or(abs(t.year - a.year) <= 1) AS near, min(rank) <= 3 AS rare, round(sum(idf), 9) AS weight FROM a JOIN t USING (token) GROUP BY q, work_id),
+    o AS (SELECT q FROM (SELECT q, sum(idf) FILTER (rank > 3) AS rest FROM a GROUP BY q) LEFT JOIN (SELECT q, max(weight) AS best FROM p WHERE rare GROUP BY q) USING (q) WHERE rest > coalesce(best, 0)),
+    f AS (SELECT * FROM p WHERE rare OR q IN (FROM o)),
+    b AS (SELECT *, rank() OVER (PARTITION BY q, source_db ORDER BY weight DESC) AS place, rank() OVER (PARTITION BY q, source_db, near ORDER BY weight DESC) AS near_place FROM f)
+    SELECT q AS ref_id, source_db, work_id, round(weight, 6) AS weight FROM b WHERE place <= 5 OR (near AND near_place <= 5)"""
 
 
 def citations(spark, sf_dir):
@@ -145,8 +147,9 @@ def citations(spark, sf_dir):
 
 @query(BLOCK)
 def block_by_title(spark, sf_dir):
-    rest = citations(spark, sf_dir).where("url = ''")
-    return linkage.block_by_title(rest, works(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    """Every distinct title and year of the references as one question."""
+    asked = refs(spark, sf_dir).select(F.concat_ws("/", "title", "year").alias("ref_id"), "title", "year").distinct()
+    return linkage.block_by_title(asked, works(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query()

@@ -38,6 +38,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys over all shuffle partitions. For steps that cost far more time than bytes: adaptive execution and the
+    scan's splits go by bytes alone, and would leave a small table to one core."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared scratch folder and reads it back: cuts the lineage and survives lost executors."""
     path = os.path.join(scratch_root(df.sparkSession), "bibweave", uuid.uuid4().hex, name)

@@ -67,9 +67,9 @@ MATCH = [
 def test_author_lists(spark):
     score = [([], [], 0.0), (["Smith, J.", "Jones, K."], ["John Smith", "Unrelated"], 0.5)]
     rows = [(str(i), a, b) for i, (a, b, _) in enumerate(itertools.chain(MATCH, score))]
-    got = {int(r.pair_id): r for r in names.author_agreement(spark.createDataFrame(rows, "pair_id string, left_authors array<string>, right_authors array<string>")).collect()}
-    assert [got[i].authors_match for i in range(len(MATCH))] == [m for _, _, m in MATCH]
-    assert [got[len(MATCH) + i].author_score for i in range(2)] == [s for _, _, s in score]
+    got = {int(r.pair_id): r for r in spark.createDataFrame(rows, "pair_id string, a array<string>, b array<string>").select("pair_id", names.author_agreement("a", "b").alias("r")).select("pair_id", "r.*").collect()}
+    assert [got[i].match for i in range(len(MATCH))] == [m for _, _, m in MATCH]
+    assert [got[len(MATCH) + i].score for i in range(2)] == [s for _, _, s in score]
 
 
 def test_identifiers(spark):
