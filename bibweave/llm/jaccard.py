@@ -34,8 +34,9 @@ from bibweave.llm.wordbytes import hashed_words, mixed, pieces
 from bibweave.session import persisted
 
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93]
-GROUPS = 64
+GROUPS = 64  # at least; see group_points
 LEAF = 32
+AT_ONCE = 64  # pairs verified together
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -137,9 +138,13 @@ class RTree:
 
 
 def group_points(grams: list[np.ndarray]) -> np.ndarray:
-    points = np.zeros((len(grams), GROUPS), dtype=np.int64)
+    """The group counts of sets. The number of groups grows with the sets (a quarter of their mean size, a power of two, GROUPS
+    at least), so that the minima of unrelated long sets fall short too; the counts then take no more room than the sets."""
+    mean = sum(map(len, grams)) // max(1, len(grams))
+    bits = max(GROUPS.bit_length() - 1, (mean // 4).bit_length())
+    points = np.zeros((len(grams), 1 << bits), dtype=np.int32)
     for i, g in enumerate(grams):
-        points[i] = np.bincount(g.astype(np.uint64) >> np.uint64(58), minlength=GROUPS)
+        points[i] = np.bincount((g >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return points
 
 
@@ -150,16 +155,20 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of a sorted set with each of others."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    begin = np.concatenate(([0], np.cumsum([len(g) for g in others])[:-1]))
+    return np.add.reduceat((one[at] == flat).astype(np.int64), begin)
+
+
 def tile_edges(grams: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect the linked rows of two tiles (side 0 and 1; all in one where every side is 0)."""
+    """Edges that connect the linked rows of two tiles (side 0 and 1; all in one where every side is 0). Only pairs that the tree
+    leaves, and that no edge connects yet, are verified."""
     sizes = np.array([len(g) for g in grams], dtype=np.int64)
     points = group_points(grams)
     parent = list(range(len(grams)))
-    # postings by shingle: rows that hold it, to count the overlaps of one row with many
-    flat = np.concatenate(grams)
-    owner = np.repeat(np.arange(len(grams)), sizes)
-    by = np.argsort(flat, kind="stable")
-    flat, owner = flat[by], owner[by]
     edges = []
     two = bool(side.any())
     inner = np.flatnonzero(side == 1) if two else np.arange(len(grams))
@@ -167,20 +176,18 @@ def tile_edges(grams: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     tree = RTree(points[inner], sizes[inner])
     for a in outer:
         found = inner[tree.search(points[a], int(sizes[a]), percent)]
-        found = found[found != a] if two else found[found > a]
-        mine = _root(parent, a)
-        found = found[[_root(parent, b) != mine for b in found.tolist()]] if len(found) else found
-        if not len(found):
-            continue
-        lo, hi = np.searchsorted(flat, grams[a], "left"), np.searchsorted(flat, grams[a], "right")
-        width = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
-        both = np.bincount(owner[at], minlength=len(grams))[found]
-        for b in found[100 * both >= percent * (sizes[a] + sizes[found] - both)].tolist():
-            x, y = _root(parent, a), _root(parent, b)
-            if x != y:
-                parent[y] = x
-                edges.append((int(a), b))
+        found = found if two else found[found > a]
+        for at in range(0, len(found), AT_ONCE):
+            mine = _root(parent, a)
+            near = [b for b in found[at : at + AT_ONCE].tolist() if _root(parent, b) != mine]
+            if not near:
+                continue
+            both = overlaps(grams[a], [grams[b] for b in near])
+            for b in np.array(near)[100 * both >= percent * (sizes[a] + sizes[near] - both)].tolist():
+                x, y = _root(parent, a), _root(parent, b)
+                if x != y:
+                    parent[y] = x
+                    edges.append((int(a), b))
     return edges
 
 
@@ -197,17 +204,34 @@ def _tile_join(percent: int):
     return run
 
 
+HOT = 2048  # a key of more than 1 / HOT of all rows is dealt over SALTS tasks; fewer than HOT keys can be
+SALTS = 32
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, key: str, count: str = "c") -> DataFrame:
+    """rows joined with ``groups``, an aggregate of them with one row per key and its number of rows. The rows of a hot key are
+    dealt over SALTS tasks by their hash, its one group row is copied to each. The list of hot keys is bounded by HOT."""
+    groups = persisted(groups, "groups")
+    total = groups.agg(F.sum(count).alias("_total"))  # one row
+    hot = F.broadcast(groups.join(F.broadcast(total)).where(F.col(count) * HOT > F.col("_total")).select(F.col(key).alias("_hot")))
+    marked = lambda df, salt: df.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    is_hot = F.col("_hot").isNotNull()
+    left = marked(rows, F.when(is_hot, F.pmod(F.xxhash64(*[c for c in rows.columns if c != "grams"]), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = marked(groups, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right.drop(count), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) of an edge table a, b, by alternating large-star and small-star steps; a
-    hub's neighbours are aggregated map-side, so no task holds a whole component."""
+    """node, label (the smallest node reachable) of an edge table a, b, by alternating large-star and small-star steps. A hub's
+    neighbours are aggregated map-side and dealt over tasks (``dealt_join``), so no task holds a whole component."""
     at = persisted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = at.union(at.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
-        up = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low = up.groupBy("u").agg(F.min("v").alias("m"))
-        small = up.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m").where("x <> m")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
+        large = dealt_join(both, least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
+        up = persisted(large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        low = up.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = dealt_join(up, low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m").where("x <> m")
         new = persisted(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "edges")
         old, now = (d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (at, new))
         at = new
@@ -242,18 +266,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     width = F.size("common") - F.ceil(F.col("n") * (percent / 100) - 1e-6) + 1
     ranked = ranked.withColumn("width", width.cast("int")).where("width > 0")
     blocks = persisted(ranked.select("node", F.explode(F.expr("transform(slice(common, 1, width), s -> s.key)")).alias("key")), "blocks")
-    hubs = blocks.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    joint = components(blocks.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    hubs = blocks.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    joint = components(dealt_join(blocks, hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
     cells = joint.union(joint.select(F.col("label").alias("node"), "label").distinct())
     placed = sets.join(cells, "node")
-    counts = placed.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
-    placed = placed.join(counts, "label").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
+    counts = placed.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / tile_shingles)).cast("int").alias("tiles"), F.count("*").alias("c"))
+    placed = dealt_join(placed, counts, "label").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
     pairs = placed.select(
         "label", "node", "grams", "tile",
         F.explode(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) AS i, greatest(t, tile) AS j))")).alias("at"),
-    ).select("label", "at.i", "at.j", "node", "tile", "grams")
-    linked = components(pairs.groupBy("label", "i", "j").applyInArrow(_tile_join(percent), "a long, b long"))
+    ).select(F.xxhash64("label", "at.i", "at.j").alias("deal"), "label", "at.i", "at.j", "node", "tile", "grams")
+    # dealt by the pair of tiles: grouping by the label's columns alone would keep its pairs where the join put the label
+    pairs = pairs.groupBy("deal", "label", "i", "j")
+    linked = components(pairs.applyInArrow(_tile_join(percent), "a long, b long"))
 
     ids = outline.where("n > 0").groupBy(node.alias("node")).agg(F.min("id").alias("least_id"))
     label = ids.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bibweave.llm.jaccard import RTree, group_points, jaccard_groups
+from bibweave.llm.jaccard import RTree, components, group_points, jaccard_groups
 
 
 def brute(rows, percent=80):
@@ -57,13 +58,40 @@ def test_equals_brute_force(spark, seed, tile):
     assert got == sorted(brute(rows), key=str)
 
 
+def test_long_texts_and_small_tiles(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared, rows = [word() for _ in range(1500)], []
+    for _ in range(6):
+        base = shared + [word() for _ in range(3500)]  # unrelated texts meet in a long passage
+        for c in range(4):
+            copy = list(base)
+            for _ in range(60 * c):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=2).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_tree_prunes_unrelated_long_sets():
+    rng = np.random.default_rng(4)
+    grams = [np.unique(rng.integers(0, 2**63, 8000, dtype=np.uint64) * np.uint64(2)) for _ in range(40)]
+    points, sizes = group_points(grams), np.array([len(g) for g in grams])
+    tree = RTree(points, sizes)
+    assert all(tree.search(points[i], int(sizes[i]), 80).tolist() == [i] for i in range(40))
+
+
+def test_hub_of_many_edges(spark):
+    edges = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(40)] + [(7, 7)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.label for r in got} == {k: 0 for k in range(1, 3000)} | {5001 + k: 5000 for k in range(40)}
+
+
 def test_empty_table(spark):
     assert jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_tree_loses_no_link():
-    import numpy as np
-
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
     grams = [np.unique(np.concatenate([base[: 400 - k], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in range(0, 200, 2)]
