@@ -85,9 +85,10 @@ def _outline(words: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                sets = list(shingle_sets(part.column(1), words))
+                sets = list(shingle_sets(part.column("text"), words))
                 first = _lists([s[: math.ceil(share * len(s))] for s in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), *_digests(sets), first], ["id", "n", "x", "y", "first"])
+                keys = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, keys), *_digests(sets), first], [*keys, "n", "x", "y", "first"])
 
     return run
 
@@ -239,14 +240,13 @@ def components(edges: DataFrame) -> DataFrame:
             return at.select(F.col("b").alias("node"), F.col("a").alias("label"))
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, tile: int = 1024, tile_shingles: int = 1 << 20) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def linked_classes(texts: DataFrame, words: int = 5, percent: int = 80, tile: int = 1024, tile_shingles: int = 1 << 20, keyed: bool = False) -> DataFrame:
+    """id, n, node, label, component of a table id, text (and k1, k2 where ``keyed``), a row for each of its rows: the size of its
+    set, its class of equal sets, the class's component and the smallest id in it."""
     slack = 1 - percent / 100
     share = min(1.0, slack + 0.1)
     node = F.xxhash64("n", "x", "y")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    outline = persisted(texts.mapInArrow(_outline(words, share), "id long, n long, x long, y long, first array<long>"), "outline")
+    outline = persisted(texts.mapInArrow(_outline(words, share), f"id long, {'k1 long, k2 long, ' if keyed else ''}n long, x long, y long, first array<long>"), "outline")
 
     # screen; ids that stand for two classes (repeated ids) or for none (nulls) only make it pass more
     classes = outline.where("n > 0").groupBy("n", "x", "y").agg(F.min("id").alias("id"), F.any_value("first").alias("first"))
@@ -284,6 +284,34 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = outline.where("n > 0").groupBy(node.alias("node")).agg(F.min("id").alias("least_id"))
     label = ids.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component"))
-    found = label.join(least, "label").select("node", "component")
-    out = outline.select("id", "n", F.when(F.col("n") > 0, node).alias("node")).join(found, "node", "left")
-    return out.select(F.col("id").cast(id_type).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).cast(id_type).alias("component_id"))
+    found = label.join(least, "label").select("node", "label", "component")
+    return outline.select("id", *(["k1", "k2"] if keyed else []), "n", F.when(F.col("n") > 0, node).alias("node")).join(found, "node", "left")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id. Options: those of ``linked_classes``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = linked_classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), **options)
+    return found.select(F.col("id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).cast(kind).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, without near copies: one row of each component stays, the one with the smallest id (nulls
+    last), of equal ids the one with the smallest row hash. Rows without words all stay. Rows are told apart by 128 bits of id and
+    text, not by the id: another row that repeats a dropped row's id stays. Of rows equal in both, any one stays."""
+    names = docs.columns
+    fresh = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    ident, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    keyed = fresh.withColumns({f"k{i}": F.xxhash64(F.lit(i), ident, text) for i in (1, 2)})
+    found = persisted(linked_classes(keyed.select(ident.cast("long").alias("id"), text.alias("text"), "k1", "k2"), keyed=True, **options).where("n > 0").select("id", "k1", "k2", "label"), "rows")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    kept = found.groupBy("label").agg(F.min(rank).alias("kept"), F.count("*").alias("c"))
+    kept = kept.where("c > 1").select("label", "c", F.col("kept.k1").alias("kept1"), F.col("kept.k2").alias("kept2"))
+    members = persisted(dealt_join(found, kept, "label"), "members")
+    same = (F.col("k1") == F.col("kept1")) & (F.col("k2") == F.col("kept2"))
+    dropped = members.where(~same).select("k1", "k2").distinct()
+    repeated = persisted(members.where(same).groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2"), "repeated")
+    left = keyed.join(dropped, ["k1", "k2"], "left_anti")
+    if repeated.limit(1).count():
+        left = left.join(repeated, ["k1", "k2"], "left_anti").unionByName(left.join(repeated, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return left.select(*fresh.columns).toDF(*names)

@@ -11,7 +11,7 @@ one kind only, every score is that label's share (0.5 without labels). Null labe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -117,6 +117,12 @@ def score_column(spark, model: CompressionModel, text: Column) -> Column:
     return score(F.coalesce(text, F.lit("")))
 
 
+def weight_on(docs: DataFrame, labels: DataFrame, least: float = 0.05, **options) -> Callable[[Column], Column]:
+    """From a text to its sampling weight: the score of a model fitted on docs and labels, ``least`` at least."""
+    model = fit_on(docs, labels, **options)
+    return lambda text: F.greatest(F.lit(least), score_column(docs.sparkSession, model, text))
+
+
 def learn_rows(ident: Column) -> Column:
     """Ids that may teach: crc32 of the id as text, mod 3, is not 1."""
     return F.coalesce(F.crc32(ident.cast("string")) % 3 != 1, F.lit(False))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibweave.llm import queries
-from bibweave.llm.mixing import mix
+from bibweave.llm.mixing import _row_key, mix, quality_weight
 
 
 def targets(sizes, weights=(5, 2, 1), most=3):
@@ -58,6 +58,36 @@ def test_targets_and_budgets(spark, sf_dir, buckets):
     assert sorted(map(tuple, got)) == sorted(map(tuple, run(docs.repartition(5), buckets=buckets)))
 
 
+@pytest.mark.parametrize(("buckets", "enough"), [(4, 3), (1024, 1 << 16)])
+def test_takes_the_smallest_keys(spark, sf_dir, buckets, enough):
+    """Complete epochs, then the prefix of the key order whose sum is nearest the fraction."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 7 > 0").unionByName(
+        spark.range(3000).selectExpr("id + 100000 AS doc_id", "repeat('%$# ', cast(id % 5 + 1 AS int)) AS text", "'xx' AS lang", "'junk' AS source", "0L AS n_chars")
+    )
+    got = {r.doc_id: r for r in mix(docs, buckets=buckets, enough=enough).collect()}
+    keys = docs.select("doc_id", "source", _row_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), 17).alias("key")).collect()
+    assert all(0 <= r.key < 1 for r in keys)
+    for source in {r.source for r in keys}:
+        rows = sorted((r.key, got[r.doc_id].mix_size, got[r.doc_id].mix_copies) for r in keys if r.source == source and got[r.doc_id].mix_size)
+        one = next(got[r.doc_id] for r in keys if r.source == source)
+        epochs, rest = divmod(one.mix_target, one.mix_source_size)
+        upto, want = 0, []
+        for _, size, _ in rows:
+            if upto < rest and upto + size - rest < rest - upto:
+                want.append(epochs + 1)
+                upto += size
+            else:
+                upto = max(upto, rest)
+                want.append(epochs)
+        assert [c for *_, c in rows] == want
+    assert sum(r.mix_copies for r in got.values() if r.source == "junk") > 0
+
+
+def test_junk_spreads_over_cells(spark):
+    rows = spark.range(20_000).select(_row_key(F.col("id"), F.lit("%$#"), F.lit(0.05), 17).alias("key")).groupBy(F.floor(F.col("key") * 1024)).count()
+    assert rows.agg(F.max("count")).first()[0] < 600
+
+
 def test_query_columns(spark, sf_dir):
     assert queries.op4_source_mixing(spark, sf_dir).columns == ["doc_id", "size", "source_size", "target", "taken"]
 
