@@ -1,8 +1,10 @@
 """The corpus pipeline: quality filter, exact dedup, near dedup, source mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Null texts
-count as empty, rows without an id pass the near-dedup stage, and documents without words leave with the mixing stage, which
-samples words. A document that the mix takes k times is k equal rows from there on.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents, whatever their
+names (extra columns are carried and clash with nothing), and give an empty table for an empty one. Null texts count as empty,
+rows without an id are rows like others, and documents without words leave with the mixing stage, which samples words. Rows are
+dropped one by one: an id that repeats on another text is another document. A document that the mix takes k times is k equal
+rows from there on.
 """
 
 from __future__ import annotations
@@ -18,25 +20,22 @@ from bibweave.session import persisted
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below 0.5 go."""
     model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_quality_score", quality.score_column(spark, model, F.col("text"))).where("_quality_score >= 0.5").drop("_quality_score")
+    return docs.where(quality.score_column(spark, model, F.col("text")) >= 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
+    """Of equal texts the row with the smallest id stays; of rows equal in id and text, one."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    groups = jaccard.jaccard_groups(docs)
-    dropped = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """Of each component of near copies one row stays, with the smallest id (nulls last; ties by row hash)."""
+    return jaccard.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs)
-    return mixed.where("mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """Documents as often as the mix takes them, sampled by quality score."""
+    return mixing.mixed_rows(docs, weigh=quality.weight_on(docs, table(spark, sf_dir, "labels")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
