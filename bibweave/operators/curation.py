@@ -39,7 +39,10 @@ def not_high(results: DataFrame) -> DataFrame:
     return results.where((F.coalesce("status", F.lit("")) != "high") & ~F.coalesce("excluded", F.lit(False)))
 
 
-def second_tier_queue(results: DataFrame, query: Column) -> DataFrame:
+def second_tier_queue(results: DataFrame, query: Column, only: DataFrame | None = None) -> DataFrame:
+    """ref_id, query of the references to search again: low or medium and not excluded, or those of a given list (ref_id)."""
+    if only is not None:
+        return results.join(only.select("ref_id").distinct(), "ref_id", "left_semi").select("ref_id", query.alias("query"))
     return results.where(F.col("status").isin("low", "medium") & ~F.coalesce("excluded", F.lit(False))).select("ref_id", query.alias("query"))
 
 
@@ -57,6 +60,37 @@ def effective_tags(overrides: Column, problems: Column, has_match: Column) -> di
     return {t: F.coalesce(F.try_element_at(overrides, F.lit(t)), F.array_contains(problems, t) & has_match, F.lit(False)) for t in TAGS}
 
 
+def any_tag(tags: dict[str, Column]) -> Column:
+    """Whether any effective tag is raised."""
+    raised = F.lit(False)
+    for t in TAGS:
+        raised = raised | tags[t]
+    return raised
+
+
+def latest_value(edits: DataFrame, column: str) -> DataFrame:
+    """ref_id and the latest value of a log of manual settings (ref_id, ts, column): decisions, statuses. A null clears: no row."""
+    last = edits.groupBy("ref_id").agg(F.max(F.struct("ts", column)).alias("e"))
+    return last.where(f"e.{column} IS NOT NULL").select("ref_id", f"e.{column}")
+
+
+def override_status(results: DataFrame, edits: DataFrame) -> DataFrame:
+    """results with the status that was set by hand last (edits: ref_id, ts, status)."""
+    forced = latest_value(edits, "status").withColumnRenamed("status", "_status")
+    return results.join(forced, "ref_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def bulk_status(refs: DataFrame, documents: DataFrame, status: str) -> DataFrame:
+    """refs with one status for all references of the given documents (doc_id)."""
+    hit = documents.select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    return refs.join(hit, "doc_id", "left").withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).drop("_hit")
+
+
+def delete_document(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of all other documents."""
+    return rows.join(documents.select("doc_id"), "doc_id", "left_anti")
+
+
 def latest_overrides(edits: DataFrame) -> DataFrame:
     """ref_id, overrides map of an edit log (ref_id, tag, value, ts): the latest edit of each tag wins, a null clears."""
     last = edits.groupBy("ref_id", "tag").agg(F.max(F.struct("ts", "value")).alias("e"))
@@ -89,6 +123,32 @@ def merge_second_tier(results: DataFrame, scholar: DataFrame) -> DataFrame:
     return old.unionByName(new.select(old.columns)).withColumn("rank", F.row_number().over(rank))
 
 
+def sort_key(key: str, ascending: bool = True) -> list[Column]:
+    """What to order references by (status, ref_number, decision, excluded): excluded ones come last by status and by decision, whatever
+    the direction; the decisions' direction is turned around; a reference without a number counts as 999."""
+    way = lambda c, up: c.asc() if up else c.desc()
+    last = F.coalesce("excluded", F.lit(False)).asc()
+    if key == "status":
+        return [last, way(sort_rank(F.col("status"), F.lit(False)), ascending)]
+    if key == "decision":
+        order = F.when(F.col("decision") == "fabricated", 0).when(F.col("decision") == "citation", 1).when(F.col("decision") == "valid", 2).otherwise(99)
+        return [last, way(order, not ascending)]
+    return [way(F.coalesce("ref_number", F.lit(999)) if key == "ref_number" else F.coalesce("excluded", F.lit(False)).cast("int"), ascending)]
+
+
+def sort_references(refs: DataFrame, key: str, ascending: bool = True) -> DataFrame:
+    """refs with ``place`` in each document; equal keys by number and id."""
+    order = Window.partitionBy("doc_id").orderBy(*sort_key(key, ascending), "ref_number", "ref_id")
+    return refs.withColumn("place", F.row_number().over(order))
+
+
+def pick_enrichment(candidates: DataFrame) -> DataFrame:
+    """ref_id, cid: of each reference's rows (ref_id, at, overlap, scraped_truncated, cid) the one with the largest overlap, of equal
+    ones the first, if the page cut it and it has a cid."""
+    best = candidates.groupBy("ref_id").agg(F.max_by(F.struct("scraped_truncated", "cid"), F.struct("overlap", -F.col("at"))).alias("b"))
+    return best.where("b.scraped_truncated AND b.cid <> ''").select("ref_id", "b.cid")
+
+
 def sort_rank(status: Column, excluded: Column) -> Column:
     """high < medium < low < in_progress < pending; excluded rows last."""
     order = F.when(status == "high", 0).when(status == "medium", 1).when(status == "low", 2).when(status == "in_progress", 3).otherwise(4)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bibweave.functions.fuzzy import title_forms, titles_alike, venue_forms, venues_alike
 from bibweave.functions.identifiers import arxiv_base, extract_arxiv, identifier_match, normalize_doi, url_doi
-from bibweave.functions.names import author_agreement
+from bibweave.functions.names import author_agreement, family_name
 from bibweave.session import persisted, spread
 
 HIGH, MEDIUM, TITLE_MATCH, IDENTIFIER_MATCH, VENUE_MATCH = 0.75, 0.50, 0.85, 0.50, 0.75
@@ -168,6 +168,55 @@ def decision_tag(matched: Column) -> Column:
     return F.when(matched & ok["authors"] & ok["year"] & ok["title"] & ok["venue"], "valid").when(matched & cited, "citation").otherwise("fabricated")
 
 
+def low_confidence(confidence: Column) -> Column:
+    return F.coalesce(confidence, F.lit(0.0)) < LOW_CONFIDENCE
+
+
+def high_confidence(confidence: Column) -> Column:
+    return F.coalesce(confidence, F.lit(0.0)) >= HIGH_CONFIDENCE
+
+
+#: Venue names that tell nothing (fixed values).
+GENERIC_VENUES = ["proc", "proceedings", "conference", "conf", "journal", "book"]
+
+
+def editor_led(raw: Column) -> Column:
+    """Whether a reference names editors, so that its authors may not be the work's."""
+    return F.lower(F.coalesce(raw, F.lit(""))).rlike(r"\b(?:ed\.|eds\.|editor|editors)\b")  # fixed pattern
+
+
+def specific_container(journal: Column) -> Column:
+    """Whether a venue has six letters and isn't one of the generic ones."""
+    letters = F.regexp_replace(F.lower(F.coalesce(journal, F.lit(""))), "[^a-z]", "")
+    return (F.length(letters) >= 6) & ~letters.isin(*GENERIC_VENUES)
+
+
+def usable_keys(refs: DataFrame) -> DataFrame:
+    """ref_id, use_author, use_container, use_year: which of the optional keys a reference can be searched by."""
+    author = (F.size(F.coalesce("authors", F.array().cast("array<string>"))) > 0) & high_confidence(F.col("confidence")) & ~editor_led(F.col("raw"))
+    return refs.select("ref_id", author.alias("use_author"), specific_container(F.col("journal")).alias("use_container"), F.col("year").isNotNull().alias("use_year"))
+
+
+#: The optional keys as bits of a mask.
+CONTAINER_KEY, AUTHOR_KEY, YEAR_KEY = 1, 2, 4
+
+
+def relaxation_lattice(candidates: DataFrame, k: int = 5) -> DataFrame:
+    """ref_id, source_db, work_id, levels: of candidates (ref_id, source_db, work_id, weight, keys, usable; the two bit masks of the
+    keys that agree and of those the reference can be searched by) the best k of every level, a level being a subset of the usable
+    keys that a search keeps. One pass over one wide set instead of a search per level; ``levels`` counts those that return a work."""
+    rows = candidates.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("(level & usable) = level AND (level & keys) = level")
+    best = Window.partitionBy("ref_id", "source_db", "level").orderBy(F.desc("weight"), "work_id")
+    return rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("ref_id", "source_db", "work_id").agg(F.count("*").alias("levels"))
+
+
+def first_author_filter(candidates: DataFrame, refs: DataFrame, works: DataFrame) -> DataFrame:
+    """Candidates (ref_id, work_id) whose work has an author of the surname of the reference's first author."""
+    first = refs.select("ref_id", F.lower(family_name(F.get("authors", F.lit(0)))).alias("surname")).where("surname <> ''")
+    held = works.select("work_id", F.transform("authors", lambda a: F.lower(family_name(a))).alias("surnames"))
+    return candidates.join(first, "ref_id").join(held, "work_id").where(F.array_contains("surnames", F.col("surname"))).select(*candidates.columns)
+
+
 def strong_match(score: Column, title_score: Column) -> Column:
     return (score >= 1.0) & (title_score >= TITLE_MATCH)
 

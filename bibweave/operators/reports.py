@@ -9,19 +9,28 @@ BANDS = ["high", "medium", "low", "in_progress"]
 DECISIONS = ["valid", "citation", "fabricated"]
 
 
-def status_rollup(results: DataFrame) -> DataFrame:
-    """Per document the number of each band, the total, and whether nothing is in progress."""
+def status_rollup(results: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Per document the number of each band, the total, and whether it is completed: nothing in progress, and any result or the
+    whole job done. ``documents`` (doc_id, job_done) adds documents without results."""
     counts = [F.count_if(F.col("status") == b).alias(b) for b in BANDS]
-    return results.groupBy("doc_id").agg(*counts, F.count("*").alias("total")).withColumn("completed", F.col("in_progress") == 0)
+    per = results.groupBy("doc_id").agg(*counts, F.count("*").alias("total"))
+    if documents is None:
+        return per.withColumn("completed", F.col("in_progress") == 0)
+    every = documents.join(per, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in [*BANDS, "total"]})
+    return every.select("doc_id", *BANDS, "total", ((F.col("in_progress") == 0) & ((F.col("total") > 0) | F.coalesce("job_done", F.lit(False)))).alias("completed"))
 
 
 def decision_rollup(current: DataFrame, prior: DataFrame) -> DataFrame:
-    """Bands and decisions per document and for the corpus (doc_id null); rows in progress fall back to the prior snapshot."""
-    before = prior.select("ref_id", F.col("status").alias("_s"), F.col("decision").alias("_d"))
+    """Bands and decisions per document and for the corpus (doc_id null). A row counts by its settled state, one in progress by the
+    prior snapshot, one without either not at all; a low row with neither a match nor a searched database has no decision."""
+    state = ["status", "decision", "has_match", "n_searched"]
+    before = prior.select("ref_id", *[F.col(c).alias(f"_{c}") for c in state])
     rows = current.join(before, "ref_id", "left")
-    fall = (F.col("status") == "in_progress") & F.col("_s").isNotNull()
-    rows = rows.withColumns({"status": F.when(fall, F.col("_s")).otherwise(F.col("status")), "decision": F.when(fall, F.col("_d")).otherwise(F.col("decision"))})
-    counted = [F.count_if(F.col("status") == b).alias(b) for b in BANDS[:3]] + [F.count_if((F.col("decision") == d) & (F.col("status") != "in_progress")).alias(d) for d in DECISIONS]
+    settled = F.col("status").isin(*BANDS[:3])
+    fall = (F.col("status") == "in_progress") & F.col("_status").isNotNull()
+    rows = rows.withColumns({c: F.when(settled, F.col(c)).when(fall, F.col(f"_{c}")) for c in state})
+    idle = (F.col("status") == "low") & ~F.coalesce("has_match", F.lit(False)) & (F.coalesce("n_searched", F.lit(0)) == 0)
+    counted = [F.count_if(F.col("status") == b).alias(b) for b in BANDS[:3]] + [F.count_if((F.col("decision") == d) & ~idle).alias(d) for d in DECISIONS]
     return rows.rollup("doc_id").agg(*counted, F.count("*").alias("total"))
 
 
@@ -29,19 +38,35 @@ def retrieval_outcomes(events: DataFrame, outcomes: list[str]) -> DataFrame:
     return events.groupBy("source_db").pivot("outcome", outcomes).count().fillna(0)
 
 
-def databases_searched(events: DataFrame) -> DataFrame:
-    return events.groupBy("ref_no").agg(F.array_sort(F.collect_set("source_db")).alias("databases"))
-
-
-def latency_summary(log: DataFrame, value: str, by: str) -> DataFrame:
-    """p50, p95, p99 as the element at floor(n p) of the sorted values, and the mean. Ranks come from counts per distinct
-    value, so one key's rows never sort in one task as long as values repeat or spread."""
-    per = log.groupBy(by, value).agg(F.count("*").alias("c"))
-    upto = per.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value)))
-    n = log.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    at = upto.join(n, by)
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value))).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return at.groupBy(by).agg(F.first("n").alias("n"), *picks, F.first("mean").alias("mean"))
+def databases_searched(events: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Per reference the different databases asked, failures included; in the registry's order (order: source_db, ord) where given,
+    databases that it doesn't list last."""
+    if order is None:
+        return events.groupBy("ref_no").agg(F.array_sort(F.collect_set("source_db")).alias("databases"))
+    rows = events.select("ref_no", "source_db").distinct().join(order, "source_db", "left")
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("ord", F.lit(1 << 30)).alias("ord"), "source_db")))
+    return rows.groupBy("ref_no").agg(F.transform(listed, lambda s: s.source_db).alias("databases"))
+
+
+def latency_summary(log: DataFrame, value: str, by: str, cells: int = 4096) -> DataFrame:
+    """p50, p95, p99 as the element at floor(n p) of the sorted values, and the mean, of each key.
+
+    A key's range is cut into equal cells whose counts find the cell of each percentile; only the different values of these cells
+    are ranked. So a key of any size costs ``cells`` rows and a share of its values, not all of them, in one task.
+    """
+    n = log.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    wanted = [F.struct(F.lit(f"p{round(p * 100)}").alias("p"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("at")) for p in (0.5, 0.95, 0.99)]
+    n = n.withColumn("wanted", F.array(*wanted))
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * cells), F.lit(cells - 1))).otherwise(0)
+    rows = log.where(F.col(value).isNotNull()).join(n.select(by, "low", "high"), by).groupBy(by, cell.alias("cell"), value).agg(F.count("*").alias("c"))
+    along = Window.partitionBy(by).orderBy("cell")
+    upto = rows.groupBy(by, "cell").agg(F.sum("c").alias("c")).withColumn("before", F.sum("c").over(along) - F.col("c"))
+    asked = n.select(by, F.explode("wanted").alias("w")).select(by, "w.p", "w.at")
+    ends = upto.join(asked, by).where((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("c"))).select(by, "cell", "before", "p", "at")
+    inside = Window.partitionBy(by, "cell", "p").orderBy(value)
+    picked = rows.join(ends, [by, "cell"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    out = picked.where(F.col("upto") > F.col("at")).groupBy(by).agg(*[F.min(F.when(F.col("p") == p, F.col(value))).alias(p) for p in ("p50", "p95", "p99")])
+    return out.join(n.select(by, "n", "mean"), by).select(by, "n", "p50", "p95", "p99", "mean")
 
 
 def request_budget(log: DataFrame, key: str, cap: int) -> DataFrame:
@@ -79,17 +104,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def field_divergence(pairs: DataFrame) -> DataFrame:
-    """Shares of extraction pairs that differ: title and journal by score thresholds, authors by Jaccard, year and DOI by value.
-    pairs: title_score, journal_score, a_journal, b_journal, authors_jaccard, a_year, b_year, a_doi, b_doi."""
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    either = (F.coalesce("a_journal", F.lit("")) != "") | (F.coalesce("b_journal", F.lit("")) != "")
-    return pairs.agg(
-        F.count("*").alias("n"), share(F.col("title_score") < 0.90).alias("title"), share(either & (F.col("journal_score") < 0.85)).alias("journal"),
-        share(F.col("authors_jaccard") < 0.8).alias("authors"), share(~F.col("a_year").eqNullSafe(F.col("b_year"))).alias("year"), share(~F.col("a_doi").eqNullSafe(F.col("b_doi"))).alias("doi"),
-    )
-
-
 def diff_references(approved: DataFrame, detected: DataFrame) -> DataFrame:
     """Per document: matched, missing, extra reference numbers, and equal texts."""
     a = approved.select("doc_id", "ref_number", F.col("raw").alias("want"), F.lit(True).alias("in_a"))
@@ -107,6 +121,16 @@ def first_divergence(want: Column, got: Column) -> Column:
     return F.nullif(F.array_position(same, False), F.lit(0).cast("long"))
 
 
+def reference_differences(approved: DataFrame, detected: DataFrame) -> DataFrame:
+    """doc_id, ref_number, kind (missing, extra, shorter, longer, changed) and diverges_at of every reference that isn't equal."""
+    a = approved.select("doc_id", "ref_number", F.col("raw").alias("want"))
+    b = detected.select("doc_id", "ref_number", F.col("raw").alias("got"))
+    both = a.join(b, ["doc_id", "ref_number"], "full").where(~F.col("want").eqNullSafe(F.col("got")))
+    longer = F.length("got") - F.length("want")
+    kind = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "extra").when(longer < 0, "shorter").when(longer > 0, "longer").otherwise("changed")
+    return both.select("doc_id", "ref_number", kind.alias("kind"), first_divergence(F.col("want"), F.col("got")).alias("diverges_at"))
+
+
 def ner_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support of exact spans (ref_id, label, start, end) per label and overall (label null)."""
     key = ["ref_id", "label", "start", "end"]

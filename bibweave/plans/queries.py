@@ -286,12 +286,13 @@ def status_rollup(spark, sf_dir):
     return reports.status_rollup(verdicts(spark, sf_dir))
 
 
-@query(f"""WITH v AS (SELECT doc_id, CASE WHEN kind = 11 AND ref_number > 1 THEN 'low' ELSE status END AS status, CASE WHEN kind = 11 AND ref_number > 1 THEN 'citation' ELSE decision END AS decision FROM {duck(VERDICTS)})
-    SELECT doc_id, count_if(status = 'high') AS high, count_if(status = 'medium') AS medium, count_if(status = 'low') AS low, count_if(decision = 'valid' AND status <> 'in_progress') AS valid,
-    count_if(decision = 'citation' AND status <> 'in_progress') AS citation, count_if(decision = 'fabricated' AND status <> 'in_progress') AS fabricated, count(*) AS total FROM v GROUP BY ROLLUP (doc_id)""")
+@query(f"""WITH v AS (SELECT doc_id, CASE WHEN kind = 11 THEN CASE WHEN ref_number > 1 THEN 'low' END ELSE status END AS status, CASE WHEN kind = 11 AND ref_number > 1 THEN 'citation' ELSE decision END AS decision, kind = 6 AND ref_number % 2 = 0 AS idle FROM {duck(VERDICTS)})
+    SELECT doc_id, count(*) FILTER (status = 'high') AS high, count(*) FILTER (status = 'medium') AS medium, count(*) FILTER (status = 'low') AS low, count(*) FILTER (decision = 'valid' AND status IS NOT NULL) AS valid,
+    count(*) FILTER (decision = 'citation' AND status IS NOT NULL) AS citation, count(*) FILTER (decision = 'fabricated' AND status IS NOT NULL AND NOT idle) AS fabricated, count(*) AS total FROM v GROUP BY ROLLUP (doc_id)""")
 def decision_rollup(spark, sf_dir):
-    v = verdicts(spark, sf_dir)
-    prior = v.where("ref_number > 1").select("ref_id", F.lit("low").alias("status"), F.lit("citation").alias("decision"))
+    """Rows in progress have a prior state but for the first of a document; invented ones of even number were never searched."""
+    v = verdicts(spark, sf_dir).withColumn("n_searched", F.when((F.col("kind") == 6) & (F.col("ref_number") % 2 == 0), 0).otherwise(3))
+    prior = v.where("ref_number > 1").select("ref_id", F.lit("low").alias("status"), F.lit("citation").alias("decision"), F.lit(True).alias("has_match"), F.lit(3).alias("n_searched"))
     return reports.decision_rollup(v, prior)
 
 
@@ -412,7 +413,8 @@ def validate_spans(spark, sf_dir):
     return labels.validate_spans(refs(spark, sf_dir).select(F.col("ref_id").alias("rec_id"), F.col("title").alias("text"), ents.alias("entities")))
 
 
-@query()
+@query(f"""WITH g AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42-', doc_id))) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM {duck(REFS)}))
+    SELECT ref_id, r.doc_id, CASE WHEN rank <= greatest(1, floor(n * 0.7)) THEN 'train' WHEN rank <= greatest(1, floor(n * 0.7)) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM {duck(REFS)} r JOIN g USING (doc_id)""")
 def group_split(spark, sf_dir):
     return labels.group_split(refs(spark, sf_dir).select("ref_id", "doc_id"), "doc_id")
 
@@ -424,7 +426,7 @@ def printed_lines(spark, sf_dir):
     return derived(spark, sf_dir, LINES)
 
 
-@query(f"SELECT doc_id, line_no FROM {duck(LINES)} WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\\s*\\d{{1,3}}\\s*$')")
+@query(f"SELECT doc_id, line_no FROM {duck(LINES)} WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\\s*\\d{{1,3}}\\s*$') AND NOT regexp_matches(text, '(?i)^(references|kaynaklar)$')")
 def line_filter(spark, sf_dir):
     return layout.line_filter(printed_lines(spark, sf_dir)).select("doc_id", "line_no")
 

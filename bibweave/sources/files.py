@@ -14,10 +14,10 @@ DEFAULT_RULES = "thesis | theses are checked by hand\narxiv | preprint\nproceedi
 
 
 def read_text_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed documents to one row per printed line."""
+    """Parsed documents to one row per printed line; line_no counts on over the pages of a document."""
     docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
-    pages = docs.select(F.col("id").alias("doc_id"), F.explode("pages").alias("p"))
-    lines = pages.select("doc_id", F.col("p.page_num").alias("page"), F.posexplode("p.text_blocks").alias("line_no", "b"))
+    blocks = F.flatten(F.transform("pages", lambda p: F.transform(p.text_blocks, lambda b: F.struct(p.page_num.alias("page"), b.alias("b")))))
+    lines = docs.select(F.col("id").alias("doc_id"), F.posexplode(blocks).alias("line_no", "x")).select("doc_id", "x.page", "line_no", "x.b")
     box = [F.get("b.bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
     return lines.select("doc_id", "page", "line_no", "b.text", *box, "b.font_size", "b.font_name", "b.is_bold")
 

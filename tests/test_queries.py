@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from bibweave.plans.queries import ORACLES, QUERIES
+from bibweave.plans.registered import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
