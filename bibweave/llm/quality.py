@@ -4,8 +4,8 @@ zstandard dictionaries are trained on good and on bad labelled texts. A text is
 sizes, normalised by the text's length and by their sum, and the compressed share itself (junk that repeats one word shrinks
 to nothing with either) go through a logistic calibration fitted on labelled texts that the dictionaries have not seen.
 
-Bounds: ``sample`` labelled rows of each label (by hash order of the id), of each at most ``most_bytes`` bytes, reach the
-driver for fitting; every whole text is scored. Defined results: null and empty texts score as the empty text; with labels of
+Bounds: ``sample`` labelled rows of each label (by hash order of the id), whole texts of at most ``most_bytes`` together, reach
+the driver for fitting; every whole text is scored, in slices of a few megabytes. Defined results: null and empty texts score as the empty text; with labels of
 one kind only, every score is that label's share (0.5 without labels). Null labels and null ids teach nothing.
 """
 
@@ -18,23 +18,28 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from bibweave.llm.wordbytes import pieces
+
 LEVEL = 3
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, bytes, int]]:
-    """(hash, text, label) of at most ``sample`` rows of each label among the ids that ``learn`` admits, in hash order."""
+    """(hash, text, label) of at most ``sample`` rows of each label among the ids that ``learn`` admits, in hash order, each text
+    whole; in all at most ``most_bytes``, of which one text may take an eighth (longer ones are not chosen)."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(learn & F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64(F.lit(label), "_id"))
     parts = [known.where(F.col("_y") == y).orderBy("_h", "_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample rows
-    rows = docs.select(F.col(id_col).alias("_id"), F.substring(F.encode(F.coalesce(text_col, F.lit("")), "utf-8"), 1, most_bytes).alias("_t")).join(chosen, "_id")
+    text = F.encode(F.coalesce(text_col, F.lit("")), "utf-8")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).join(chosen, "_id").where(F.length("_t") <= most_bytes // 8)
     # ids may repeat in docs: one text of each, so the bound holds
     rows = rows.groupBy("_id", "_h", "_y").agg(F.min("_t").alias("_t"))
-    return sorted((r["_h"], bytes(r["_t"]), r["_y"]) for r in rows.collect())
+    upto = F.sum(F.length("_t")).over(Window.orderBy("_h", "_id"))  # 2 * sample rows at most
+    return sorted((r["_h"], bytes(r["_t"]), r["_y"]) for r in rows.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).collect())
 
 
 @dataclass
@@ -65,8 +70,8 @@ def compressors(good: bytes, bad: bytes) -> tuple[zstandard.ZstdCompressor, ...]
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary; with too few samples for training, the samples themselves."""
-    cut = [t[i : i + 2048] for t in texts for i in range(0, min(len(t), 8192), 2048)]
+    """A dictionary trained on the whole texts, in pieces of 2 KB; with too few pieces for training, the pieces themselves."""
+    cut = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
     cut = [c for c in cut if c]
     while size >= 1024 and len(cut) >= 8:
         try:
@@ -112,7 +117,9 @@ def score_column(spark, model: CompressionModel, text: Column) -> Column:
     @F.arrow_udf(DoubleType())
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            yield pa.array(held.value.scores([t.encode() for t in column.to_pylist()]))
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            parts = [held.value.scores([t.encode() for t in part.column(0).to_pylist()]) for part in pieces(batch, "text")]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(F.coalesce(text, F.lit("")))
 
@@ -128,7 +135,7 @@ def learn_rows(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string")) % 3 != 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
+def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
     return fit(labelled_sample(docs, labels, "quality", learn_rows(F.col("_id")), sample, most_bytes, id_col, text_col))
 
 

@@ -33,13 +33,14 @@ def _lines(messages: DataFrame) -> DataFrame:
             F.trim(F.regexp_replace(x, MARKS, "")).alias("body"),
         ),
     )
-    run = F.expr(
-        """aggregate(lines, cast(array() as array<struct<level:int,body:string>>), (acc, x) ->
-             CASE WHEN size(acc) > 0 AND acc[size(acc) - 1].level = x.level
-                  THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('level', x.level, 'body', concat(acc[size(acc) - 1].body, '\n', x.body))))
-                  ELSE concat(acc, array(named_struct('level', x.level, 'body', x.body))) END)"""
+    n = F.size("lines")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
+    after = F.concat(F.slice("first", 2, F.greatest(F.size("first") - 1, F.lit(1))), F.array(n))
+    run = F.transform(
+        F.arrays_zip("first", "after"),
+        lambda x: F.struct(F.get("lines", x["first"])["level"].alias("level"), F.array_join(F.transform(F.slice("lines", x["first"] + 1, x["after"] - x["first"]), lambda y: y.body), "\n").alias("body")),
     )
-    return messages.withColumn("lines", levelled).withColumn("runs", F.when(F.exists("lines", lambda x: x.level > 0), run).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.array_join(F.transform("lines", lambda x: x.body), "\n").alias("body")))))
+    return messages.withColumn("lines", levelled).withColumn("first", first).withColumn("after", after).withColumn("runs", run).drop("first", "after")
 
 
 def _key(body):

@@ -12,7 +12,8 @@ File format (little-endian, one shard per file, followed by one line feed that S
     u32      row of the key at each slot                          (distinct keys)
     ids      the payload
 
-A key is found by hash -> bucket -> displacement -> slot -> fingerprint -> row -> offset, in constant time. Rows are in
+A key is found by directory -> shard -> hash -> bucket -> displacement -> slot -> fingerprint -> row -> offset: the directory (a
+Parquet table of key ranges, ``write_directory``) names the shard, inside it the way is of constant length. Rows are in
 ascending key order over all shards (nulls first; rows that repeat a key follow each other and the index names the first).
 
 Spark sorts by range; each task cuts its range into shards of about ``shard_ids`` ids, so a task holds one shard at a time.
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from bibweave.llm.bpe import encoder
 from bibweave.llm.wordbytes import mixed
@@ -150,6 +152,8 @@ def _build(path: str, end_id: int, shard_ids: int, id_bytes: int):
             for piece in slices(batch, "text", 2 << 20):
                 flat, at = enc.encode(piece.column(1))
                 out = np.insert(flat, at[1:], np.uint32(end_id))
+                if len(out) and int(out.max()) >> (8 * id_bytes):
+                    raise ValueError(f"id {int(out.max())} does not fit in {id_bytes} bytes")
                 keys += piece.column(0).to_pylist()
                 parts.append(out)
                 sizes += (np.diff(at) + 1).tolist()
@@ -162,16 +166,26 @@ def _build(path: str, end_id: int, shard_ids: int, id_bytes: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 21, vocabulary: int = 50_257) -> None:
-    """Writes the shards of docs under path. A null text is its end id alone; an empty table writes no shard."""
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes that hold every id of the tokenizer: 2 or 4."""
+    return 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 21, id_bytes: int | None = None) -> None:
+    """Writes the shards of docs under path. A null text is its end id alone; an empty table writes no shard. Ids take the bytes
+    that the tokenizer's vocabulary needs; one that doesn't fit raises. Keys are 64-bit integers.
+
+    The text writer copies the bytes of a string as they are, and a cast from binary to string keeps them; a reader that finds
+    other bytes than the magic raises.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
-    blobs = ordered.mapInArrow(_build(tokenizer_path, end_id, shard_ids, 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4), "data binary")
+    blobs = ordered.mapInArrow(_build(tokenizer_path, end_id, shard_ids, id_bytes or id_width(tokenizer_path, end_id)), "data binary")
     blobs.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 64").select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0").select("content")  # partitions without rows write empty files
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,20 +217,42 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(inside, ["part", "number"]).join(before, "part").select("doc_id", (F.col("offset") + F.col("inside") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """Keyed access: doc_id, ids of the given keys (a list the caller holds). A shard is opened and asked; nothing is scanned."""
+def _key_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = [Shard(data.as_py()) for data in batch.column(1)]
+        named = [s.keys[s.null == 0] for s in heads]
+        low, high = (pa.array([int(k[i]) if len(k) else None for k in named], pa.int64()) for i in (0, -1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), low, high], ["file", "low", "high"])
+
+
+def write_directory(spark: SparkSession, path: str, directory: str) -> None:
+    """The key range of each shard (file, low, high) as a small Parquet table: one pass over the shards."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0").select("path", "content")
+    files.mapInArrow(_key_range, "file string, low long, high long").where("low IS NOT NULL").write.parquet(directory)
+
+
+def fetch(spark: SparkSession, directory: str, keys: list[int]) -> DataFrame:
+    """Keyed access: doc_id, ids of the given keys (a list the caller holds), every row of a key that repeats. Only the shards whose
+    range holds a key are opened; in them a key is found in constant time."""
     wanted = np.array(sorted(set(keys)), dtype=np.int64)
+    asked = F.broadcast(spark.createDataFrame([(int(k),) for k in wanted], "key long"))
+    ranges = spark.read.parquet(directory)
+    files = [r.file for r in ranges.join(asked, F.col("key").between(F.col("low"), F.col("high")), "left_semi").select("file").collect()]  # as many as keys, but for ones that repeat over shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                s = Shard(memoryview(data.as_buffer()).tobytes())
-                rows = s.find(wanted)
-                hit = np.flatnonzero(rows >= 0)
-                ids = [s.ids_of(int(rows[i])).astype(np.int64) for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[hit]), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    return read_blobs(spark, path).mapInArrow(run, "doc_id long, ids array<long>")
+                s = Shard(data.as_py())
+                found, ids = [], []
+                for key, row in zip(wanted.tolist(), s.find(wanted).tolist(), strict=True):
+                    while 0 <= row < s.rows and s.keys[row] == key and not s.null[row]:
+                        found.append(key)
+                        ids.append(s.ids_of(row).astype(np.int64))
+                        row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    schema = "doc_id long, ids array<long>"
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, schema) if files else spark.createDataFrame([], schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:

@@ -214,7 +214,7 @@ def learn_rows(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string")) % 5 != 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 2500, most_bytes: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> ConvModel:
+def fit_on(docs: DataFrame, labels: DataFrame, sample: int = 2500, most_bytes: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> ConvModel:
     return fit(labelled_sample(docs, labels, "toxic", learn_rows(F.col("_id")), sample, most_bytes, id_col, text_col))
 
 

@@ -1,3 +1,7 @@
+import itertools
+import random
+import re
+
 from bibweave.llm.quotations import link_quotations
 
 
@@ -52,3 +56,78 @@ def test_trimmed_quotes_other_conversations_and_nulls(spark):
     assert (got[3, 0].n_linked, got[3, 0].n_linked_elsewhere) == (0, 1)
     assert (got[None, 1].n_linked, got[None, 1].reply_to, got[None, 1].thread_depth, got[None, 1].reply_index) == (1, 0, 1, 2)
     assert got[5, None].n_linked_elsewhere == 1
+
+
+def norm(text):
+    return " ".join(re.sub("[ \t\n\x0b\f\r]+", " ", text.lower()).split(" ")).strip()
+
+
+def brute(rows):
+    """The docstring's rules, message by message."""
+    parsed = []
+    for conv, turn, _, text in rows:
+        lines = []
+        for line in (text or "").split("\n"):
+            marks = re.match(r"(?:[ \t]*>)+", line)
+            lines.append(((marks.group().count(">") if marks else 0), (line[marks.end() :] if marks else line).strip(" ")))
+        runs = [(level, "\n".join(b for _, b in part)) for level, part in ((k, list(g)) for k, g in itertools.groupby(lines, key=lambda x: x[0]))]
+        own = "\n".join(b for level, b in lines if level == 0 and b)
+        own_lines = {norm(b) for b in own.split("\n")} - {""}
+        said = ({norm(own)} | {norm(b) for level, b in runs if level == 0} | own_lines) - {""}
+        quotes = [(level, norm(b), [norm(x) for x in b.split("\n") if norm(x)]) for level, b in runs if level > 0]
+        parsed.append((conv, turn, own, said, own_lines, quotes, max(level for level, _ in lines)))
+
+    def says(m, quote):
+        return quote[1] in m[3] or (len(set(quote[2])) > 1 and set(quote[2]) <= m[4])
+
+    per = {}
+    for conv, turn, _, _, _, quotes, _ in parsed:
+        linked, elsewhere, reply = per.get((conv, turn), (0, 0, None))
+        hits = []
+        for nr, q in enumerate(quotes):
+            if not q[1]:
+                continue
+            here = [m[1] for m in parsed if m[0] == conv and m[1] is not None and says(m, q)]
+            other = [m[0] for m in parsed if m[0] is not None and m[0] != conv and says(m, q)]
+            if turn is not None and here and min(here) < turn:
+                linked += 1
+                if q[0] == 1:
+                    hits.append((nr, min(here)))
+            elif other:
+                elsewhere += 1
+        best = min(hits + ([reply] if reply else []), default=None)
+        per[conv, turn] = (linked, elsewhere, best)
+    out = []
+    for conv, turn, own, _, _, quotes, level in parsed:
+        linked, elsewhere, reply = per[conv, turn]
+        root, depth, at = turn, 0, reply
+        while at:
+            root, depth, at = at[1], depth + 1, per[conv, at[1]][2]
+        out.append((conv, turn, own, len(quotes), level, linked, elsewhere, reply and reply[1], root, depth))
+    return out
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(11)
+    pool = [" ".join(rng.choice(["red", "blue", "old", "new", "fish", "Fish", "  two"]) for _ in range(rng.randint(1, 4))) for _ in range(25)]
+    rows = []
+    for conv in (1, 2, 3, None):
+        past = []
+        for turn in range(9):
+            body = [rng.choice(pool) for _ in range(rng.randint(0, 4))]
+            if past and rng.random() < 0.8:
+                quoted = rng.choice(past).split("\n")
+                a = rng.randrange(len(quoted))
+                cut = quoted[a : a + rng.randint(1, 3)]
+                body = [("> " if rng.random() < 0.7 else ">") + x for x in cut] + body
+            if rng.random() < 0.2:
+                body.insert(rng.randrange(len(body) + 1), "> > " + rng.choice(pool))
+            text = None if rng.random() < 0.05 else "\n".join(body)
+            rows.append((conv, None if rng.random() < 0.05 else turn, "u", text))
+            past.append(text or "")
+    rows += [rows[4], rows[13]]
+    long = "\n".join(f"line {k} of a long message" for k in range(10_000))
+    rows += [(9, 0, "u", long), (9, 1, "a", "\n".join("> " + x for x in long.split("\n")[2000:4000]) + "\nyes"), (9, 2, "u", "\n".join(">" * (k % 3) + f" x{k}" for k in range(9000)))]
+    got = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    names = ["conv_id", "turn", "own_text", "n_quotes", "max_level", "n_linked", "n_linked_elsewhere", "reply_to", "thread_root", "thread_depth"]
+    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr) == sorted(brute(rows), key=repr)

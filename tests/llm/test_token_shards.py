@@ -28,9 +28,21 @@ def test_small_shards_nulls_repeats_and_keyed_access(spark, tmp_path):
     ids = plain([t for _, t in rows], 2)
     got = token_shards.round_trip(docs, PATH, path=str(tmp_path / "s"), shard_ids=64)
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == expected([(k, i) for (k, _), i in zip(rows, ids, strict=True)])
-    found = {r.doc_id: r.ids for r in token_shards.fetch(spark, str(tmp_path / "s"), [5, 9, 250, 4, 10**12]).collect()}
-    by = {k: i for (k, _), i in zip(rows, ids, strict=True)}
-    assert found == {k: by[k] for k in (5, 9, 250)}
+    directory = str(tmp_path / "d")
+    token_shards.write_directory(spark, str(tmp_path / "s"), directory)
+    found = sorted((r.doc_id, r.ids) for r in token_shards.fetch(spark, directory, [5, 9, 250, 4, 10**12]).collect())
+    assert found == sorted((k, i) for (k, _), i in zip(rows, ids, strict=True) if k in (5, 9, 250))
+    one = token_shards.fetch(spark, directory, [250])
+    assert len(one.inputFiles()) == 1 and spark.read.parquet(directory).count() > 3
+    assert token_shards.fetch(spark, directory, [10**12]).collect() == []
+
+
+def test_id_that_does_not_fit_raises(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    token_shards.write_shards(docs, str(tmp_path / "wide"), PATH, end_id=70_000)
+    assert [r.n_tokens for r in token_shards.read_index(spark, str(tmp_path / "wide")).collect()] == [2]
+    with pytest.raises(Exception, match="does not fit"):
+        token_shards.write_shards(docs, str(tmp_path / "narrow"), PATH, end_id=70_000, id_bytes=2)
 
 
 def test_empty_table(spark):
