@@ -149,7 +149,7 @@ def _build(path: str, end_id: int, shard_ids: int, id_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):
+            for piece in slices(batch, "text"):
                 flat, at = enc.encode(piece.column(1))
                 out = np.insert(flat, at[1:], np.uint32(end_id))
                 if len(out) and int(out.max()) >> (8 * id_bytes):

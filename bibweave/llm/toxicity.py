@@ -2,11 +2,11 @@
 
 A word is looked up by the hash of itself and of its first five and four bytes, so inflected forms share what they learn.
 Filters of widths 1 to 3 slide over the words; each filter's maximum over the text, through a ReLU, feeds a logistic output.
-Texts are told apart by a coarse guess of their language from their own letters and short words, and the threshold of each
+Texts are told apart by a coarse guess of their language from frequent short words, and the threshold of each
 guessed language is calibrated on labelled texts kept from training; a score is shifted by its threshold so that 0.5 decides.
 Embeddings and filters are multiplied out once, so scoring is a sum of table rows per word.
 
-Bounds: ``sample`` labelled rows of each label reach the driver, as hashes of their first ``most_bytes`` bytes; every whole
+Bounds: ``sample`` labelled rows of each label, whole texts of at most ``most_bytes`` together, reach the driver; every whole
 text is scored. Defined results: null, empty and wordless texts score as no words; with labels of one kind only every score
 is that label's share (0.5 without labels). Null labels and ids teach nothing.
 """

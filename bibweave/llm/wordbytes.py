@@ -1,7 +1,7 @@
 """Word hashes and word counts of Arrow text columns, vectorised over the UTF-8 bytes.
 
 Words are maximal runs of bytes outside ASCII white space (0x20, 0x09-0x0D), so multi-byte characters are never cut. Hashes
-are 64 bit, equal on every machine, and independent of how rows are batched. Work goes in slices of about a megabyte, so
+are 64 bit, equal on every machine, and independent of how rows are batched. Work goes in slices of about a quarter of a megabyte, so
 memory stays bounded for texts of any length.
 """
 
@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 WORDY = np.zeros(256, dtype=bool)  # letters, digits and all bytes of multi-byte characters
 WORDY[48:58] = WORDY[65:91] = WORDY[97:123] = WORDY[128:] = True
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 SPAN = 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,7 +113,7 @@ def hashed_words(column: pa.Array, inside: np.ndarray | None = None) -> tuple[np
     return span_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each (a longer text makes a slice alone)."""
     column = batch.column(batch.schema.names.index(text))
     sizes = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
