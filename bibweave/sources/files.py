@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = "struct<x0: double, y0: double, x1: double, y1: double, page: int>"
@@ -30,20 +30,42 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("pdf_id").alias("doc_id"), F.col("id").alias("ref_id"), F.col("text").alias("raw"), "ref_number", status.alias("status"), "bbox", "bboxes", "numbered", "page_count")
 
 
-def write_references(refs: DataFrame, path: str) -> None:
-    """One JSON row per document: approved where it has references and all are; boxes rounded to hundredths; nulls left out."""
+def write_references(refs: DataFrame, path: str, previous: DataFrame | None = None) -> None:
+    """One JSON row per document, in a folder of its own: approved where it has references and all are; boxes rounded to
+    hundredths; nulls left out. Only the documents at hand are replaced. numbered and page_count that refs doesn't know keep their
+    value of ``previous`` (rows as ``read_references`` gives them, taken before)."""
+    for c in ("numbered", "page_count"):
+        if c not in refs.columns:
+            refs = refs.withColumn(c, F.lit(None).cast("boolean" if c == "numbered" else "int"))
     rounded = lambda b: F.struct(*[F.bround(b[c], 2).alias(c) for c in ("x0", "y0", "x1", "y1")], b["page"].alias("page"))
     source = F.struct(F.col("ref_number"), F.col("ref_id").alias("id"), F.col("raw").alias("text"), "status", F.transform("bboxes", rounded).alias("bboxes"))
-    files = refs.groupBy(F.col("doc_id").alias("pdf_id")).agg(F.bool_and(F.col("status") == "approved").alias("approved"), F.first("page_count", ignorenulls=True).alias("page_count"), F.array_sort(F.collect_list(source)).alias("sources"))
-    files.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    known = [F.first(c, ignorenulls=True).alias(c) for c in ("numbered", "page_count")]
+    rows = refs.groupBy(F.col("doc_id").alias("pdf_id")).agg(F.bool_and(F.col("status") == "approved").alias("approved"), *known, F.array_sort(F.collect_list(source)).alias("sources"))
+    if previous is not None:
+        old = previous.groupBy(F.col("doc_id").alias("pdf_id")).agg(*[k.alias(f"_{c}") for c, k in zip(("numbered", "page_count"), known, strict=True)])
+        rows = rows.join(old, "pdf_id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in ("numbered", "page_count")}).drop("_numbered", "_page_count")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", True).partitionBy("pdf_id").json(path)
+
+
+def all_approved(refs: DataFrame) -> DataFrame:
+    """doc_id, approved: whether a document has references and all are approved."""
+    return refs.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("status") == "approved", F.lit(False))).alias("approved"))
+
+
+def numbered_text(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, line of text files of any size: the lines of a file's splits are counted, then numbered within each split."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("_at"))
+    return rows.withColumn("inside", inside).join(before, ["file", "block"]).select("file", (F.col("before") + F.col("inside")).cast("int").alias("line_no"), "line")
 
 
 def read_span_labels(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, id, source_pdf, text, entities, malformed; blank lines skipped."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    lines = numbered_text(spark, path).where(F.trim("line") != "")
     parsed = F.from_json("line", SPAN_LABELS + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    rows = lines.select("file", (F.col("at") + 1).alias("line_no"), parsed.alias("r")).select("file", "line_no", "r.*")
+    rows = lines.select("file", "line_no", parsed.alias("r")).select("file", "line_no", "r.*")
     return rows.withColumn("malformed", F.col("_bad").isNotNull()).drop("_bad")
 
 

@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bibweave.operators.linkage import verify
+from bibweave.session import persisted
 
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
@@ -44,15 +46,24 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return last.select("ref_no", "e.job_no", "e.ts", "e.event_id", "e.source_db", "e.outcome")
 
 
-def progress_stream(events: DataFrame, store: str, checkpoint: str) -> object:
-    """Keeps latest_progress as a versioned Parquet table: each micro-batch merges the last version with its own events."""
+def progress_stream(events: DataFrame, store: str, checkpoint: str, parts: int = 64) -> object:
+    """Keeps latest_progress as a Parquet table in ``parts`` folders by reference. A micro-batch reads and rewrites only the folders
+    that its references are in; replaying one changes nothing."""
     spark = events.sparkSession
+    part = F.pmod(F.xxhash64("ref_no"), F.lit(parts)).cast("int").alias("part")
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select("ref_no", "job_no", "ts", "event_id", "source_db", "outcome")
-        if epoch:
-            rows = rows.unionByName(spark.read.parquet(f"{store}/v{epoch - 1}"))
-        latest_progress(rows).write.mode("overwrite").parquet(f"{store}/v{epoch}")
+        rows = batch.select("ref_no", "job_no", "ts", "event_id", "source_db", "outcome", part)
+        touched = [r.part for r in rows.select("part").distinct().collect()]  # at most ``parts``
+        if not touched:
+            return
+        try:
+            stored = spark.read.parquet(store).where(F.col("part").isin(*touched))
+            rows = rows.unionByName(stored.select(*rows.columns))
+        except AnalysisException:  # nothing stored yet
+            pass
+        fresh = persisted(latest_progress(rows).select("*", part), "progress")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -53,6 +53,14 @@ def test_files(spark, tmp_path):
     files.write_references(refs, str(tmp_path / "out"))
     (w,) = spark.read.json(str(tmp_path / "out")).collect()
     assert w.approved and w.sources[0].bboxes[0].y1 == 3.33
+    # another document is added beside it; what a later write doesn't know keeps its value
+    known = refs.withColumns({"doc_id": F.lit("q"), "page_count": F.lit(7), "numbered": F.lit(True), "status": F.lit("detected")})
+    files.write_references(known, str(tmp_path / "out"))
+    before = spark.createDataFrame(files.read_references(spark, str(tmp_path / "out")).collect(), files.read_references(spark, str(tmp_path / "out")).schema)
+    files.write_references(before.drop("page_count", "numbered").where("doc_id = 'q'"), str(tmp_path / "out"), before)
+    again = {r.doc_id: r for r in files.read_references(spark, str(tmp_path / "out")).collect()}
+    assert set(again) == {"p", "q"} and (again["q"].page_count, again["q"].numbered) == (7, True)
+    assert {r.doc_id: r.approved for r in files.all_approved(before).collect()} == {"p": True, "q": False}
     (tmp_path / "l.jsonl").write_text('{"id": "1", "text": "x", "entities": []}\n\n{oops\n')
     assert sorted((r.line_no, r.malformed) for r in files.read_span_labels(spark, str(tmp_path / "l.jsonl")).collect()) == [(1, False), (3, True)]
     (tmp_path / "r.txt").write_text("# c\nThesis | by hand\n\n@non-doi-url | link\n")
@@ -78,8 +86,10 @@ def test_streams_equal_their_batch_forms(spark, sf_dir, tmp_path):
     assert run(feeds.dedup_events(live.union(live), "event_id"), "once", spark).count() == batch.count()
     steps = spark.sql(FEED, events=feeds.read_feed(spark, source, events.schema))
     feeds.progress_stream(steps, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination(120)
-    last = max((tmp_path / "store").iterdir(), key=lambda p: int(p.name[1:]))
-    assert sorted(spark.read.parquet(str(last)).collect()) == sorted(feeds.latest_progress(batch).collect())
+    want = feeds.latest_progress(batch)
+    assert sorted(spark.read.parquet(str(tmp_path / "store")).select(want.columns).collect()) == sorted(want.collect())
+    last = feeds.last_events(batch, 3).collect()
+    assert {(r.source_db, r.n) for r in last} == {(f"db{i}", n) for i in range(11) for n in (1, 2, 3)}
 
 
 def test_verify_stream(spark, sf_dir, tmp_path):
