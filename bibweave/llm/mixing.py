@@ -19,12 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from bibweave.llm.wordbytes import word_counts
+from bibweave.llm.wordbytes import pieces, word_counts
 from bibweave.session import persisted
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,7 +33,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 @F.arrow_udf(LongType())
 def n_words(text: pa.Array) -> pa.Array:
-    return pa.array(word_counts(text), pa.int64())
+    batch = pa.RecordBatch.from_arrays([text], ["text"])
+    return pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *(word_counts(part.column(0)) for part in pieces(batch, "text"))]), pa.int64())
 
 
 def quality_weight(text: Column) -> Column:
