@@ -1,8 +1,9 @@
 """Quality classifier by compression: text like the good sample shrinks more with the good sample's dictionary.
 
 zstandard dictionaries are trained on good and on bad labelled texts. A text is compressed with each; the difference of the
-sizes, normalised by the text's length and by their sum, and the compressed share itself (junk that repeats one word shrinks
-to nothing with either) go through a logistic calibration fitted on labelled texts that the dictionaries have not seen.
+sizes, normalised by the text's length, is the score, calibrated by a logistic step on labelled texts that the dictionaries have
+not seen. The calibration has one more term, the compressed share itself: junk that repeats one word shrinks to nothing with
+either dictionary and shows no difference.
 
 Bounds: ``sample`` labelled rows of each label (by hash order of the id), whole texts of at most ``most_bytes`` together, reach
 the driver for fitting; every whole text is scored, in slices of a few megabytes. Defined results: null and empty texts score as the empty text; with labels of
@@ -50,11 +51,11 @@ class CompressionModel:
     constant: float | None = None
 
     def features(self, texts: list[bytes]) -> np.ndarray:
+        """1, the difference of the two compressed sizes and the size with the good dictionary, both by the text's length."""
         good, bad = compressors(self.good, self.bad)
         sizes = np.array([(len(good.compress(t)), len(bad.compress(t)), len(t)) for t in texts], dtype=np.float64).reshape(-1, 3)
         g, b, n = sizes.T
-        share, difference, relative = g / (n + 8), (b - g) / (n + 8), (b - g) / (b + g)
-        return np.stack([np.ones(len(n)), difference, relative, share, share**2, np.log1p(n), difference * share, np.maximum(0, 0.2 - share), relative**2], axis=1)
+        return np.stack([np.ones(len(n)), (b - g) / (n + 8), g / (n + 8)], axis=1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
@@ -102,17 +103,17 @@ def fit(rows: list[tuple[int, bytes, int]], dictionary_bytes: int = 112_640) ->
     """Dictionaries from every second row of each label, calibration on the others."""
     by = {y: [t for _, t, label in rows if label == y] for y in (0, 1)}
     if not by[0] or not by[1]:
-        return CompressionModel(b" ", b" ", np.zeros(9), 0.5 if not rows else float(bool(by[1])))
+        return CompressionModel(b" ", b" ", np.zeros(3), 0.5 if not rows else float(bool(by[1])))
     seen = {y: by[y][::2] for y in by}
     rest = {y: by[y][1::2] or by[y] for y in by}
-    model = CompressionModel(_dictionary(seen[1], dictionary_bytes), _dictionary(seen[0], dictionary_bytes), np.zeros(9))
+    model = CompressionModel(_dictionary(seen[1], dictionary_bytes), _dictionary(seen[0], dictionary_bytes), np.zeros(3))
     y = np.array([0.0] * len(rest[0]) + [1.0] * len(rest[1]))
     model.weights = logistic(model.features(rest[0] + rest[1]), y)
     return model
 
 
 def score_column(spark, model: CompressionModel, text: Column) -> Column:
-    held = spark.sparkContext.broadcast(model)  # two dictionaries and nine weights
+    held = spark.sparkContext.broadcast(model)  # two dictionaries and three weights
 
     @F.arrow_udf(DoubleType())
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

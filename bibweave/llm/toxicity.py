@@ -72,7 +72,7 @@ class ConvModel:
             [rng.normal(0, 0.1, (SLOTS, SIZE)).astype(np.float32) for _ in PREFIXES],
             [rng.normal(0, 0.5, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS],
             [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS],
-            rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32),
+            np.abs(rng.normal(0, 0.3, len(WIDTHS) * FILTERS)).astype(np.float32),  # at first every filter speaks for the label
             -1.0,
         )
 
@@ -113,7 +113,7 @@ class ConvModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
 
 
-def train(model: ConvModel, slots: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 15, batch: int = 64, rate: float = 0.05, seed: int = 3) -> None:
+def train(model: ConvModel, slots: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 3) -> None:
     """Adam on the logistic loss, both labels weighing the same; the gradient flows through the words that won the maxima."""
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)

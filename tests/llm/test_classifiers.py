@@ -1,10 +1,13 @@
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from bibweave.llm import queries
+from bibweave.llm import quality, queries, toxicity
 from bibweave.llm.quality import score_quality
 from bibweave.llm.toxicity import score_toxicity
 
@@ -53,3 +56,44 @@ def test_odd_rows(spark, score):
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in score(docs, none).collect()} == {0.5}
     assert score(docs.where("false"), labels).collect() == []
+
+
+def test_quality_scores_by_hand(spark, sf_dir):
+    """The score of every document again from two compressed sizes and three weights."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit_on(docs, labels)
+    got = {r.doc_id: r.score for r in score_quality(docs, labels).collect()}
+    plain = {"level": 3, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
+    sizes = [lambda t, d=d: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain).compress(t)) for d in (model.good, model.bad)]
+    for r in docs.collect():
+        t = (r.text or "").encode()
+        good, bad = (f(t) for f in sizes)
+        z = model.weights[0] + model.weights[1] * (bad - good) / (len(t) + 8) + model.weights[2] * good / (len(t) + 8)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_scores_by_hand(spark, sf_dir):
+    """The convolution word by word and filter by filter, without tables."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit_on(docs, labels)
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}
+    for r in docs.orderBy("n_chars").limit(60).collect():
+        slots, at = toxicity.word_slots(pa.array([r.text or ""]))
+        words = [sum(e[slots[i, k]] for i, e in enumerate(model.embed)) for k in range(slots.shape[1])]
+        z = model.out_bias
+        for i, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                windows = [sum(float(words[a + k] @ model.filters[i][k][:, f]) for k in range(width)) for a in range(len(words) - width + 1)]
+                if windows:
+                    z += max(0.0, max(windows) + model.bias[i][f]) * model.out[i * toxicity.FILTERS + f]
+        z -= model.thresholds[toxicity.guessed_language(slots, at)[0]]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3)
+
+
+def test_sample_takes_whole_texts_within_its_bound(spark):
+    rows = [(k, "w" * (100 if k % 2 else 5000)) for k in range(40)]
+    docs = spark.createDataFrame([*rows, (1, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 3 % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    taken = quality.labelled_sample(docs, labels, "quality", F.lit(True), 12, 16_000)
+    assert 0 < len(taken) <= 24 and sum(len(t) for _, t, _ in taken) <= 16_000
+    assert {len(t) for _, t, _ in taken} <= {100, 5} and taken == sorted(taken)
