@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BODY = r"10\.\d{4,9}/[A-Za-z0-9._;()/:+\-]+"  # fixed pattern
 #: A body that ends in - or / takes one more token after a line wrap.
@@ -56,3 +58,30 @@ def identifier_match(ref_doi: Column, ref_arxiv: Column, work_doi: Column, work_
     doi = F.coalesce((F.coalesce(ref_doi, F.lit("")) != "") & (ref_doi == work_doi), F.lit(False))
     arxiv = F.coalesce((F.coalesce(ref_arxiv, F.lit("")) != "") & (arxiv_base(ref_arxiv) == arxiv_base(work_arxiv)), F.lit(False))
     return doi | arxiv
+
+
+#: FNV-1a, 64 bit: offset basis and prime (fixed values).
+FNV_BASIS, FNV_PRIME = 14695981039346656037, 1099511628211
+
+
+def fnv1a(text: str) -> str:
+    h = FNV_BASIS
+    for byte in text.encode():
+        h = (h ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+    return f"{h:016x}"
+
+
+@F.arrow_udf(StringType())
+def fnv_hex(column: pa.Array) -> pa.Array:
+    """The 64-bit FNV-1a hash of the UTF-8 bytes as 16 hex digits."""
+    return pa.array([None if x is None else fnv1a(x) for x in column.to_pylist()], pa.string())
+
+
+def document_id(path: Column) -> Column:
+    """A document's id: the hash of its path, lower-cased, with slashes."""
+    return fnv_hex(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))))
+
+
+def reference_id(doc_id: Column, clean: Column) -> Column:
+    """A reference's id before suffixes: its document's and the first 12 digits of its clean text's hash."""
+    return F.concat(doc_id, F.lit("_"), F.substring(fnv_hex(clean), 1, 12))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bibweave.functions import fuzzy, identifiers, names, text, urls
-from bibweave.operators import compare, curation, labels, linkage, reports
+from bibweave.operators import compare, curation, extract, labels, linkage, reports
 from bibweave.plans.derived import CATALOG, FEED, RAW, REFS, VERDICTS, _pick, FAMILIES, GIVEN, catalog, derived, duck, refs, view
 from bibweave.plans.queries import citations, parsed, query, works
 from bibweave.sources import files, store
@@ -77,14 +77,12 @@ def normalize_name(spark, sf_dir):
     return derived(spark, sf_dir, NAMED).select("work_id", names.normalize_name(F.concat_ws("  ", "family", F.lit("Müller-Yılmaz; Œ"), "given")).alias("name"))
 
 
-@query(f"SELECT work_id, CASE form WHEN 2 THEN concat(upper(substr(given, 1, 1)), 'Q') WHEN 5 THEN 'QR' ELSE family END AS family_name, CASE WHEN form IN (2, 5) THEN concat(CASE form WHEN 2 THEN concat(substr(given, 1, 1), 'Q') ELSE 'QR' END, ' ', family) ELSE concat(family, ' Other') END AS author_query FROM {duck(NAMED)}")
+@query(f"SELECT work_id, CASE form WHEN 2 THEN concat(substr(given, 1, 1), 'Q') WHEN 5 THEN 'QR' ELSE family END AS family_name, CASE form WHEN 2 THEN concat(substr(given, 1, 1), 'Q ', family) WHEN 5 THEN concat('QR ', family) ELSE concat(family, ' Other') END AS author_query FROM {duck(NAMED)}")
 def family_names(spark, sf_dir):
     """The last word is taken where there is no comma and no leading initials."""
     rows = derived(spark, sf_dir, NAMED)
-    listed = F.array(F.lit("eds."), F.col("raw"), F.when(F.col("form").isin(2, 5), F.upper("family")).otherwise(F.upper("family")), F.when(F.col("form").isin(2, 5), F.col("family")).otherwise(F.lit("Other, A.")))
-    query_text = F.when(F.col("form").isin(2, 5), F.regexp_replace(names.author_query(listed), r" \w+$", "")).otherwise(names.author_query(listed))
-    out = names.author_query(listed)
-    return rows.select("work_id", names.family_name(F.col("raw")).alias("family_name"), F.when(F.col("form").isin(2, 5), F.concat_ws(" ", F.split_part(out, F.lit(" "), F.lit(1)), F.col("family"))).otherwise(query_text).alias("author_query"))
+    listed = F.array(F.lit("eds."), F.col("raw"), F.when(F.col("form").isin(2, 5), F.col("family")).otherwise(F.upper("family")), F.lit("Other, A."))
+    return rows.select("work_id", names.family_name(F.col("raw")).alias("family_name"), names.author_query(listed).alias("author_query"))
 
 
 @query(f"SELECT work_id, concat(family, ' A;', given) AS authors FROM {duck(NAMED)}")
@@ -496,3 +494,48 @@ def wrapped_dois(spark, sf_dir):
 @query(f"SELECT ref_id, cited_work AS arxiv FROM (SELECT ref_id, concat('2101.', 10000 + cited_work, 'v', ref_number) AS cited_work FROM {duck(REFS)})")
 def url_arxiv(spark, sf_dir):
     return refs(spark, sf_dir).select("ref_id", identifiers.url_arxiv(F.concat(F.lit("https://arxiv.org/abs/2101."), 10000 + F.col("cited_work"), F.lit("v"), "ref_number")).alias("arxiv"))
+
+
+# --- ids, approval and small kernels
+
+
+def _fnv(text: str) -> str:
+    """DuckDB: FNV-1a of an ASCII string, as 16 hex digits."""
+    start, prime, size = "14695981039346656037::HUGEINT", "1099511628211::HUGEINT", "18446744073709551616::HUGEINT"
+    return f"lpad(lower(to_hex(CAST(list_reduce(list_transform(string_split({text}, ''), lambda c: unicode(c)::HUGEINT), lambda h, b: xor(h, b) * {prime} % {size}, {start}) AS UBIGINT))), 16, '0')"
+
+
+@query(f"SELECT work_id, {_fnv('doc')} AS document_id, concat('d_', left({_fnv('title')}, 12)) AS reference_id FROM (SELECT work_id, concat('c:/papers/', work_id, '.pdf') AS doc, title FROM {duck(CATALOG)})")
+def stable_ids(spark, sf_dir):
+    path = F.concat(F.lit("C:\\Papers\\"), "work_id", F.lit(".PDF"))
+    return catalog(spark, sf_dir).select("work_id", identifiers.document_id(path).alias("document_id"), identifiers.reference_id(F.lit("d"), F.col("title")).alias("reference_id"))
+
+
+@query(f"SELECT doc_id, min(kind) > 3 AS approved FROM {duck(REFS)} GROUP BY doc_id")
+def all_approved(spark, sf_dir):
+    return files.all_approved(refs(spark, sf_dir).select("doc_id", F.when(F.col("kind") > 3, "approved").when(F.col("kind") == 1, None).otherwise("edited").alias("status")))
+
+
+@query(f"SELECT work_id, concat('fi ', title, ' 1⁄2') AS text FROM {duck(CATALOG)}")
+def normalize_text(spark, sf_dir):
+    """Compatibility forms taken apart, white space collapsed."""
+    return catalog(spark, sf_dir).select("work_id", names.nfkd(F.concat(F.lit("ﬁ\u00a0 "), "title", F.lit("\t½ "))).alias("text"))
+
+
+@query(f"""SELECT work_id, lower(family) AS last_name, concat('the ', lower(title), ' a b') AS title, CASE work_id % 3 WHEN 0 THEN journal WHEN 1 THEN journal ELSE 'J' END AS journal FROM (SELECT work_id, title, journal, split_part(authors, ',', 1) AS family FROM {duck(CATALOG)})""")
+def compare_forms(spark, sf_dir):
+    """The forms in which two extractions are compared."""
+    form = F.col("work_id") % 4
+    family = F.split_part("authors", F.lit(","), F.lit(1))
+    name = F.when(form == 0, F.concat(family, F.lit(", A."))).when(form == 1, F.concat(F.lit("Ada "), family)).when(form == 2, F.concat(family, F.lit(" A.B."))).otherwise(F.concat(F.lit(" A. "), family, F.lit(".")))
+    tail = F.when(F.col("work_id") % 3 == 0, F.concat("journal", F.lit(", vol. 3, no. 2"))).when(F.col("work_id") % 3 == 1, F.concat("journal", F.lit(" 12(3), 1-9"))).otherwise(F.lit("J, pp. 4"))
+    return catalog(spark, sf_dir).select("work_id", compare.compare_last_name(name).alias("last_name"), compare.compare_normalize(F.concat(F.lit("The  "), "title", F.lit(": (A) b!"))).alias("title"), compare.strip_journal_tail(tail).alias("journal"))
+
+
+@query(f"SELECT ref_id, CASE WHEN kind % 3 = 0 THEN 0.4 ELSE 0 END + CASE WHEN kind <> 1 THEN 0.15 ELSE 0 END + 0.35 + CASE WHEN journal <> '' THEN 0.1 ELSE 0 END AS sure FROM {duck(REFS)}")
+def model_confidence(spark, sf_dir):
+    """Confidence in a token model's fields: an arXiv id in place of a DOI, years up to 2099."""
+    year = F.when(F.col("kind") == 1, 2100).otherwise(2099)
+    arxiv = F.when(F.col("kind") % 3 == 0, "2101.10001")
+    out = extract.parse_confidence(F.lit(None).cast("string"), F.col("authors"), year, F.col("title"), F.col("journal"), arxiv, 2099)
+    return parsed(spark, sf_dir).select("ref_id", F.round(out, 6).alias("sure"))
