@@ -25,13 +25,10 @@ BLOCK = 4096  # turns ranked together; a longer thread is ranked block by block
 
 def _lines(messages: DataFrame) -> DataFrame:
     """Every message with its lines as (level, body) and their runs as (level, body, first line)."""
-    line = F.split(F.coalesce("text", F.lit("")), "\n")
+    marked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), F.regexp_extract(x, MARKS, 0).alias("marks")))
     levelled = F.transform(
-        line,
-        lambda x: F.struct(
-            F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), r"[ \t]", "")).alias("level"),
-            F.trim(F.regexp_replace(x, MARKS, "")).alias("body"),
-        ),
+        marked,
+        lambda x: F.struct(F.length(F.translate(x["marks"], " \t", "")).alias("level"), F.trim(F.substr(x["line"], F.length(x["marks"]) + 1, F.length(x["line"]))).alias("body")),
     )
     n = F.size("lines")
     first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
@@ -70,14 +67,15 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     parsed = _lines(base)
     own = F.array_join(F.filter(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.body), lambda b: b != ""), "\n")
     line_keys = lambda body: F.array_distinct(F.filter(F.transform(F.split(body, "\n"), _key), lambda k: k.isNotNull()))
-    of_level_0 = lambda name: F.transform(F.filter(name, lambda x: x.level == 0), lambda x: _key(x.body))
+    of_level_0 = F.transform(F.filter("runs", lambda x: x.level == 0), lambda x: _key(x.body))
+    parsed = parsed.withColumn("own_text", own).withColumn("own_lines", line_keys(F.col("own_text")))
     parsed = persisted(
-        parsed.withColumn("own_text", own).select(
+        parsed.select(
             "conv_id", "turn", "role", "own_text",
             F.coalesce(F.array_max(F.transform("lines", lambda x: x.level)), F.lit(0)).alias("max_level"),
             F.transform(F.filter("runs", lambda x: x.level > 0), lambda x: F.struct(x.level.alias("level"), _key(x.body).alias("key"), line_keys(x.body).alias("lines"))).alias("quotes"),
-            line_keys(F.col("own_text")).alias("own_lines"),
-            F.array_distinct(F.concat(F.array(_key(F.col("own_text"))), of_level_0("runs"), of_level_0("lines"))).alias("said"),
+            "own_lines",
+            F.array_distinct(F.concat(F.array(_key(F.col("own_text"))), of_level_0, F.col("own_lines"))).alias("said"),
         ),
         "messages",
     )
