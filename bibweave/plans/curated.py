@@ -146,7 +146,7 @@ SCORED = f"""WITH p AS MATERIALIZED (SELECT *, {_sorted("s")} AS ss, {_sorted("t
     z AS (SELECT *, round_even(0.75 * title_score + 0.25 * author_score + CASE WHEN gap <= 1 THEN 0.1 ELSE 0 END + CASE WHEN venue >= 0.75 THEN 0.1 ELSE 0 END + CASE WHEN same_id THEN 0.1 ELSE 0 END, 4) AS raw_score FROM q)"""
 
 
-@query(f"""{SCORED} SELECT ref_id, round(title_score, 4) AS title_score, author_score, round(venue, 4) AS venue_score, round(raw_score, 4) AS raw_score, least(1.0, round(raw_score, 4)) AS score, raw_score >= 1.0 AND title_score >= 0.85 AS strong FROM z""")
+@query(f"""{SCORED} SELECT ref_id, round(title_score, 4) AS title_score, CAST(author_score AS DOUBLE) AS author_score, round(venue, 4) AS venue_score, round(raw_score, 4) AS raw_score, least(1.0, round(raw_score, 4)) AS score, raw_score >= 1.0 AND title_score >= 0.85 AS strong FROM z""")
 def score_pairs(spark, sf_dir):
     """Every distinct citation against the work it was made from."""
     return _scored(spark, sf_dir).select("ref_id", "title_score", "author_score", F.round("venue_score", 4).alias("venue_score"), "raw_score", "score", linkage.strong_match(F.col("score"), F.col("title_score")).alias("strong"))
@@ -250,7 +250,7 @@ def example_rows(spark, sf_dir):
     return compare.example_rows(compare.compare_extractions(*sides(spark, sf_dir)), 5)
 
 
-@query(f"""SELECT ref_id AS source_id, doc_id AS pdf_id, CAST(ref_number AS INT) AS ref, title AS ner_title, other_title AS regex_title, authors AS ner_authors, other_authors AS regex_authors, coalesce(doi, '') AS ner_doi, coalesce(other_doi, '') AS regex_doi, confidence AS ner_conf, year = other_year AS year_match FROM {duck(SIDES)} WHERE kind <> 1""")
+@query(f"""SELECT ref_id AS source_id, doc_id AS pdf_id, CAST(ref_number AS INT) AS ref, title AS ner_title, other_title AS regex_title, authors AS ner_authors, other_authors AS regex_authors, coalesce(doi, '') AS ner_doi, coalesce(other_doi, '') AS regex_doi, CAST(confidence AS DOUBLE) AS ner_conf, year = other_year AS year_match FROM {duck(SIDES)} WHERE kind <> 1""")
 def comparison_rows(spark, sf_dir):
     """Rows of the comparison file (here without the measured similarities)."""
     raw = refs(spark, sf_dir).withColumn("raw", F.col("title"))
@@ -532,7 +532,7 @@ def compare_forms(spark, sf_dir):
     return catalog(spark, sf_dir).select("work_id", compare.compare_last_name(name).alias("last_name"), compare.compare_normalize(F.concat(F.lit("The  "), "title", F.lit(": (A) b!"))).alias("title"), compare.strip_journal_tail(tail).alias("journal"))
 
 
-@query(f"SELECT ref_id, CASE WHEN kind % 3 = 0 THEN 0.4 ELSE 0 END + CASE WHEN kind <> 1 THEN 0.15 ELSE 0 END + 0.35 + CASE WHEN journal <> '' THEN 0.1 ELSE 0 END AS sure FROM {duck(REFS)}")
+@query(f"SELECT ref_id, round(CAST(CASE WHEN kind % 3 = 0 THEN 0.4 ELSE 0 END + CASE WHEN kind <> 1 THEN 0.15 ELSE 0 END + 0.35 + CASE WHEN journal <> '' THEN 0.1 ELSE 0 END AS DOUBLE), 6) AS sure FROM {duck(REFS)}")
 def model_confidence(spark, sf_dir):
     """Confidence in a token model's fields: an arXiv id in place of a DOI, years up to 2099."""
     year = F.when(F.col("kind") == 1, 2100).otherwise(2099)

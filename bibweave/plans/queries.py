@@ -467,14 +467,14 @@ PRINTED = f"""SELECT *, ref_number % 3 AS form, split_part(authors, ',', 1) AS f
     CASE WHEN ref_number % 3 = 2 THEN concat('2', right(concat('000', ref_number), 3), '.1', 1000 + ref_number, 'v', ref_number % 3 + 1) END AS printed_arxiv FROM {duck(REFS)}"""
 
 
-@query(f"""SELECT ref_id, CASE form WHEN 1 THEN 'IEEE' WHEN 2 THEN 'Vancouver' ELSE CASE WHEN kind IN (6, 8) THEN 'APA' END END AS style, CASE form WHEN 1 THEN 0.67 WHEN 2 THEN 0.5 ELSE CASE WHEN kind IN (6, 8) THEN 0.25 ELSE 0.0 END END AS style_confidence FROM ({PRINTED})""")
+@query(f"""SELECT ref_id, CASE form WHEN 1 THEN 'IEEE' WHEN 2 THEN 'Vancouver' ELSE CASE WHEN kind IN (6, 8) THEN 'APA' END END AS style, CAST(CASE form WHEN 1 THEN 0.67 WHEN 2 THEN 0.5 ELSE CASE WHEN kind IN (6, 8) THEN 0.25 ELSE 0.0 END END AS DOUBLE) AS style_confidence FROM ({PRINTED})""")
 def detect_style(spark, sf_dir):
     return extract.detect_style(raw_refs(spark, sf_dir).select("ref_id", "raw")).drop("raw")
 
 
 @query(f"""SELECT ref_id, title, nullif(journal, '') AS journal, year, CASE form WHEN 0 THEN CASE WHEN kind = 6 THEN authors ELSE split_part(authors, '; ', 1) END WHEN 1 THEN concat(initial, '. ', family, '; B. Co') ELSE concat(family, ' ', initial, '; Co B') END AS authors,
     printed_doi AS doi, printed_arxiv AS arxiv, coalesce('https://doi.org/' || printed_doi, 'https://arxiv.org/abs/' || printed_arxiv) AS url,
-    0.5 + CASE WHEN length(journal) >= 3 THEN 0.1 ELSE 0 END + CASE WHEN printed_doi IS NOT NULL THEN 0.4 ELSE 0 END AS parse_confidence FROM ({PRINTED})""")
+    round(CAST(0.5 + CASE WHEN length(journal) >= 3 THEN 0.1 ELSE 0 END + CASE WHEN printed_doi IS NOT NULL THEN 0.4 ELSE 0 END AS DOUBLE), 6) AS parse_confidence FROM ({PRINTED})""")
 def parse_references(spark, sf_dir):
     """Every field against what the string was printed from."""
     out = extract.parse_references(raw_refs(spark, sf_dir).select("ref_id", "raw"))
