@@ -467,7 +467,12 @@ PRINTED = f"""SELECT *, ref_number % 3 AS form, split_part(authors, ',', 1) AS f
     CASE WHEN ref_number % 3 = 2 THEN concat('2', right(concat('000', ref_number), 3), '.1', 1000 + ref_number, 'v', ref_number % 3 + 1) END AS printed_arxiv FROM {duck(REFS)}"""
 
 
-@query(f"""SELECT ref_id, CASE form WHEN 1 THEN 'IEEE' WHEN 2 THEN 'Vancouver' ELSE CASE WHEN kind IN (6, 8) THEN 'APA' END END AS style, CAST(CASE form WHEN 1 THEN 0.67 WHEN 2 THEN 0.5 ELSE CASE WHEN kind IN (6, 8) THEN 0.25 ELSE 0.0 END END AS DOUBLE) AS style_confidence FROM ({PRINTED})""")
+#: A registrant's number in a DOI that reads like a year other than the reference's own is a late year.
+LATE = "coalesce(CAST(substr(printed_doi, 4, 4) AS INT) BETWEEN 1900 AND 2099 AND CAST(substr(printed_doi, 4, 4) AS INT) <> year, false)"
+
+
+@query(f"""SELECT ref_id, CASE form WHEN 1 THEN 'IEEE' WHEN 2 THEN 'Vancouver' ELSE CASE WHEN kind IN (6, 8) THEN 'APA' WHEN {LATE} THEN 'IEEE' END END AS style,
+    CAST(CASE form WHEN 1 THEN 0.67 WHEN 2 THEN 0.5 ELSE CASE WHEN kind IN (6, 8) THEN CASE WHEN {LATE} THEN 0.17 ELSE 0.25 END WHEN {LATE} THEN 0.19 ELSE 0 END END AS DOUBLE) AS style_confidence FROM ({PRINTED})""")
 def detect_style(spark, sf_dir):
     return extract.detect_style(raw_refs(spark, sf_dir).select("ref_id", "raw")).drop("raw")
 
