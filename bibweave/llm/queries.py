@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibweave.llm import exact_dedup, jaccard, mixing, mjpeg, packing, quality, quotations, token_shards, toxicity, url_filter
+from bibweave.llm import divergence, exact_dedup, jaccard, mixing, mjpeg, packing, quality, quotations, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,11 @@ def op10_media_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.lit("frames="), "n_frames", F.lit(";shots="), shots).alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op7_toxicity, op8_exact_dedup, op9_quality, op10_media_mjpeg)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op7_toxicity, op8_exact_dedup, op9_quality, op10_media_mjpeg, op11_source_divergence)}
 
 ORACLES = {
     "op2_url_filter": r"""
@@ -103,4 +107,26 @@ ORACLES = {
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS terms
+            FROM documents),
+        w AS (SELECT i, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS lang_uses FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        u AS (SELECT lang, source, term, count(*) AS uses FROM w GROUP BY ALL),
+        c AS (SELECT g.lang, g.source, k.term, coalesce(u.uses, 0) AS uses, k.lang_uses
+              FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+        n AS (SELECT lang, source, sum(uses) + 5 * count(*) AS n, sum(lang_uses) + 5 * count(*) AS lang_n FROM c GROUP BY lang, source),
+        p AS (SELECT c.lang, c.source, term, uses, 1 + (1000000000::HUGEINT * (uses + 5)) // n::HUGEINT AS p, 1 + (1000000000::HUGEINT * (lang_uses + 5)) // lang_n::HUGEINT AS q
+              FROM c JOIN n ON c.lang = n.lang AND c.source = n.source),
+        dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE uses > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }
