@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibweave.llm import divergence, exact_dedup, jaccard, mixing, mjpeg, packing, quality, quotations, token_shards, toxicity, url_filter
+from bibweave.llm import divergence, exact_dedup, jaccard, mixing, mjpeg, packing, prefix_trie, quality, quotations, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op7_toxicity, op8_exact_dedup, op9_quality, op10_media_mjpeg, op11_source_divergence)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op7_toxicity, op8_exact_dedup, op9_quality, op10_media_mjpeg, op11_source_divergence, op12_prefix_trie)}
 
 ORACLES = {
     "op2_url_filter": r"""
@@ -129,4 +133,29 @@ ORACLES = {
         terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE uses > 0 AND p > q),
         r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
         SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    # crc32 bit by bit; nodes are named by the list of their turns
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, '')), encode(coalesce(text, ''))) AS i,
+                   coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, list({'role': role, 'text': text} ORDER BY i) AS turns FROM t GROUP BY c),
+        h AS (SELECT c, turns, (xor(4294967295::BIGINT, list_reduce(list_transform(range(8 * length(c::VARCHAR)), lambda x: x::BIGINT), lambda a, x: CASE
+                    WHEN xor(a, CASE WHEN x % 8 = 0 THEN ascii(substr(c::VARCHAR, (x // 8 + 1)::INTEGER, 1))::BIGINT ELSE 0::BIGINT END) & 1 = 1
+                    THEN xor(xor(a, CASE WHEN x % 8 = 0 THEN ascii(substr(c::VARCHAR, (x // 8 + 1)::INTEGER, 1))::BIGINT ELSE 0::BIGINT END) >> 1, 3988292384::BIGINT)
+                    ELSE xor(a, CASE WHEN x % 8 = 0 THEN ascii(substr(c::VARCHAR, (x // 8 + 1)::INTEGER, 1))::BIGINT ELSE 0::BIGINT END) >> 1 END, 4294967295::BIGINT)) % 6)::INTEGER AS h FROM o),
+        b AS (SELECT h.c, list_concat(coalesce(list_slice(o.turns, 1, h), []), list_slice(h.turns, h + 1, length(h.turns))) AS turns
+              FROM h LEFT JOIN o ON o.c = h.c - h.c % 100),
+        m AS (SELECT c, d, list_slice(turns, 1, d) AS p, d = length(turns) AS ends FROM (SELECT c, turns, unnest(range(length(turns) + 1)) AS d FROM b)),
+        n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ids FROM m GROUP BY p, d),
+        k AS (SELECT n.*, q.conv_id AS parent_conv_id, count(*) FILTER (q.conv_id IS NOT NULL) OVER (PARTITION BY q.conv_id, q.d) AS siblings, q.d AS pd
+              FROM n LEFT JOIN n q ON n.d = q.d + 1 AND list_slice(n.p, 1, n.d - 1) = q.p),
+        ch AS (SELECT parent_conv_id, pd, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+        e AS (SELECT k.*, coalesce(n_children, 0) AS n_children, CASE WHEN k.d = 0 THEN 0 ELSE (n_convs - 1) * length(k.p[k.d].text) END AS saved
+              FROM k LEFT JOIN ch ON ch.parent_conv_id = k.conv_id AND ch.pd = k.d),
+        sub AS (SELECT u.conv_id, u.d, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(w.saved) AS saved_tokens
+                FROM e u JOIN e w ON w.d >= u.d JOIN m ON m.c = w.conv_id AND m.d = u.d AND m.p = u.p GROUP BY ALL)
+        SELECT e.conv_id, e.d::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+               saved_tokens::BIGINT AS saved_tokens, sha256(ids) AS ends_sha256
+        FROM e JOIN sub ON sub.conv_id = e.conv_id AND sub.d = e.d""",
 }
