@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibweave.llm import divergence, exact_dedup, jaccard, mixing, mjpeg, packing, prefix_trie, quality, quotations, token_shards, toxicity, url_filter
+from bibweave.llm import divergence, exact_dedup, jaccard, mixing, mjpeg, packing, prefix_trie, quality, quotations, token_counts, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op7_toxicity, op8_exact_dedup, op9_quality, op10_media_mjpeg, op11_source_divergence, op12_prefix_trie)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_ngram_jaccard, op4_source_mixing, op5_quotation_linking, op6_token_shards, op7_toxicity, op8_exact_dedup, op9_quality, op10_media_mjpeg, op11_source_divergence, op12_prefix_trie, op13_token_counts)}
 
 ORACLES = {
     "op2_url_filter": r"""
