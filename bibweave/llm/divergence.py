@@ -35,6 +35,7 @@ LETTERS = np.zeros(256, dtype=bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 PART = "lang string, source string, term string, uses long, docs long"
 SLICE = 2 << 20
+HELD = 400_000
 
 
 def distinct_texts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -114,6 +115,29 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "uses", "docs"])
 
 
+def _combined(parts: list[pa.RecordBatch]) -> pa.Table:
+    grouped = pa.Table.from_batches(parts).group_by(["lang", "source", "term"], use_threads=False).aggregate([("uses", "sum"), ("docs", "sum")])
+    return grouped.rename_columns(["lang", "source", "term", "uses", "docs"])
+
+
+def combined_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term_counts``, summed per task before the shuffle in a table of at most ``HELD`` keys. When it is full its rarer half is
+    sent on, so that frequent terms leave a task once."""
+    parts, rows = [], 0
+    for part in term_counts(batches):
+        parts.append(part)
+        rows += part.num_rows
+        if rows > 2 * HELD:
+            table = _combined(parts)
+            if table.num_rows > HELD:
+                table = table.sort_by([("uses", "descending")])
+                yield from table.slice(HELD // 2).to_batches()
+                table = table.slice(0, HELD // 2)
+            parts, rows = table.combine_chunks().to_batches(), table.num_rows
+    if parts:
+        yield from _combined(parts).to_batches()
+
+
 def share(count: Column, total: Column, kept: Column, prior: int = PRIOR, scale: int = SCALE) -> Column:
     """1 + floor(scale * (count + prior) / (total + prior * kept)), without rounding; null where nothing is kept."""
     whole = lambda c: c.cast("decimal(24,0)")
@@ -124,10 +148,12 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """lang, source, part ('pair' or 'term'), item, value, rank: see the module's description."""
     named = lambda c: F.coalesce(F.col(c), F.lit(""))
     groups = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source")).distinct()
-    parts = distinct_texts(docs, text_col, lang_col, source_col).mapInArrow(term_counts, PART)
-    counts = persisted(parts.groupBy("lang", "source", "term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs")), "term-counts")
-    vocabulary = counts.groupBy("lang", "term").agg(F.sum("uses").alias("lang_uses"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    kept = persisted(counts.drop("docs").join(vocabulary.drop("docs"), ["lang", "term"]), "kept-terms")
+    parts = distinct_texts(docs, text_col, lang_col, source_col).mapInArrow(combined_counts, PART)
+    # sums come from the tasks already; one deal by (lang, term) serves the sums of sources and of languages
+    counts = parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
+    here = Window.partitionBy("lang", "term")
+    kept = counts.withColumns({"lang_uses": F.sum("uses").over(here), "lang_docs": F.sum("docs").over(here)}).where(F.col("lang_docs") >= least_docs)
+    kept = persisted(kept.select("lang", "term", "source", "uses", "lang_uses"), "kept-terms")
     # V and N of every language, N of every source: a row each
     per_source = kept.groupBy("lang", "source").agg(F.sum("uses").alias("n"), F.count("*").alias("held"))
     per_lang = kept.groupBy("lang", "term").agg(F.first("lang_uses").alias("uses")).groupBy("lang").agg(F.sum("uses").alias("lang_n"), F.count("*").alias("v"))

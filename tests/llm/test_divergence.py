@@ -56,13 +56,14 @@ def test_empty_table(spark):
 def test_long_texts_count_their_terms_once(spark, monkeypatch):
     """Texts of many slices, between short ones: a document is counted once however many slices hold its term."""
     monkeypatch.setattr(divergence, "SLICE", 64)
+    monkeypatch.setattr(divergence, "HELD", 2)
     rows = [("one two three " * 40, "en", "a"), ("two", "en", "a"), ("three four " * 30 + "one", "en", "b"), ("x" * 500 + " one", "en", "b"), ("four", "en", "c")]
     import pyarrow as pa
 
     copies = pa.array([[{"source": s, "n": 1}] for _, _, s in rows], pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))
     batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows]), copies], ["lang", "text", "copies"])
     got = defaultdict(lambda: [0, 0])
-    for part in divergence.term_counts([batch]):
+    for part in divergence.combined_counts([batch]):
         for r in part.to_pylist():
             got[r["source"], r["term"]][0] += r["uses"]
             got[r["source"], r["term"]][1] += r["docs"]
