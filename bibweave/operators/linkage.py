@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibweave.functions.fuzzy import title_forms, titles_alike, venue_forms, venues_alike
+from bibweave.functions.fuzzy import titles_alike, venues_alike
 from bibweave.functions.identifiers import arxiv_base, extract_arxiv, identifier_match, normalize_doi, url_doi
 from bibweave.functions.names import author_agreement, family_name
+from bibweave.operators.catalog_index import CODE_IDF, HEADS, SCALE, CatalogIndex, build_catalog_index, prepared, title_keys
 from bibweave.session import persisted, spread
 
 HIGH, MEDIUM, TITLE_MATCH, IDENTIFIER_MATCH, VENUE_MATCH = 0.75, 0.50, 0.85, 0.50, 0.75
@@ -35,15 +36,6 @@ def match_by_arxiv(refs: DataFrame, works: DataFrame) -> DataFrame:
     return left.join(works.select("work_id", arxiv_base(F.col("arxiv")).alias("arxiv")).where("arxiv <> ''"), "arxiv").select("ref_id", "work_id")
 
 
-def title_keys(titles: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` with token: the runs of two and of three words of each title; a title of one word is its own key.
-    Runs of three are rare in any catalog and find most works; runs of two find what a wrong word hides from them."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), 1)
-    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    keys = F.when(F.size("w") > 1, F.concat(run(2), run(3))).otherwise(F.col("w"))
-    return titles.select(*keep, words.alias("w")).select(*keep, F.explode(F.array_distinct(keys)).alias("token"))
-
-
 def query_terms(works: DataFrame) -> DataFrame:
     """token, df, idf of the works' title keys; idf is ln(1 + works / df)."""
     n = works.agg(F.count("*").alias("n"))
@@ -51,45 +43,99 @@ def query_terms(works: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("token", "df", F.log1p(F.col("n") / F.col("df")).alias("idf"))  # n is one row
 
 
-def block_by_title(refs: DataFrame, works: DataFrame, k: int = 5, rarest: int = 3, year_band: int = 1) -> DataFrame:
-    """(ref_id, source_db, work_id, weight): for each reference and database the k works with the largest weight, once among
-    those within ``year_band`` years of it and once in any year, with every work that ties with the last.
+def question(refs: DataFrame) -> DataFrame:
+    """ref_id, v (its title), u (title, year and first author's surname), title, ref_year, surname. References of one u are one
+    question; what depends on the title alone is done once per v."""
+    first = F.lower(family_name(F.get("authors", F.lit(0)))) if "authors" in refs.columns else F.lit("")
+    rows = refs.select("ref_id", F.coalesce("title", F.lit("")).alias("title"), F.col("year").alias("ref_year"), F.coalesce(first, F.lit("")).alias("surname"))
+    return rows.withColumns({"v": F.xxhash64("title"), "u": F.xxhash64("title", "ref_year", "surname")})
+
+
+CANDIDATE = ["u", "v", "ref_year", "source_db", "work_id", "near", "weight", "same_author", "n_keys"]
+
+
+def _lists(found: DataFrame, k: int) -> DataFrame:
+    """The candidates among the first k of their question's list, in any year or near it, with their places there."""
+    tie = [F.desc("weight"), F.desc("same_author"), "n_keys", "work_id"]
+    ranked = found.withColumn("any_rank", F.row_number().over(Window.partitionBy("u", "source_db").orderBy(*tie)))
+    ranked = ranked.withColumn("near_rank", F.when(F.col("near"), F.row_number().over(Window.partitionBy("u", "source_db").orderBy(F.desc("near"), *tie))))
+    return ranked.where((F.col("any_rank") <= k) | (F.col("near_rank") <= k))
+
 
-    The weight of a work is the summed idf of all keys that it shares with the reference. Works are found by the reference's
-    ``rarest`` keys; where the keys left could still outweigh the best work found, by all its keys. So the work of largest
-    weight is always found, and a frequent key is looked up only where nothing rarer decides. References of one title and
-    year are one question. A title made of frequent keys alone meets all works that hold them: AQE splits that join.
+def _reach(lists: DataFrame, k: int, rank: str, *by: str) -> DataFrame:
+    """The columns ``by``, reach: the least k-th weight so far of the n questions whose list of this kind is full."""
+    return lists.groupBy(*by).agg(F.min(F.when(F.col(rank) == k, F.col("weight"))).alias("reach"), F.count(F.when(F.col(rank) == k, True)).alias("full"))
+
+
+def block_by_title(refs: DataFrame, works: DataFrame | CatalogIndex, k: int = 5, year_band: int = 1, rounds: tuple[int, ...] = (3,)) -> DataFrame:
+    """(ref_id, source_db, work_id, weight): for each reference and database the k works of largest weight, once among those
+    within ``year_band`` years of it and once in any year. All works that share a title key compete.
+
+    The weight of a work is the summed idf of the keys it shares with the reference. Ties: works with an author of the first
+    author's surname come first, then those with the fewest title keys, then the smallest work_id. ``works`` may be a stored
+    index, whose ``heads_kept`` must then be k at least.
+
+    Rare keys are looked up for every title: their works are few by the index's bound. Frequent keys are read from the rarest
+    on, by database, and only as far as the keys not yet read could still lift a work into one of the two lists: their summed
+    idf is the bound, the k-th weight found so far what it must reach. They lead to classes (works of one database and year
+    with the same frequent keys), each met at the first key it shares; a class weighs the same for all its works that share no
+    rare key, so its first k works by the tie rule, and the first k of the author's name, stand for it. Pairs thus grow with
+    classes, not with works.
     """
-    asked = refs.select("ref_id", F.coalesce("title", F.lit("")).alias("title"), F.col("year").alias("ref_year")).withColumn("q", F.xxhash64("title", "ref_year"))
-    terms = persisted(query_terms(works).withColumn("t", F.xxhash64("token")), "terms")
-    held = persisted(title_keys(works, "work_id").select("work_id", F.xxhash64("token").alias("t")), "work_keys")
-    order = Window.partitionBy("q").orderBy("df", "token")
-    asks = title_keys(asked.dropDuplicates(["q"]), "q", "ref_year").join(terms, "token").withColumn("rank", F.row_number().over(order))
-    asks = persisted(asks.select("q", "ref_year", "t", "idf", "rank"), "ref_keys")
-    asks_of = asks.groupBy("q").agg(F.first("ref_year").alias("ref_year"), F.collect_list(F.struct("t", "idf")).alias("asked"))
-    held_of = works.select("work_id", "source_db", "year").join(held.groupBy("work_id").agg(F.collect_list("t").alias("held")), "work_id")
-    shared = F.array_sort(F.transform(F.filter("asked", lambda x: F.array_contains("held", x.t)), lambda x: x.idf))
-
-    def weighed(keys: DataFrame) -> DataFrame:
-        met = keys.select("q", "t").join(held, "t").select("q", "work_id").distinct()
-        weight, near = F.aggregate(shared, F.lit(0.0), lambda a, x: a + x), F.abs(F.col("year") - F.col("ref_year")) <= year_band
-        return met.join(held_of, "work_id").join(asks_of, "q").select("q", "work_id", "source_db", F.coalesce(near, F.lit(False)).alias("near"), F.round(weight, 9).alias("weight"))
-
-    few = persisted(weighed(asks.where(F.col("rank") <= rarest)), "found")
-    left = asks.where(F.col("rank") > rarest).groupBy("q").agg(F.sum("idf").alias("left"))
-    open_ = left.join(few.groupBy("q").agg(F.max("weight").alias("best")), "q", "left").where(F.coalesce("best", F.lit(0.0)) < F.col("left")).select("q")
-    all_ = weighed(asks.join(open_, "q", "left_semi"))
-    found = few.join(open_, "q", "left_anti").unionByName(all_)
-    level = lambda name, rows: rows.withColumn(name, F.rank().over(Window.partitionBy("q", "source_db").orderBy(F.desc("weight"))))
-    best = level("r", found).withColumn("n", F.rank().over(Window.partitionBy("q", "source_db", "near").orderBy(F.desc("weight"))))
-    best = best.where((F.col("r") <= k) | (F.col("near") & (F.col("n") <= k)))
-    return asked.select("ref_id", "q").join(best, "q").select("ref_id", "source_db", "work_id", "weight")
-
-
-def prepared(rows: DataFrame) -> DataFrame:
-    """rows with the forms of their titles and venues, made once per row instead of once per pair."""
-    plain, tokens = title_forms(F.col("title"))
-    return rows if "venue_forms" in rows.columns else rows.withColumns({"title_plain": plain, "title_tokens": tokens, "venue_forms": venue_forms(F.col("journal"))})
+    index = works if isinstance(works, CatalogIndex) else build_catalog_index(works, heads=max(k, HEADS))
+    if index.heads_kept < k:
+        raise ValueError(f"the index keeps {index.heads_kept} works of a class, {k} are asked for")
+    asked = persisted(question(refs), "asked")
+    variants = persisted(asked.select("u", "v", "ref_year", "surname").distinct(), "variants")
+    keys = persisted(title_keys(asked.dropDuplicates(["v"]), "v").select("v", F.xxhash64("token").alias("t")).join(index.table("terms"), "t"), "asked-keys")
+    order = Window.partitionBy("v").orderBy("df", "t")
+    later = F.sum("idf").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    frequent = keys.where("code IS NOT NULL").withColumns({"place": F.row_number().over(order), "left": later})
+    codes = F.transform(F.sort_array(F.collect_list(F.struct("place", "code"))), lambda x: x.code)
+    hot = persisted(frequent.groupBy("v").agg(codes.alias("asked")), "titles")
+    frequent = persisted(frequent.select("v", "t", "place", "left").join(hot, "v"), "frequent")
+    dated = variants.where("ref_year IS NOT NULL").groupBy("v", "ref_year").agg(F.count("*").alias("questions"))
+    undated = variants.groupBy("v").agg(F.count("*").alias("questions"))
+    near = F.coalesce(F.abs(F.col("year") - F.col("ref_year")) <= year_band, F.lit(False))
+    shared = lambda held: F.aggregate(F.array_intersect("asked", held), F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(CODE_IDF)))
+
+    rare = keys.where("code IS NULL").join(index.table("postings"), "t").groupBy("v", "work_id").agg(F.sum("idf").alias("rare"))
+    rare = rare.join(index.table("info"), "work_id").join(hot.select("v", "asked"), "v", "left")
+    rare = rare.withColumn("weight", F.col("rare") + F.coalesce(shared("keys"), F.lit(0))).join(variants, "v")
+    lists = persisted(_lists(rare.withColumns({"near": near, "same_author": F.array_contains("surnames", F.col("surname"))}).select(CANDIDATE), k), "found")
+
+    sources = persisted(index.table("class_terms").select("source_db").distinct(), "sources")
+    classes = index.table("class_terms")
+    done = 0
+    for upto in (*rounds, None):
+        now = frequent.where(F.col("place") > done if upto is None else (F.col("place") > done) & (F.col("place") <= upto))
+        now = now.withColumn("before", F.slice("asked", F.lit(1), F.col("place") - 1))
+
+        def met(of: DataFrame, rank: str, by: list[str], years: Column | None, now: DataFrame = now, lists: DataFrame = lists) -> DataFrame:
+            """Classes that may enter a list, with their weight. A title has a row per database, as many as the catalog has."""
+            reach = F.when(F.col("full") == F.col("questions"), F.col("reach")).otherwise(0)
+            rows = of.join(sources).join(_reach(lists, k, rank, *by, "source_db"), [*by, "source_db"], "left").withColumn("reach", F.coalesce(reach, F.lit(0)))
+            rows = rows.join(now, "v").where("left >= reach").select(*by, "source_db", "reach", "t", "asked", "before", *([F.explode(years).alias("year")] if years is not None else []))
+            found = rows.join(classes, ["t", "source_db", *(["year"] if years is not None else [])]).where(~F.arrays_overlap("before", "codes"))
+            return found.withColumn("weight", shared("codes")).where("weight >= reach").select(*by, "source_db", "year", "cls", "weight")
+
+        anywhere = met(undated, "any_rank", ["v"], None).join(variants, "v").withColumn("near", near)
+        close = F.sequence(F.col("ref_year") - year_band, F.col("ref_year") + year_band)
+        nearby = met(dated, "near_rank", ["v", "ref_year"], close).join(variants, ["v", "ref_year"]).withColumn("near", F.lit(True))
+        both = anywhere.unionByName(nearby)
+        names = F.array_compact(F.array(F.lit(""), F.when(F.col("surname") != "", F.col("surname"))))
+        heads = index.table("heads").withColumn("name", F.coalesce("surname", F.lit(""))).drop("surname")
+        found = both.withColumn("name", F.explode(names)).join(heads, ["cls", "name"]).withColumn("same_author", F.col("name") != "").select(CANDIDATE)
+        found = persisted(found, "heads")
+        touched = found.select("u", "source_db").distinct()
+        # a head may be known already, with its rare keys: the larger weight is the true one
+        again = lists.join(touched, ["u", "source_db"], "left_semi").select(CANDIDATE)
+        best = again.unionByName(found).groupBy("u", "v", "source_db", "work_id")
+        best = best.agg(*[F.max(c).alias(c) for c in ("ref_year", "near", "weight", "same_author", "n_keys")])
+        kept = lists.join(touched, ["u", "source_db"], "left_anti")
+        lists = persisted(_lists(best.select(CANDIDATE), k).unionByName(kept), "found")
+        done = upto or done
+    return asked.select("ref_id", "u").join(lists, "u").select("ref_id", "source_db", "work_id", (F.col("weight") / float(SCALE)).alias("weight"))
 
 
 def score_pairs(pairs: DataFrame, refs: DataFrame, works: DataFrame) -> DataFrame:
@@ -221,18 +267,26 @@ def strong_match(score: Column, title_score: Column) -> Column:
     return (score >= 1.0) & (title_score >= TITLE_MATCH)
 
 
-def verify(refs: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
+def match_identifiers(refs: DataFrame, index: CatalogIndex) -> DataFrame:
+    """Distinct (ref_id, work_id) with equal DOIs or arXiv ids, from the index."""
+    doi, arxiv = F.struct(F.lit("doi").alias("kind"), url_doi(F.col("url")).alias("ident")), F.struct(F.lit("arxiv").alias("kind"), arxiv_base(extract_arxiv(F.col("url"))).alias("ident"))
+    asked = refs.select("ref_id", F.inline(F.array(doi, arxiv))).where("ident <> ''")
+    return asked.join(index.table("identifiers"), ["kind", "ident"]).select("ref_id", "work_id").distinct()
+
+
+def verify(refs: DataFrame, works: DataFrame | CatalogIndex, k: int = 5) -> DataFrame:
     """One row per reference: ref_id, status, decision, problem_tags, work_id, source_db, score, title_score, strong.
 
-    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title (``block_by_title``). Both
-    tables are written once, with the columns needed; the steps read them from there.
+    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title (``block_by_title``). With a
+    stored index nothing of the catalog is read, prepared or counted again; from works, an index is built first.
     """
+    index = works if isinstance(works, CatalogIndex) else build_catalog_index(works, heads=max(k, HEADS))
     refs = persisted(prepared(refs.select("ref_id", "title", "authors", "year", "journal", "url", *[c for c in ("confidence",) if c in refs.columns])), "refs")
-    works = persisted(prepared(works.select("work_id", "source_db", "title", "authors", "year", "journal", "doi", "arxiv")), "works")
-    first = persisted(score_pairs(match_by_doi(refs, works).unionByName(match_by_arxiv(refs, works)).distinct(), refs, works), "by_identifier")
+    works = index.works
+    first = persisted(score_pairs(match_identifiers(refs, index), refs, works), "by_identifier")
     first = first.where(F.col("score") >= IDENTIFIER_MATCH)
     rest = persisted(refs.join(first.select("ref_id").distinct(), "ref_id", "left_anti"), "rest")
-    second = persisted(score_pairs(block_by_title(rest, works, k).select("ref_id", "work_id"), rest, works), "by_title")
+    second = persisted(score_pairs(block_by_title(rest, index, k).select("ref_id", "work_id"), rest, works), "by_title")
     best = best_match(best_per_database(first.unionByName(second)))
     out = refs.select("ref_id").join(best, "ref_id", "left")
     matched = F.col("work_id").isNotNull()

@@ -54,6 +54,21 @@ SELECT ref_id, doc_id, ref_number, CAST(kind AS INT) AS kind, work_id AS cited_w
        CASE WHEN kind IN (5, 6, 9, 11) THEN '' ELSE concat('https://doi.org/', doi) END AS url
 FROM cited"""
 
+#: The catalog beside works of stock titles, which share frequent words only; and what is asked of it: every distinct title, year
+#: and first surname of the references, and invented titles that share the stock words with all of these works.
+CROWDED = f"""
+SELECT work_id, source_db, title, authors, year FROM ({CATALOG}) AS c
+UNION ALL
+SELECT work_id + 100000000 AS work_id, {_pick("crossref,openalex,pubmed,base,trdizin", "work_id")} AS source_db,
+       concat({_pick(GIVEN, "work_id")}, ' in the journal of applied studies') AS title, authors, year
+FROM ({CATALOG}) AS c"""
+
+ASKED = f"""
+SELECT DISTINCT concat_ws('/', title, year, surname) AS ref_id, title, year, surname
+FROM (SELECT title, year, split_part(authors, ',', 1) AS surname FROM ({REFS}) AS r
+      UNION ALL
+      SELECT concat('invented ', l_suppkey, ' matters in the journal of applied studies') AS title, CAST(1995 + l_suppkey % 9 AS INT) AS year, {_pick(FAMILIES, "l_suppkey")} AS surname
+      FROM {{lineitem}}) AS a"""
 
 #: One printed string per reference, in one of three styles.
 RAW = f"""

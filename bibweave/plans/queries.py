@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibweave.functions import fuzzy, identifiers, text
 from bibweave.operators import curation, extract, labels, layout, linkage, reports
-from bibweave.plans.derived import CATALOG, FEED, LINES, RAW, REFS, VERDICTS, catalog, derived, duck, refs, view
+from bibweave.plans.derived import ASKED, CATALOG, CROWDED, FEED, LINES, RAW, REFS, VERDICTS, catalog, derived, duck, refs, view
 from bibweave.streaming import feeds
 
 QUERIES: dict = {}
@@ -131,14 +131,18 @@ def _keys(sql: str, *keep: str) -> str:
     return f"""(SELECT {cols}, unnest(list_distinct(CASE WHEN len(w) > 1 THEN list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE w END)) AS token FROM (SELECT {cols}, regexp_extract_all(lower(title), '[a-z0-9]+') AS w FROM {sql}))"""
 
 
-BLOCK = f"""WITH r AS MATERIALIZED (SELECT DISTINCT title, year, concat_ws('/', title, year) AS q FROM {duck(REFS)}), w AS MATERIALIZED (SELECT * FROM {duck(CATALOG)}),
-    t AS MATERIALIZED (SELECT * FROM {_keys("w", "work_id", "source_db", "year")}), df AS (SELECT token, count(*) AS df, ln(1 + (SELECT count(*) FROM w) / count(*)) AS idf FROM t GROUP BY token),
-    a AS MATERIALIZED (SELECT k.*, df, idf, row_number() OVER (PARTITION BY q ORDER BY df, k.token) AS rank FROM {_keys("r", "q", "year")} k JOIN df USING (token)),
-    p AS MATERIALIZED (SELECT q, work_id, any_value(source_db) AS source_db, bool_or(abs(t.year - a.year) <= 1) AS near, min(rank) <= 3 AS rare, round(sum(idf), 9) AS weight FROM a JOIN t USING (token) GROUP BY q, work_id),
-    o AS (SELECT q FROM (SELECT q, sum(idf) FILTER (rank > 3) AS rest FROM a GROUP BY q) LEFT JOIN (SELECT q, max(weight) AS best FROM p WHERE rare GROUP BY q) USING (q) WHERE rest > coalesce(best, 0)),
-    f AS (SELECT * FROM p WHERE rare OR q IN (FROM o)),
-    b AS (SELECT *, rank() OVER (PARTITION BY q, source_db ORDER BY weight DESC) AS place, rank() OVER (PARTITION BY q, source_db, near ORDER BY weight DESC) AS near_place FROM f)
-    SELECT q AS ref_id, source_db, work_id, round(weight, 6) AS weight FROM b WHERE place <= 5 OR (near AND near_place <= 5)"""
+# All works that share any key compete; weights are whole numbers, so that sums don't depend on their order.
+BLOCK = f"""WITH r AS MATERIALIZED (SELECT ref_id AS q, title, year, lower(surname) AS surname FROM {duck(ASKED)}), w AS MATERIALIZED (SELECT * FROM {duck(CROWDED)}),
+    t AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY work_id) AS n_keys FROM {_keys("w", "work_id", "source_db", "year", "authors")}),
+    df AS (SELECT token, CAST(round(ln(1 + (SELECT count(*) FROM w) / count(*)) * 1000000) AS BIGINT) AS idf FROM t GROUP BY token),
+    a AS MATERIALIZED (SELECT k.*, idf FROM {_keys("r", "q", "year", "surname")} k JOIN df USING (token)),
+    p AS MATERIALIZED (
+        SELECT q, work_id, any_value(source_db) AS source_db, any_value(n_keys) AS n_keys, bool_or(coalesce(abs(t.year - a.year) <= 1, false)) AS near,
+               bool_or(list_contains(list_transform(string_split(authors, '; '), lambda x: lower(split_part(x, ',', 1))), surname)) AS same, sum(idf) AS weight
+        FROM a JOIN t USING (token) GROUP BY q, work_id),
+    b AS (SELECT *, row_number() OVER (PARTITION BY q, source_db ORDER BY weight DESC, same DESC, n_keys, work_id) AS place,
+                 row_number() OVER (PARTITION BY q, source_db, near ORDER BY weight DESC, same DESC, n_keys, work_id) AS near_place FROM p)
+    SELECT q AS ref_id, source_db, work_id, round(weight / 1000000.0, 6) AS weight FROM b WHERE place <= 5 OR (near AND near_place <= 5)"""
 
 
 def citations(spark, sf_dir):
@@ -147,9 +151,10 @@ def citations(spark, sf_dir):
 
 @query(BLOCK)
 def block_by_title(spark, sf_dir):
-    """Every distinct title and year of the references as one question."""
-    asked = refs(spark, sf_dir).select(F.concat_ws("/", "title", "year").alias("ref_id"), "title", "year").distinct()
-    return linkage.block_by_title(asked, works(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    """Every distinct title, year and first surname of the references, and invented titles of stock words, against all works."""
+    listed = F.split("authors", "; ")
+    asked = derived(spark, sf_dir, ASKED).withColumn("authors", F.array(F.concat("surname", F.lit(", X."))))
+    return linkage.block_by_title(asked, derived(spark, sf_dir, CROWDED).withColumn("authors", listed)).withColumn("weight", F.round("weight", 6))
 
 
 @query()

@@ -44,8 +44,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own below the shared scratch folder; nothing is made yet."""
+    return os.path.join(scratch_root(spark), "bibweave", uuid.uuid4().hex, name)
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared scratch folder and reads it back: cuts the lineage and survives lost executors."""
-    path = os.path.join(scratch_root(df.sparkSession), "bibweave", uuid.uuid4().hex, name)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

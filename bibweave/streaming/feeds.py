@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bibweave.operators.catalog_index import CatalogIndex, build_catalog_index, open_catalog_index
 from bibweave.operators.linkage import verify
 from bibweave.session import persisted
 
@@ -68,11 +69,14 @@ def progress_stream(events: DataFrame, store: str, checkpoint: str, parts: int =
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def verify_stream(refs: DataFrame, works: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> object:
-    """Verifies each micro-batch of references against the static catalog and hands the results to ``sink``."""
+def verify_stream(refs: DataFrame, catalog: DataFrame | CatalogIndex, sink: Callable[[DataFrame, int], None], checkpoint: str) -> object:
+    """Verifies each micro-batch of references and hands the results to ``sink``. The catalog is indexed once, before the stream
+    starts, unless it is a stored index; every micro-batch opens the index's newest version, so appended works are found from
+    the next one on."""
+    index = catalog if isinstance(catalog, CatalogIndex) else build_catalog_index(catalog)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        sink(verify(batch, works), epoch)
+        sink(verify(batch, open_catalog_index(batch.sparkSession, index.folder)), epoch)
 
     return refs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
