@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, sampled by quality score."""
-    return mixing.mixed_rows(docs, weigh=quality.weight_on(docs, table(spark, sf_dir, "labels")))
+    """Documents as often as the mix takes them, sampled by quality score. The classifier is the filter's: fitted on the whole
+    table, as the bad examples it needs are gone from what the filter kept."""
+    return mixing.mixed_rows(docs, weigh=quality.weight_on(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
