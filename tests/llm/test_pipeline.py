@@ -54,6 +54,18 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_mix_weighs_with_the_filters_classifier(spark, sf_dir, monkeypatch):
+    """The model of the mix is that of the filter, also on what the filter left."""
+    models, fit_on = [], pipeline.quality.fit_on
+    monkeypatch.setattr(pipeline.quality, "fit_on", lambda *a, **b: models.append(fit_on(*a, **b)) or models[-1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = persisted(pipeline.quality_filter(spark, docs, sf_dir), "good")
+    pipeline.mix_sources(spark, good, sf_dir)
+    first, second = models
+    texts = [(r.text or "").encode() for r in good.limit(50).collect()]
+    assert first.weights.any() and (first.scores(texts) == second.scores(texts)).all()
+
+
 CLASH = ["_dropped", "mix_copies", "_copy", "_quality_score", "k1", "k2", "c0", "c3", "label", "size", "key", "tie", "node", "id", "n", "kept", "copies", "source_size"]
 
 
