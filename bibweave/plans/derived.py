@@ -78,6 +78,27 @@ SELECT *, CASE ref_number % 3
          ELSE concat(split_part(authors, ',', 1), ' ', substr(split_part(authors, ', ', 2), 1, 1), ', Co B. ', title, '. ', journal, '. ', year, ';', ref_number, ':1-9. arXiv:2', substr(concat('000', ref_number), -3), '. 1', 1000 + ref_number, 'v', ref_number % 3 + 1, ' Erişim tarihi: 1.2.2020') END AS raw
 FROM ({REFS}) AS r"""
 
+#: The references printed in the six styles: titles that open with a capital or an article, lists with "and", pages that read like
+#: years, a venue with a year in its name. Two Harvard forms and two Chicago forms.
+STYLED = f"""
+WITH p AS (
+    SELECT ref_id, ref_number, CAST((ref_number + doc_id) % 8 AS INT) AS form, year, {_pick(FAMILIES, "cited_work")} AS f1, {_pick(GIVEN, "cited_work")} AS g1,
+           {_pick(FAMILIES, "cited_work + 5")} AS f2, {_pick(GIVEN, "cited_work + 4")} AS g2,
+           concat({_pick("A,On,The,Towards,An,Why", "cited_work")}, ' ', title) AS t,
+           CASE WHEN cited_work % 4 = 0 THEN concat('Proceedings of the 2003 Symposium on ', {_pick(FIELDS, "cited_work")}) ELSE concat({_pick(VENUES, "cited_work")}, ' ', {_pick(FIELDS, "cited_work")}) END AS j,
+           3 + cited_work % 40 AS v, 1 + ref_number % 9 AS i, 1950 + cited_work % 30 AS a, 1985 + cited_work % 50 AS z
+    FROM ({REFS}) AS r)
+SELECT p.*, CASE form
+    WHEN 0 THEN concat(f1, ', ', substr(g1, 1, 1), '., & ', f2, ', ', substr(g2, 1, 1), '. (', year, '). ', t, '. ', j, ', ', v, '(', i, '), ', a, '-', z, '.')
+    WHEN 1 THEN concat(f1, ', ', g1, ', and ', g2, ' ', f2, '. "', t, '." ', j, ', vol. ', v, ', no. ', i, ', ', year, ', pp. ', a, '-', z, '.')
+    WHEN 2 THEN concat(f1, ', ', g1, ', and ', g2, ' ', f2, '. "', t, '." ', j, ' ', v, ', no. ', i, ' (', year, '): ', a, '-', z, '.')
+    WHEN 3 THEN concat(f1, ', ', substr(g1, 1, 1), '. and ', f2, ', ', substr(g2, 1, 1), '., ', year, '. ', t, '. ', j, ', ', v, '(', i, '), pp.', a, '-', z, '.')
+    WHEN 4 THEN concat(f1, ' ', substr(g1, 1, 1), ', ', f2, ' ', substr(g2, 1, 1), '. ', t, '. ', j, '. ', year, ';', v, ':', a, '-', z, '.')
+    WHEN 5 THEN concat(substr(g1, 1, 1), '. ', f1, ' and ', substr(g2, 1, 1), '. ', f2, ', "', t, '," ', j, ', vol. ', v, ', no. ', i, ', pp. ', a, '-', z, ', May ', year, '.')
+    WHEN 6 THEN concat(f1, ', ', substr(g1, 1, 1), '., ', f2, ', ', substr(g2, 1, 1), '. ', year, '. ', t, '. ', j, ' ', v, ', pp. ', a, '-', z, '.')
+    ELSE concat(f1, ', ', g1, ', and ', g2, ' ', f2, '. ', year, '. "', t, '." ', j, ' ', v, ', no. ', i, ': ', a, '-', z, '.') END AS raw
+FROM p"""
+
 #: A verdict per reference, by key arithmetic, for the curation and report jobs.
 VERDICTS = f"""
 SELECT ref_id, doc_id, ref_number, title, journal, year, url,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibweave.functions import fuzzy, identifiers, text
 from bibweave.operators import curation, extract, labels, layout, linkage, reports
-from bibweave.plans.derived import ASKED, CATALOG, CROWDED, FEED, LINES, RAW, REFS, VERDICTS, catalog, derived, duck, refs, view
+from bibweave.plans.derived import ASKED, CATALOG, CROWDED, FEED, LINES, RAW, REFS, STYLED, VERDICTS, catalog, derived, duck, refs, view
 from bibweave.streaming import feeds
 
 QUERIES: dict = {}
@@ -491,6 +491,14 @@ def parse_references(spark, sf_dir):
     return out.select("ref_id", "title", "journal", "year", F.array_join("authors", "; ").alias("authors"), "doi", "arxiv", "url", F.round("parse_confidence", 6).alias("parse_confidence"))
 
 
+@query(f"""SELECT ref_id, t AS title, j AS journal, year, CASE WHEN form IN (0, 3, 6) THEN concat(f1, ', ', g1[1], '.; ', f2, ', ', g2[1], '.')
+        WHEN form = 4 THEN concat(f1, ' ', g1[1], '; ', f2, ' ', g2[1]) WHEN form = 5 THEN concat(g1[1], '. ', f1, '; ', g2[1], '. ', f2) ELSE concat(f1, ', ', g1, '; ', g2, ' ', f2) END AS authors FROM {duck(STYLED)}""")
+def parse_styles(spark, sf_dir):
+    """References printed in six styles; every field must be what it was printed from."""
+    out = extract.parse_references(derived(spark, sf_dir, STYLED).select("ref_id", "raw"))
+    return out.select("ref_id", "title", "journal", "year", F.array_join("authors", "; ").alias("authors"))
+
+
 # --- the feed in batch form
 
 

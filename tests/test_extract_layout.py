@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bibweave.operators import extract, layout
 from bibweave.plans import queries
 
@@ -92,3 +94,28 @@ def test_lines_and_boxes(spark):
     assert layout.text_in_box(words, boxes).first().text == "in side"
     refs = spark.createDataFrame([("d", "a", 1, 0.0, 0.0, 10.0, 10.0), ("d", "b", 1, 0.0, 20.0, 10.0, 30.0), ("d", "c", 2, 0.0, 0.0, 10.0, 10.0)], "doc_id string, ref_id string, page int, x0 double, y0 double, x1 double, y1 double")
     assert {r.ref_id: r.nearest for r in layout.nearest_reference(refs).collect()} == {"a": "b", "b": "a", "c": "a"}
+
+
+PLAIN = {
+    "Keller, A. and Weber, B., 2004. Networks of things. Journal of Graphs, 3(2), pp.1-9.": (["Keller, A.", "Weber, B."], 2004, "Networks of things", "Journal of Graphs"),
+    "Keller, A., Weber, B. 2004. Networks of things. Journal of Graphs 3, pp. 1950-1960.": (["Keller, A.", "Weber, B."], 2004, "Networks of things", "Journal of Graphs"),
+    "Keller A, Weber B. A title about networks. Journal of Graphs. 2003;12:1990-1999.": (["Keller A", "Weber B"], 2003, "A title about networks", "Journal of Graphs"),
+    "Keller A, Weber B, et al. On the year 1999 in networks. Graphs. 2003;12(4):10-9.": (["Keller A", "Weber B"], 2003, "On the year 1999 in networks", "Graphs"),
+    'Keller, Ada, and Boris Weber. "Networks of things." Journal of Applied Things 12, no. 3 2005: 1990-1999.': (["Keller, Ada", "Boris Weber"], 2005, "Networks of things", "Journal of Applied Things"),
+    'Keller, Ada, and Boris Weber. 2004. "Networks of things." Journal of Graphs 12, no. 3: 1990-1999.': (["Keller, Ada", "Boris Weber"], 2004, "Networks of things", "Journal of Graphs"),
+    'A. Keller and B. Weber, "Networks of things," Journal of Graphs, vol. 3, no. 2, pp. 1–9, May 2004.': (["A. Keller", "B. Weber"], 2004, "Networks of things", "Journal of Graphs"),
+    "van der Berg, A.-B., & O'Neil, C. (2004, May 3). Networks of things: A study. Journal of Graphs, 3(2), 1-9.": (["van der Berg, A.-B.", "O'Neil, C."], 2004, "Networks of things: A study", "Journal of Graphs"),
+    "Keller, A. (2004) Networks of things. Journal of Graphs, 3(2), 1-9.": (["Keller, A."], 2004, "Networks of things", "Journal of Graphs"),
+}
+
+
+def test_plain_strings_of_six_styles(spark):
+    rows = extract.parse_references(spark.createDataFrame([(t,) for t in PLAIN], "raw string")).collect()
+    assert {r.raw: (r.authors, r.year, r.title, r.journal) for r in rows} == PLAIN
+
+
+def test_masked_digits_keep_their_places(spark):
+    texts = {"Graphs 3, pp. 1950-1960.": "Graphs 3, pp. ####-####.", "12:1990–1999": "12:####–####", "no. May 2023, 2004": "no. May ####, 2004", "p. 2001 (2004)": "p. #### (2004)", "2004;12:3-9": "2004;12:3-#"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", extract.mask_digits(F.col("t")).alias("m"), extract.late_year(F.col("t")).alias("y")).collect()
+    assert {r.t: r.m for r in rows} == texts and all(len(r.t) == len(r.m) for r in rows)
+    assert {r.t: r.y for r in rows}["no. May 2023, 2004"] == "2004" and {r.t: r.y for r in rows}["12:1990–1999"] is None
