@@ -53,11 +53,19 @@ def canonical_url(doi: Column, arxiv: Column, url: Column) -> Column:
     return F.coalesce(F.concat(F.lit("https://doi.org/"), doi), F.concat(F.lit("https://arxiv.org/abs/"), arxiv), F.nullif(url, F.lit("")))
 
 
-def identifier_match(ref_doi: Column, ref_arxiv: Column, work_doi: Column, work_arxiv: Column) -> Column:
-    """Equal DOIs or equal arXiv ids up to the version; false where a side lacks both."""
-    doi = F.coalesce((F.coalesce(ref_doi, F.lit("")) != "") & (ref_doi == work_doi), F.lit(False))
-    arxiv = F.coalesce((F.coalesce(ref_arxiv, F.lit("")) != "") & (arxiv_base(ref_arxiv) == arxiv_base(work_arxiv)), F.lit(False))
-    return doi | arxiv
+def held_arxiv(url: Column, arxiv: Column) -> Column:
+    """A work's arXiv id: from its link, else its own field."""
+    return F.coalesce(extract_arxiv(url), F.nullif(arxiv, F.lit("")))
+
+
+def identifier_match(ref_url: Column, raw: Column, work_doi: Column, work_arxiv: Column, work_url: Column) -> Column:
+    """Whether a reference and a work name the same thing: the DOI in the reference's link is the work's; or the arXiv id in the
+    reference's link, else in its raw text, is the one in the work's link, else the work's own, versions aside; or both link to
+    the resolver with one DOI."""
+    same = lambda a, b: F.coalesce((a != "") & (a == b), F.lit(False))
+    resolver = lambda url: F.when(F.contains(url, F.lit("doi.org")), normalize_doi(url))
+    arxiv = arxiv_base(F.coalesce(extract_arxiv(ref_url), extract_arxiv(raw)))
+    return same(url_doi(ref_url), normalize_doi(work_doi)) | same(arxiv, arxiv_base(held_arxiv(work_url, work_arxiv))) | same(resolver(ref_url), resolver(work_url))
 
 
 #: FNV-1a, 64 bit: offset basis and prime (fixed values).

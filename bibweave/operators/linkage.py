@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibweave.functions.fuzzy import titles_alike, venues_alike
-from bibweave.functions.identifiers import arxiv_base, extract_arxiv, identifier_match, normalize_doi, url_doi
+from bibweave.functions.fuzzy import canonical_venue, titles_alike, venues_alike
+from bibweave.functions.identifiers import arxiv_base, extract_arxiv, identifier_match, normalize_doi, url_arxiv, url_doi
 from bibweave.functions.names import author_agreement, family_name
-from bibweave.operators.catalog_index import CODE_IDF, HEADS, SCALE, CatalogIndex, build_catalog_index, prepared, title_keys
+from bibweave.operators.catalog_index import (
+    AUTHOR_KEY, CODE_IDF, CONTAINER_KEY, FIELD_LEVELS, HEADS, SCALE, YEAR_KEY, CatalogIndex, build_catalog_index, prepared, title_keys,
+)
 from bibweave.session import persisted, spread
 
 HIGH, MEDIUM, TITLE_MATCH, IDENTIFIER_MATCH, VENUE_MATCH = 0.75, 0.50, 0.85, 0.50, 0.75
@@ -24,6 +26,11 @@ def blank(col: Column) -> Column:
     return F.coalesce(F.trim(col), F.lit("")) == ""
 
 
+def with_missing(rows: DataFrame, **defaults: Column) -> DataFrame:
+    """rows with these columns where it lacks them."""
+    return rows.withColumns({c: v for c, v in defaults.items() if c not in rows.columns})
+
+
 def match_by_doi(refs: DataFrame, works: DataFrame) -> DataFrame:
     """(ref_id, work_id) with equal normalised DOIs."""
     left = refs.select("ref_id", url_doi(F.col("url")).alias("doi"))
@@ -141,8 +148,8 @@ def block_by_title(refs: DataFrame, works: DataFrame | CatalogIndex, k: int = 5,
 def score_pairs(pairs: DataFrame, refs: DataFrame, works: DataFrame) -> DataFrame:
     """One row per pair: ref_id, work_id, work_source_db, the field scores, raw_score, score, and what ``field_agreement`` finds.
     Two joins fetch the fields, all else is a projection."""
-    if "confidence" not in refs.columns:
-        refs = refs.withColumn("confidence", F.lit(1.0))
+    refs = with_missing(refs, confidence=F.lit(1.0), raw=F.lit(None).cast("string"))
+    works = with_missing(works, url=F.lit(None).cast("string"), arxiv=F.lit(None).cast("string"))
     side = lambda df, key, name: df.select(key, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != key])
     rows = pairs.join(side(prepared(refs), "ref_id", "ref"), "ref_id").join(side(prepared(works), "work_id", "work"), "work_id")
     title = titles_alike(*[(F.col(f"{s}_title_plain"), F.col(f"{s}_title_tokens")) for s in ("ref", "work")])
@@ -150,11 +157,11 @@ def score_pairs(pairs: DataFrame, refs: DataFrame, works: DataFrame) -> DataFram
         {"title_score": title, "venue_score": venues_alike(F.col("ref_venue_forms"), F.col("work_venue_forms")), "authors": author_agreement(F.col("ref_authors"), F.col("work_authors"))}
     )
     gap = F.abs(F.col("ref_year") - F.col("work_year"))
-    ref_doi, ref_arxiv = url_doi(F.col("ref_url")), extract_arxiv(F.col("ref_url"))
-    same_id = identifier_match(ref_doi, ref_arxiv, normalize_doi(F.col("work_doi")), F.col("work_arxiv"))
+    same_id = identifier_match(F.col("ref_url"), F.col("ref_raw"), F.col("work_doi"), F.col("work_arxiv"), F.col("work_url"))
+    own_id = ~blank(url_doi(F.col("ref_url"))) | ~blank(url_arxiv(F.col("ref_url")))
     rows = rows.withColumns(
         {
-            "author_score": F.col("authors.score"), "authors_match": F.col("authors.match"), "same_identifier": same_id, "has_identifier": ~blank(ref_doi) | ~blank(ref_arxiv),
+            "author_score": F.col("authors.score"), "authors_match": F.col("authors.match"), "same_identifier": same_id, "has_identifier": own_id,
             "year_score": F.coalesce(F.when(gap == 0, 1.0).when(gap == 1, 0.5), F.lit(0.0)), "venue_match": ~blank(F.col("ref_journal")) & ~blank(F.col("work_journal")) & (F.col("venue_score") >= VENUE_MATCH),
         }
     )
@@ -186,10 +193,10 @@ def status_band(score: Column) -> Column:
 
 
 def field_agreement(m: DataFrame) -> DataFrame:
-    """Booleans title_ok, authors_ok, year_ok, venue_ok, id_ok; a field that both sides lack agrees."""
+    """Booleans title_ok, authors_ok, year_ok, venue_ok, id_ok; a field that both sides lack agrees, years agree up to one apart."""
     either = lambda a, b, same: F.when(blank(F.col(a)) & blank(F.col(b)), True).when(blank(F.col(a)) | blank(F.col(b)), False).otherwise(same)
-    has_work_id = ~blank(F.col("work_doi")) | ~blank(F.col("work_arxiv"))
-    years = F.when(F.col("ref_year").isNull() & F.col("work_year").isNull(), True).otherwise(F.coalesce(F.col("ref_year") == F.col("work_year"), F.lit(False)))
+    has_work_id = ~blank(F.col("work_doi")) | ~blank(F.col("work_arxiv")) | F.coalesce(F.contains("work_url", F.lit("arxiv.org")), F.lit(False))
+    years = F.when(F.col("ref_year").isNull() & F.col("work_year").isNull(), True).otherwise(F.coalesce(F.abs(F.col("ref_year") - F.col("work_year")) <= 1, F.lit(False)))
     return m.withColumns(
         {
             "title_ok": F.bround("title_score", 4) >= TITLE_MATCH,
@@ -243,8 +250,39 @@ def usable_keys(refs: DataFrame) -> DataFrame:
     return refs.select("ref_id", author.alias("use_author"), specific_container(F.col("journal")).alias("use_container"), F.col("year").isNotNull().alias("use_year"))
 
 
-#: The optional keys as bits of a mask.
-CONTAINER_KEY, AUTHOR_KEY, YEAR_KEY = 1, 2, 4
+def block_by_fields(refs: DataFrame, works: DataFrame | CatalogIndex, k: int = 5, year_band: int = 1) -> DataFrame:
+    """(ref_id, source_db, work_id, levels): works that a reference finds without its title, by its first author's surname, its venue
+    and its year (``year_band`` apart at most), for references whose title is ruined or missing.
+
+    A level is a set of two or all of these keys, as bits of a mask; a reference is searched at the levels that its usable keys
+    allow (``usable_keys``), and each level gives the first k works of each database, by distance of years, then by work_id;
+    ``levels`` counts those that give the work. One key alone says nothing about a work and is no level. The index holds the
+    first works of every combination of keys, so a frequent surname in a large journal meets as few as a rare one; references
+    of equal keys are one question. ``works`` may be a stored index, whose ``heads_kept`` must be k at least.
+    """
+    index = works if isinstance(works, CatalogIndex) else build_catalog_index(works, heads=max(k, HEADS))
+    if index.heads_kept < k:
+        raise ValueError(f"the index keeps {index.heads_kept} works of a combination, {k} are asked for")
+    refs = with_missing(refs, confidence=F.lit(1.0), raw=F.lit(None).cast("string"), journal=F.lit(None).cast("string"))
+    surname, venue = F.lower(family_name(F.get("authors", F.lit(0)))), canonical_venue(F.coalesce("journal", F.lit("")))
+    bit = lambda use, value, key: F.when(F.col(use) & (value != ""), key).otherwise(0)
+    rows = refs.select("ref_id", F.coalesce(surname, F.lit("")).alias("surname"), venue.alias("venue"), F.col("year").alias("ref_year")).join(usable_keys(refs), "ref_id")
+    usable = bit("use_container", F.col("venue"), CONTAINER_KEY) + bit("use_author", F.col("surname"), AUTHOR_KEY) + F.when(F.col("use_year"), YEAR_KEY).otherwise(0)
+    rows = rows.select("ref_id", "surname", "venue", "ref_year", usable.alias("usable"))
+    asked = persisted(rows.select("ref_id", F.xxhash64("surname", "venue", "ref_year", "usable").alias("q"), "surname", "venue", "ref_year", "usable"), "asked-fields")
+    has = lambda key: F.col("level").bitwiseAND(F.lit(key)) > 0
+    levels = F.filter(F.array(*map(F.lit, FIELD_LEVELS)), lambda level: level.bitwiseAND(F.col("usable")) == level)
+    questions = asked.dropDuplicates(["q"]).withColumn("level", F.explode(levels))
+    years = F.when(has(YEAR_KEY), F.sequence(F.col("ref_year") - year_band, F.col("ref_year") + year_band)).otherwise(F.array(F.lit(0)))
+    questions = questions.select(
+        "q", "ref_year", "level", F.when(has(AUTHOR_KEY), F.col("surname")).otherwise("").alias("surname"), F.when(has(CONTAINER_KEY), F.col("venue")).otherwise("").alias("venue"), F.explode(years).alias("year")
+    )
+    found = questions.join(index.table("fields"), ["level", "surname", "venue", "year"])
+    gap = F.when(has(YEAR_KEY), F.abs(F.col("year") - F.col("ref_year"))).otherwise(0)
+    first = Window.partitionBy("q", "source_db", "level").orderBy("gap", "work_id")
+    kept = found.withColumn("gap", gap).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+    per_question = kept.groupBy("q", "source_db", "work_id").agg(F.count("*").alias("levels"))
+    return asked.select("ref_id", "q").join(per_question, "q").select("ref_id", "source_db", "work_id", "levels")
 
 
 def relaxation_lattice(candidates: DataFrame, k: int = 5) -> DataFrame:
@@ -268,8 +306,10 @@ def strong_match(score: Column, title_score: Column) -> Column:
 
 
 def match_identifiers(refs: DataFrame, index: CatalogIndex) -> DataFrame:
-    """Distinct (ref_id, work_id) with equal DOIs or arXiv ids, from the index."""
-    doi, arxiv = F.struct(F.lit("doi").alias("kind"), url_doi(F.col("url")).alias("ident")), F.struct(F.lit("arxiv").alias("kind"), arxiv_base(extract_arxiv(F.col("url"))).alias("ident"))
+    """Distinct (ref_id, work_id) with equal DOIs or arXiv ids (of the link, else of the raw text), from the index."""
+    refs = with_missing(refs, raw=F.lit(None).cast("string"))
+    ident = arxiv_base(F.coalesce(extract_arxiv(F.col("url")), extract_arxiv(F.col("raw"))))
+    doi, arxiv = F.struct(F.lit("doi").alias("kind"), url_doi(F.col("url")).alias("ident")), F.struct(F.lit("arxiv").alias("kind"), ident.alias("ident"))
     asked = refs.select("ref_id", F.inline(F.array(doi, arxiv))).where("ident <> ''")
     return asked.join(index.table("identifiers"), ["kind", "ident"]).select("ref_id", "work_id").distinct()
 
@@ -277,17 +317,22 @@ def match_identifiers(refs: DataFrame, index: CatalogIndex) -> DataFrame:
 def verify(refs: DataFrame, works: DataFrame | CatalogIndex, k: int = 5) -> DataFrame:
     """One row per reference: ref_id, status, decision, problem_tags, work_id, source_db, score, title_score, strong.
 
-    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title (``block_by_title``). With a
-    stored index nothing of the catalog is read, prepared or counted again; from works, an index is built first.
+    An identifier's work whose score is below 0.5 is discarded and its reference looked up by title (``block_by_title``); one that
+    scores high with no work so far is looked up by author, venue and year too (``block_by_fields``), and the best of all works
+    wins. With a stored index nothing of the catalog is read, prepared or counted again; from works, an index is built first.
+    raw and confidence are used where refs has them.
     """
     index = works if isinstance(works, CatalogIndex) else build_catalog_index(works, heads=max(k, HEADS))
-    refs = persisted(prepared(refs.select("ref_id", "title", "authors", "year", "journal", "url", *[c for c in ("confidence",) if c in refs.columns])), "refs")
+    refs = persisted(prepared(refs.select("ref_id", "title", "authors", "year", "journal", "url", *[c for c in ("confidence", "raw") if c in refs.columns])), "refs")
     works = index.works
     first = persisted(score_pairs(match_identifiers(refs, index), refs, works), "by_identifier")
     first = first.where(F.col("score") >= IDENTIFIER_MATCH)
     rest = persisted(refs.join(first.select("ref_id").distinct(), "ref_id", "left_anti"), "rest")
     second = persisted(score_pairs(block_by_title(rest, index, k).select("ref_id", "work_id"), rest, works), "by_title")
-    best = best_match(best_per_database(first.unionByName(second)))
+    open_ = persisted(rest.join(second.where(F.col("score") >= HIGH).select("ref_id").distinct(), "ref_id", "left_anti"), "open")
+    more = block_by_fields(open_, index, k).select("ref_id", "work_id").join(second.select("ref_id", "work_id"), ["ref_id", "work_id"], "left_anti")
+    third = persisted(score_pairs(more, open_, works), "by_fields")
+    best = best_match(best_per_database(first.unionByName(second).unionByName(third)))
     out = refs.select("ref_id").join(best, "ref_id", "left")
     matched = F.col("work_id").isNotNull()
     return out.select(

@@ -157,7 +157,7 @@ def _scored(spark, sf_dir):
     return linkage.score_pairs(r.select("ref_id", F.col("cited_work").alias("work_id")), r.select("ref_id", "title", "authors", "year", "journal", "url"), works(spark, sf_dir))
 
 
-@query(f"""{SCORED}, t AS (SELECT *, title_score >= 0.85 AS title_ok, author_score = 1 AS authors_ok, gap = 0 AS year_ok, ref_journal <> '' AND venue >= 0.75 AS venue_ok, same_id AS id_ok FROM z)
+@query(f"""{SCORED}, t AS (SELECT *, title_score >= 0.85 AS title_ok, author_score = 1 AS authors_ok, gap <= 1 AS year_ok, ref_journal <> '' AND venue >= 0.75 AS venue_ok, same_id AS id_ok FROM z)
     SELECT ref_id, CASE WHEN raw_score >= 0.75 THEN 'high' WHEN raw_score >= 0.5 THEN 'medium' ELSE 'low' END AS status,
         concat_ws(',', CASE WHEN NOT title_ok THEN '!title' END, CASE WHEN NOT authors_ok THEN '!authors' END, CASE WHEN NOT year_ok THEN '!year' END, CASE WHEN NOT venue_ok THEN '!journal' END, CASE WHEN NOT id_ok THEN '!doi/arXiv' END) AS tags,
         CASE WHEN authors_ok AND year_ok AND title_ok AND venue_ok THEN 'valid' WHEN title_ok OR (authors_ok AND (venue_ok OR id_ok)) THEN 'citation' ELSE 'fabricated' END AS decision FROM t""")
@@ -190,6 +190,21 @@ def relaxation_lattice(spark, sf_dir):
     return linkage.relaxation_lattice(derived(spark, sf_dir, POOL), 2)
 
 
+_SURNAME = "lower(split_part(w.authors, ',', 1)), lower(split_part(split_part(w.authors, '; ', 2), ',', 1))"
+_SPECIFIC = "length(regexp_replace(lower(journal), '[^a-z]', '', 'g')) >= 6"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT concat_ws('/', surname, journal, year) AS ref_id, surname, journal, year FROM (SELECT split_part(authors, ',', 1) AS surname, journal, year FROM {duck(REFS)})),
+    l AS (SELECT unnest([7, 6, 3, 5]) AS level), m AS (SELECT r.ref_id, l.level, w.source_db, w.work_id, CASE WHEN level & 4 > 0 THEN abs(w.year - r.year) ELSE 0 END AS gap FROM r JOIN l ON {_SPECIFIC.replace("journal", "r.journal")} OR level = 6 JOIN {duck(CATALOG)} w
+        ON (level & 1 = 0 OR w.journal = r.journal) AND (level & 2 = 0 OR lower(r.surname) IN ({_SURNAME})) AND (level & 4 = 0 OR abs(w.year - r.year) <= 1) AND (w.journal = r.journal OR lower(r.surname) IN ({_SURNAME}))),
+    n AS (SELECT *, row_number() OVER (PARTITION BY ref_id, source_db, level ORDER BY gap, work_id) AS n FROM m) SELECT ref_id, source_db, work_id, count(*) AS levels FROM n WHERE n <= 5 GROUP BY ALL""")
+def block_by_fields(spark, sf_dir):
+    """Every distinct surname, venue and year of the references, without a title, against the catalog."""
+    rows = refs(spark, sf_dir).select(F.split_part("authors", F.lit(","), F.lit(1)).alias("surname"), "journal", "year").distinct()
+    asked = rows.select(F.concat_ws("/", "surname", "journal", "year").alias("ref_id"), F.array(F.concat("surname", F.lit(", A."))).alias("authors"), "journal", "year")
+    return linkage.block_by_fields(asked, works(spark, sf_dir))
+
+
 @query(f"""SELECT p.ref_id, p.work_id FROM {duck(POOL)} p JOIN {duck(REFS)} r USING (ref_id) JOIN {duck(CATALOG)} w ON p.work_id = w.work_id WHERE split_part(r.authors, ',', 1) IN (split_part(w.authors, ',', 1), split_part(split_part(w.authors, '; ', 2), ',', 1))""")
 def first_author_filter(spark, sf_dir):
     pool = derived(spark, sf_dir, POOL).select("ref_id", "work_id")

@@ -176,7 +176,22 @@ def verify_status_rollup(spark, sf_dir):
 def identifier_agreement(spark, sf_dir):
     pairs = refs(spark, sf_dir).select("ref_id", "cited_work", "url", F.col("year").alias("ref_year")).join(catalog(spark, sf_dir).select("work_id", "doi", "year"), F.col("cited_work") == F.col("work_id"))
     none = F.lit(None).cast("string")
-    return pairs.select("ref_id", "work_id", (F.col("ref_year") - F.col("year")).alias("gap"), identifiers.identifier_match(identifiers.url_doi(F.col("url")), none, identifiers.normalize_doi(F.col("doi")), none).alias("same_identifier"))
+    return pairs.select("ref_id", "work_id", (F.col("ref_year") - F.col("year")).alias("gap"), identifiers.identifier_match(F.col("url"), none, F.col("doi"), none, none).alias("same_identifier"))
+
+
+#: References and works that name each other by link, raw text or field; the last form's raw text names another than its link.
+NAMED_BOTH = f"""SELECT ref_id, form, n, m, CASE form WHEN 0 THEN concat('https://doi.org/10.1234/AB', n, '.') WHEN 1 THEN concat('https://arxiv.org/abs/2101.', n, 'v2') WHEN 3 THEN 'https://example.org/x' WHEN 4 THEN concat('http://dx.doi.org/10.5555/ABC', n)
+        WHEN 5 THEN concat('https://arxiv.org/abs/2101.', n) END AS url, CASE WHEN form IN (2, 3) THEN concat('A title. arXiv:2101.', n, 'v3') WHEN form = 5 THEN concat('A title. arXiv:2101.', m) ELSE 'A title.' END AS raw,
+    CASE WHEN form = 0 THEN concat('doi:10.1234/ab', m) END AS doi, CASE WHEN form IN (3, 5) THEN concat('2101.', m) ELSE '' END AS arxiv,
+    CASE form WHEN 1 THEN concat('http://arxiv.org/abs/2101.', m, 'v1') WHEN 2 THEN concat('https://arxiv.org/pdf/2101.', m) WHEN 3 THEN 'https://example.org/x' WHEN 4 THEN concat('https://doi.org/10.5555/abc', m) END AS work_url
+    FROM (SELECT ref_id, kind % 6 AS form, 10000 + cited_work AS n, 10000 + cited_work + CASE WHEN ref_number % 4 = 3 OR kind % 6 = 5 THEN 1 ELSE 0 END AS m FROM ({REFS}) AS r) AS f"""
+
+
+@query(f"SELECT ref_id, form < 5 AND n = m AS same FROM {duck(NAMED_BOTH)}")
+def identifier_cases(spark, sf_dir):
+    """Links before raw text, fields and links of works, and resolver links on both sides."""
+    rows = derived(spark, sf_dir, NAMED_BOTH)
+    return rows.select("ref_id", identifiers.identifier_match(*[F.col(c) for c in ("url", "raw", "doi", "arxiv", "work_url")]).alias("same"))
 
 
 # --- curation

@@ -35,3 +35,40 @@ def test_a_wrong_year_is_searched_again_in_each_database(spark):
     refs = [("r", title, ["Okafor, Dana"], 2000, "Annals of Testing", "")]
     for db in ("crossref", "openalex"):
         assert found(spark, refs, [work(1, title, ["Okafor, Dana"], 2006, db), *other])["r"].work_id == 1
+
+
+def test_a_ruined_title_is_found_by_author_venue_and_year(spark):
+    others = [work(n, f"an older study of rivers {n}", ["Novak, Lena"], 1980) for n in range(2, 12)]
+    works = [work(1, "sparse planning for deep basins", ["Keller, Ada", "Weber, Ines"], 2001), *others]
+    refs = [
+        ("ruined", "spxrse plxnnxng fxr dxxp bxsxns", ["Keller, Ada", "Weber, Ines"], 2000, "Annals of Testing", ""),
+        ("no title", None, ["Keller, Ada"], 2001, "Annals of Testing", ""),
+        ("year alone", "quite another thing", ["Stranger, Q."], 2001, "", ""),
+        ("empty", None, None, None, None, None),
+    ]
+    got = found(spark, refs, works)
+    assert {r: got[r].work_id for r in got} == {"ruined": 1, "no title": 1, "year alone": None, "empty": None}
+    assert got["ruined"].decision == "citation" and "!year" not in got["ruined"].problem_tags
+
+
+def test_fields_give_the_first_works_of_each_combination(spark):
+    """More works of one combination than a list holds, ties, works and references without fields, and a repeated reference."""
+    works = [work(n, f"title {n}", ["Keller, Ada", "Keller, Bo"], 2000 + n % 2, "crossref" if n % 3 else "pubmed") for n in range(1, 40)]
+    works += [(100, "crossref", "bare", None, None, None, None, None), (101, None, "b", ["Keller, A."], 2000, "Annals of Testing", None, None)]
+    refs = [("a", "x", ["Keller, C."], 2000, "Annals of Testing", ""), ("a", "x", ["Keller, C."], 2000, "Annals of Testing", ""), ("b", None, None, None, None, None), ("c", "x", [], 2000, "Journal", "")]
+    rows = linkage.block_by_fields(spark.createDataFrame(refs, REF), spark.createDataFrame(works, WORK)).collect()
+    got = {(r.source_db, r.work_id): r.levels for r in rows if r.ref_id == "a"}
+    want = {}
+    for db in ("crossref", "pubmed", ""):
+        held = [w for w in works if (w[1] or "") == db and w[3]]
+        for near in (True, True, True, False):  # the level of author and venue doesn't see years
+            for w in sorted(held, key=lambda w: (near and abs(w[4] - 2000), w[0]))[:5]:
+                want[db, w[0]] = want.get((db, w[0]), 0) + 1
+    assert got == want and {r.ref_id for r in rows} == {"a"}
+
+
+def test_years_one_apart_agree(spark):
+    refs = [(f"r{y}", "sparse planning for deep basins", ["Keller, Ada"], y, "Annals of Testing", "") for y in (1998, 1999, 2000, 2001, None)]
+    got = found(spark, refs, [work(1, "sparse planning for deep basins", ["Keller, Ada"])])
+    assert {r for r in got if "!year" not in got[r].problem_tags} == {"r1999", "r2000", "r2001"}
+    assert {r for r in got if got[r].decision == "valid"} == {"r1999", "r2000", "r2001"}
