@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from bibweave.session import persisted
 
+#: Numbers that references open with; headers, of which the last two may stand anywhere in a short line (fixed patterns).
 NUMBERED = r"^\s*(?:\[(\d{1,3})\]|(\d{1,3})[.)]|(\d{1,3})-(?!\d))\s*\S"
-HEADERS = r"(?iu)^\s*(\d+[.)]?\s*)?(references|sources?|bibliography|works?\s+cited|literature cited|literat[uü]r|(ek[-\s]?\d*\s*[a-z]?[:.\s]*)?(kaynaklar|kaynak[cç]a))\s*[:.]*\s*$"
+HEADERS = r"(?iu)^\s*(\d+[.)]?\s*)?(references|sources?|bibliography|works?\s+cited|literature cited|literat[uü]r)\s*[:.]*\s*$|kaynaklar|kaynak[cç]a"
 #: Lines of form instructions (fixed patterns).
 INSTRUCTIONS = [
     r"^\d{4}BF[-\s]?\d+",
@@ -135,14 +136,6 @@ def lines_after_header(lines: DataFrame, header: DataFrame) -> DataFrame:
     return lines.join(header, "doc_id").where("line_no > header_line").drop("header_line")
 
 
-def numbering_is_valid(lines: DataFrame) -> DataFrame:
-    """doc_id, valid: of the first ten numbers, more than two and at least a third of the steps ascending."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.withColumn("n", line_number(F.col("text"))).where("n IS NOT NULL")
-    rows = rows.withColumns({"place": F.row_number().over(order), "step": F.col("n") - F.lag("n").over(order)}).where("place <= 10")
-    return rows.groupBy("doc_id").agg(((F.count("*") > 2) & (F.count_if(F.col("step") > 0) >= F.floor(F.count("*") / 3))).alias("valid"))
-
-
 def split_numbered(lines: DataFrame) -> DataFrame:
     """lines with ref_no: a line starts reference n only if n follows on (3 at most at first, then up to two ahead); the other
     lines belong to the last one started while they go on with it (``goes_on``). The fold runs over a document's numbered lines
@@ -248,13 +241,17 @@ def group_items_into_lines(items: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page", "line").agg(lines.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"))
 
 
-def text_in_box(items: DataFrame, boxes: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """box_id, text of the items (x0, y0, x1, y1) that meet each box of their page, in reading order."""
+def text_in_box(items: DataFrame, boxes: DataFrame, tolerance: float = 2.0, row: float = 3.0) -> DataFrame:
+    """box_id, text of the items (x0, y0, x1, y1) that meet each box of their page, in reading order: by rows, then from the left. A
+    row goes on while baselines (y1) follow one another by ``row`` at most."""
     b = boxes.select("box_id", "doc_id", "page", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
     hit = items.join(b, ["doc_id", "page"]).where(
-        (F.col("x0") <= F.col("bx1") + tolerance) & (F.col("x1") >= F.col("bx0") - tolerance) & (F.col("y0") <= F.col("by1") + tolerance) & (F.col("y1") >= F.col("by0") - tolerance)
+        (F.col("x0") < F.col("bx1") + tolerance) & (F.col("x1") > F.col("bx0") - tolerance) & (F.col("y0") < F.col("by1") + tolerance) & (F.col("y1") > F.col("by0") - tolerance)
     )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda s: s.text), " ")
+    down = Window.partitionBy("box_id").orderBy("y1", "x0", "text")
+    hit = hit.withColumn("fresh", F.when(F.col("y1") - F.lag("y1").over(down) > row, 1).otherwise(0))
+    hit = hit.withColumn("row", F.sum("fresh").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "x0", "y1", "text"))), lambda s: s.text), " ")
     return hit.groupBy("box_id").agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"))
 
 

@@ -333,14 +333,30 @@ def verify(refs: DataFrame, works: DataFrame | CatalogIndex, k: int = 5) -> Data
     more = block_by_fields(open_, index, k).select("ref_id", "work_id").join(second.select("ref_id", "work_id"), ["ref_id", "work_id"], "left_anti")
     third = persisted(score_pairs(more, open_, works), "by_fields")
     best = best_match(best_per_database(first.unionByName(second).unionByName(third)))
-    out = refs.select("ref_id").join(best, "ref_id", "left")
+    return verdicts(refs.select("ref_id").join(best, "ref_id", "left"))
+
+
+def verdicts(best: DataFrame) -> DataFrame:
+    """Status, decision and tags of references with their best match (columns of ``score_pairs``; nulls where there is none)."""
     matched = F.col("work_id").isNotNull()
-    return out.select(
+    return best.select(
         "ref_id", F.when(matched, status_band(F.col("score"))).otherwise("low").alias("status"), decision_tag(matched).alias("decision"), problem_tags(matched).alias("problem_tags"),
         "work_id", F.col("work_source_db").alias("source_db"), "score", "title_score", F.coalesce(strong_match(F.col("score"), F.col("title_score")), F.lit(False)).alias("strong"),
     )
 
 
+def second_tier_verdicts(scored: DataFrame, scholar: DataFrame) -> DataFrame:
+    """The verdicts of references once a second search is in: both tables hold rows as ``score_pairs`` gives them, ``scholar`` those of
+    works found on scholar pages. The best new row replaces a reference's earlier ones from there; the row of highest unclamped
+    score is the best match, earlier rows first on ties, and status, tags and decision follow from it anew."""
+    order = Window.partitionBy("ref_id").orderBy(F.desc("raw_score"), "work_id")
+    new = scholar.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    stale = new.select("ref_id").withColumn("work_source_db", F.lit("scholar"))
+    rows = scored.join(stale, ["ref_id", "work_source_db"], "left_anti").select(*scored.columns, F.lit(0).alias("tier")).unionByName(new.select(*scored.columns, F.lit(1).alias("tier")))
+    best = Window.partitionBy("ref_id").orderBy(F.desc("raw_score"), "tier", "work_source_db", "work_id")
+    return verdicts(rows.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "tier"))
+
+
 def distinct_refs(refs: DataFrame) -> DataFrame:
     """References with equal fields share one verification: ref_id becomes the hash of the fields, member ids stay in the
     source table under the same hash (see ``citation_key``)."""

@@ -167,6 +167,28 @@ def judge_pairs(spark, sf_dir):
     return _scored(spark, sf_dir).select("ref_id", linkage.status_band(F.col("score")).alias("status"), F.array_join(linkage.problem_tags(found), ",").alias("tags"), linkage.decision_tag(found).alias("decision"))
 
 
+@query(f"""{SCORED}, u AS (SELECT *, kind % 3 > 0 AS asked, round_even(0.75 * title_score + 0.25 * author_score + CASE WHEN same_id THEN 0.1 ELSE 0 END, 4) AS bare FROM z),
+    t AS (SELECT *, asked AND raw_score > bare AS better, title_score >= 0.85 AS title_ok, author_score = 1 AS authors_ok FROM u),
+    x AS (SELECT *, better AND gap <= 1 AS year_ok, CASE WHEN better THEN ref_journal <> '' AND venue >= 0.75 ELSE ref_journal = '' END AS venue_ok, same_id AS id_ok, CASE WHEN better THEN raw_score ELSE bare END AS final FROM t)
+    SELECT ref_id, CASE WHEN better THEN 'scholar' ELSE source_db END AS source_db, CASE WHEN final >= 0.75 THEN 'high' WHEN final >= 0.5 THEN 'medium' ELSE 'low' END AS status, round(least(1.0, final), 3) AS score,
+        concat_ws(',', CASE WHEN NOT title_ok THEN '!title' END, CASE WHEN NOT authors_ok THEN '!authors' END, CASE WHEN NOT year_ok THEN '!year' END, CASE WHEN NOT venue_ok THEN '!journal' END, CASE WHEN NOT id_ok THEN '!doi/arXiv' END) AS tags,
+        CASE WHEN authors_ok AND year_ok AND title_ok AND venue_ok THEN 'valid' WHEN title_ok OR (authors_ok AND (venue_ok OR id_ok)) THEN 'citation' ELSE 'fabricated' END AS decision FROM x""")
+def second_tier_verdicts(spark, sf_dir):
+    """The first tier holds the cited works without year and venue; the second gives them whole, beside an earlier and a worse row,
+    to two references of three."""
+    r, w = parsed(spark, sf_dir), works(spark, sf_dir)
+    fields = ("ref_id", "title", "authors", "year", "journal", "url")
+    bare = w.withColumns({"year": F.lit(None).cast("int"), "journal": F.lit("")})
+    old = linkage.score_pairs(r.select("ref_id", F.col("cited_work").alias("work_id")), r.select(*fields), bare)
+    asked = r.where("kind % 3 > 0")
+    both = w.unionByName(bare.withColumn("work_id", -F.col("work_id"))).withColumn("source_db", F.lit("scholar"))
+    pairs = asked.select("ref_id", F.explode(F.array("cited_work", -F.col("cited_work"))).alias("work_id"))
+    found = linkage.score_pairs(pairs, asked.select(*fields), both)
+    earlier = found.where("work_id < 0").withColumn("raw_score", F.lit(9.0))
+    out = linkage.second_tier_verdicts(old.unionByName(earlier), found)
+    return out.select("ref_id", "source_db", "status", F.round("score", 3).alias("score"), F.array_join("problem_tags", ",").alias("tags"), "decision")
+
+
 # --- linkage
 
 ARXIV_REFS = f"SELECT ref_id, cited_work, CASE WHEN kind % 3 = 0 THEN concat('https://arxiv.org/abs/2101.', 10000 + cited_work, 'v', ref_number) ELSE url END AS url FROM ({REFS}) AS r"
@@ -363,7 +385,7 @@ def sort_documents(spark, sf_dir):
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_TIER} DESC, name, doc_id) AS n FROM {_DOCS}) WHERE n <= 25")
 def first_n_documents(spark, sf_dir):
-    return store.first_n_documents(store.search_order(_documents(spark, sf_dir), by="status", ascending=False), 25).select("doc_id")
+    return store.first_n_documents(_documents(spark, sf_dir), 25, by="status", ascending=False).select("doc_id")
 
 
 @query(f"SELECT ref_id, concat('c', i) AS cid FROM (SELECT ref_id, kind, i, row_number() OVER (PARTITION BY ref_id ORDER BY (kind * i) % 5 DESC, i) AS n FROM {duck(REFS)} CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i)) WHERE n = 1 AND kind % 2 = 0 AND i <> 3")

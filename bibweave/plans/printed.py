@@ -144,8 +144,10 @@ ITEMS = f"""SELECT doc_id, ref_number, kind, 1 AS page, CAST(part AS INT) AS ite
 
 @query(f"SELECT concat(doc_id, '/', ref_number) AS box_id, CASE WHEN kind % 3 = 0 THEN 'one two low' ELSE 'one two' END AS text FROM (SELECT DISTINCT doc_id, ref_number, kind FROM {duck(ITEMS)})")
 def text_in_box(spark, sf_dir):
-    """A box around each reference's items; in two of three the low one lies outside."""
+    """A box around each reference's items; in two of three the low one lies outside. The second word of a line stands up to two
+    units higher than the first."""
     items = derived(spark, sf_dir, ITEMS)
+    items = items.withColumn("y0", F.col("y0") - F.when(F.col("item") == 1, F.col("kind") % 3).otherwise(0))
     boxes = items.select("doc_id", "ref_number", "kind", "page").distinct().select(
         F.concat("doc_id", F.lit("/"), "ref_number").alias("box_id"), "doc_id", "page", (F.col("ref_number") * 100.0).alias("x0"), F.lit(5.0).alias("y0"), (F.col("ref_number") * 100.0 + 60).alias("x1"), F.when(F.col("kind") % 3 == 0, 45.0).otherwise(25.0).alias("y1"),
     )

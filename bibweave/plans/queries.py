@@ -462,10 +462,16 @@ def find_header(spark, sf_dir):
     return layout.find_header(printed_lines(spark, sf_dir))
 
 
-@query(f"""WITH n AS (SELECT doc_id, line_no, TRY_CAST(regexp_extract(text, '^\\[(\\d{{1,3}})\\] *\\S', 1) AS INT) AS n FROM {duck(LINES)}), s AS (SELECT *, row_number() OVER w AS place, n - lag(n) OVER w AS step FROM n WHERE n IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-    SELECT doc_id, count(*) > 2 AND count_if(coalesce(step > 0, false)) >= count(*) // 3 AS valid FROM s WHERE place <= 10 GROUP BY doc_id""")
-def numbering_is_valid(spark, sf_dir):
-    return layout.numbering_is_valid(printed_lines(spark, sf_dir))
+#: Numbers of the references of each document: from 1, from 11, falling, in zigzag, from 6.
+NUMBERS = f"""SELECT DISTINCT doc_id, ref_number AS line_no, CAST(CASE doc_id % 5 WHEN 0 THEN ref_number WHEN 1 THEN 10 + ref_number WHEN 2 THEN 9 - ref_number WHEN 3 THEN CASE WHEN ref_number % 2 = 0 THEN 4 + ref_number ELSE 12 - ref_number END ELSE 5 + ref_number END AS BIGINT) AS ref_no
+    FROM ({REFS}) AS r"""
+
+
+@query(f"""SELECT doc_id FROM (SELECT *, ref_no - lag(ref_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS step FROM {duck(NUMBERS)})
+    GROUP BY doc_id HAVING arg_min(ref_no, line_no) <= 10 AND (count(*) <= 2 OR count(*) FILTER (step > 0) >= count(*) // 3)""")
+def valid_splits(spark, sf_dir):
+    """Documents whose numbers hold, of five ways to number references."""
+    return layout.valid_splits(derived(spark, sf_dir, NUMBERS))
 
 
 @query(f"""SELECT doc_id, CAST((line_no + 2) // 3 AS BIGINT) AS ref_no, page, greatest(0, min(x0) - 3) AS x0, greatest(0, min(y0) - 3) AS y0, max(x1) + 3 AS x1, max(y1) + 3 AS y1 FROM {duck(LINES)} WHERE line_no > 0 GROUP BY ALL""")

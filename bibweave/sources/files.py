@@ -10,7 +10,7 @@ DOCUMENT = "id string, name string, path string, pages array<struct<page_num: in
 REFERENCES = f"pdf_id string, numbered boolean, approved boolean, page_count string, sources array<struct<id: string, bbox: {BOX}, bboxes: array<{BOX}>, text: string, ref_number: int, status: string>>"
 SPAN_LABELS = "id string, source_pdf string, text string, entities array<struct<start: int, `end`: int, label: string>>"
 #: Rules that apply where a user has set none (fixed values).
-DEFAULT_RULES = "thesis | theses are checked by hand\narxiv | preprint\nproceedings | proceedings\n@non-doi-url | link without a DOI"
+DEFAULT_RULES = "@non-doi-url | DOI olmayan bağlantı\narXiv | arXiv ön baskı, hakemli değil\nProceedings | Konferans bildirisi\nOECD | Ekonomik İşbirliği ve Kalkınma Örgütü raporu"
 
 
 def read_text_blocks(spark: SparkSession, path: str) -> DataFrame:
