@@ -121,6 +121,12 @@ def first_divergence(want: Column, got: Column) -> Column:
     return F.nullif(F.array_position(same, False), F.lit(0).cast("long"))
 
 
+def missing_references(approved: DataFrame, detected: DataFrame) -> DataFrame:
+    """doc_id, ref_number, kind, want: references that were approved but not detected. Sides turned around, those detected in excess."""
+    lost = approved.join(detected.select("doc_id", "ref_number"), ["doc_id", "ref_number"], "left_anti")
+    return lost.select("doc_id", "ref_number", F.lit("missing").alias("kind"), F.col("raw").alias("want"))
+
+
 def reference_differences(approved: DataFrame, detected: DataFrame) -> DataFrame:
     """doc_id, ref_number, kind (missing, extra, shorter, longer, changed) and diverges_at of every reference that isn't equal."""
     a = approved.select("doc_id", "ref_number", F.col("raw").alias("want"))

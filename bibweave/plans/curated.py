@@ -344,8 +344,8 @@ def reference_differences(spark, sf_dir):
 @query(f"SELECT doc_id, ref_number, kind, want FROM (SELECT doc_id, ref_number, 'missing' AS kind, min(kind) AS k, min(title) AS want FROM {duck(REFS)} GROUP BY doc_id, ref_number) WHERE k = 1")
 def missing_references(spark, sf_dir):
     """O4: what one side lacks, as rows."""
-    rows = refs(spark, sf_dir).groupBy("doc_id", "ref_number").agg(F.min("kind").alias("k"), F.min("title").alias("want"))
-    return rows.join(rows.where("k <> 1"), ["doc_id", "ref_number"], "left_anti").select("doc_id", "ref_number", F.lit("missing").alias("kind"), "want")
+    rows = refs(spark, sf_dir).groupBy("doc_id", "ref_number").agg(F.min("kind").alias("k"), F.min("title").alias("raw"))
+    return reports.missing_references(rows, rows.where("k <> 1"))
 
 
 _PLACE = {
