@@ -1,9 +1,11 @@
 """Golden rows of the similarity, name and identifier functions."""
 
 import itertools
+import time
 
+import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -72,6 +74,60 @@ def test_author_lists(spark):
     assert [got[len(MATCH) + i].score for i in range(2)] == [s for _, _, s in score]
 
 
+def one_person(a, b):
+    """Surname shared, and one person possible, by the rule for two names."""
+    (last, initials, given), (other, initials2, given2) = names.parsed_name(a), names.parsed_name(b)
+    alike, same = names.surnames_alike(last, other)
+    both, shared = bool(initials) and bool(initials2), bool(initials & initials2)
+    if same:
+        return True, shared or not both
+    inside = (given2 and set(last.split()) <= set(given2.split())) or (given and set(other.split()) <= set(given.split()))
+    return False, bool(inside or (both and shared and (alike >= 0.78 or (min(len(last), len(other)) >= 5 and last[:4] == other[:4]))))
+
+
+def brute_agreement(left, right):
+    if not left:
+        return {"score": 0.0, "match": True}
+    a, b = ([x for x in side or [] if x and names.parsed_name(x)[0]] for side in (left, right))
+    if not a or not b:
+        return {"score": 0.0, "match": False}
+    met = [[one_person(x, y) for y in b] for x in a]
+    rows = met if len(a) <= len(b) else list(zip(*met, strict=True))
+    lasts, persons = (sum(any(m[i] for m in row) for row in rows) for i in (0, 1))
+    hits = lasts if lasts >= 2 else persons
+    return {"score": sum(any(m[1] for m in row) for row in met) / len(a), "match": hits == len(rows) if len(rows) <= 2 else hits / len(rows) >= 0.5}
+
+
+SURNAMES = st.sampled_from(["Smith", "Smyth", "Smithe", "van der Berg", "Berg", "Bergman", "Bergmann", "Li", "Lee", "Garcia Lopez", "Lopez Garcia", "Akalin", "Akalm", "Öztürk", "O'Neil", "Gao", "Bo"])
+NAMES = st.one_of(
+    st.sampled_from([None, "", " ", "...", "Ω", "K. Y. Lee", "Bo-Cai Gao", "G. Bo-Cai", "John Berg Smith"]),
+    st.builds(lambda s, g: f"{s}, {g}", SURNAMES, st.sampled_from(["J.", "J. A.", "John", "Anna Maria", "K", "Berg", ""])), st.builds(lambda g, s: f"{g} {s}", st.sampled_from(["A", "John", "Lopez", "J. R."]), SURNAMES),
+    st.text("abcde ,.", max_size=12),
+)
+LISTS = st.one_of(st.none(), st.lists(NAMES, max_size=6))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(LISTS, LISTS), max_size=8), st.sampled_from([1, 7, names.STEP]))
+def test_filtered_lists_agree_as_every_pair_does(rows, step):
+    sides = [pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in (0, 1)]
+    whole, names.STEP = names.STEP, step
+    try:
+        assert names.list_agreements(*sides).to_pylist() == [brute_agreement(*r) for r in rows]
+        assert names.list_agreements(*[s.slice(1) for s in sides]).to_pylist() == [brute_agreement(*r) for r in rows[1:]]
+    finally:
+        names.STEP = whole
+
+
+def test_author_lists_of_thousands():
+    syllables = ["ka", "lo", "mi", "ner", "sta", "vu", "re", "tan", "go", "bel", "fi", "dor", "hu", "jes", "wy"]
+    left = [f"{a}{b}{c}, {chr(65 + i % 26)}.".title() for i, (a, b, c) in enumerate(itertools.product(syllables, repeat=3))][:3000]
+    right = [x.replace("k", "q") for x in reversed(left)]
+    began = time.time()
+    (got,) = names.list_agreements(*[pa.array([x], pa.list_(pa.string())) for x in (left, right)]).to_pylist()
+    assert got["match"] and got["score"] > 0.8 and time.time() - began < 60
+
+
 def test_identifiers(spark):
     doi = identifiers.extract_doi(F.col("a"))
     assert one(spark, identifiers.normalize_doi(F.col("a")), a="https://doi.org/10.1234/Foo.Bar  ") == "10.1234/foo.bar"
