@@ -10,6 +10,7 @@ from bibweave.functions import fuzzy, identifiers, names, text, urls
 from bibweave.operators import compare, curation, extract, labels, linkage, reports
 from bibweave.plans.derived import CATALOG, FEED, RAW, REFS, VERDICTS, _pick, FAMILIES, GIVEN, catalog, derived, duck, refs, view
 from bibweave.plans.queries import citations, parsed, query, works
+from bibweave.session import new_folder
 from bibweave.sources import files, store
 
 # --- links
@@ -437,8 +438,13 @@ def _results(spark, sf_dir):
 @query(f"""SELECT ref_id, CASE WHEN kind <> 6 THEN 'crossref' END AS best, CASE WHEN kind = 6 OR kind = 5 THEN CASE WHEN kind = 5 THEN '' END ELSE 'https://search.crossref.org/search/works?q=a+b&from_ui=yes' END AS best_url, CASE WHEN kind = 5 THEN '' ELSE 'https://pubmed.ncbi.nlm.nih.gov/?term=a%20b' END AS first_url,
     CASE WHEN kind = 5 THEN '' ELSE 'https://scholar.google.com/scholar?q=a+b' END AS scholar_url, CASE WHEN kind = 6 THEN 1 ELSE 2 END AS n FROM {duck(VERDICTS)}""")
 def stored_verifications(spark, sf_dir):
-    """The compact form of results and back."""
-    back = store.restored(store.compact(_results(spark, sf_dir)))
+    """Results as they come back from the store, after the documents with even ids were stored unfinished and then replaced."""
+    path, rows = new_folder(spark, "verifications"), _results(spark, sf_dir)
+    even = F.col("doc_id") % 2 == 0
+    kept = lambda df: df.withColumns({"source_id": F.col("ref_id").cast("string"), "doc_id": F.col("doc_id").cast("string")})
+    store.write_verifications(kept(rows.withColumn("all_results", F.when(~even, F.col("all_results")))), path)
+    store.write_verifications(kept(rows.where(even)), path)
+    back = store.read_verifications(spark, path).withColumn("ref_id", F.col("source_id").cast(rows.schema["ref_id"].dataType))
     return back.select("ref_id", "best_match.database", F.col("best_match.search_url").alias("best_url"), F.col("all_results")[0]["search_url"].alias("first_url"), "scholar_url", F.size("all_results").alias("n")).withColumnRenamed("database", "best")
 
 

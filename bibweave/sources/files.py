@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bibweave.sources.snapshots import aligned, open_snapshot, replace_keys, write_snapshot
+
 BOX = "struct<x0: double, y0: double, x1: double, y1: double, page: int>"
 DOCUMENT = "id string, name string, path string, pages array<struct<page_num: int, width: double, height: double, text_blocks: array<struct<text: string, bbox: array<double>, page: int, font_size: double, font_name: string, is_bold: boolean>>>>"
 REFERENCES = f"pdf_id string, numbered boolean, approved boolean, page_count string, sources array<struct<id: string, bbox: {BOX}, bboxes: array<{BOX}>, text: string, ref_number: int, status: string>>"
+STORED_REFERENCES = REFERENCES.replace("page_count string", "page_count int")
 SPAN_LABELS = "id string, source_pdf string, text string, entities array<struct<start: int, `end`: int, label: string>>"
 #: Rules that apply where a user has set none (fixed values).
 DEFAULT_RULES = "@non-doi-url | DOI olmayan bağlantı\narXiv | arXiv ön baskı, hakemli değil\nProceedings | Konferans bildirisi\nOECD | Ekonomik İşbirliği ve Kalkınma Örgütü raporu"
@@ -23,17 +26,19 @@ def read_text_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """One row per reference; a row without a status takes the file's; files that aren't JSON give no rows."""
-    files = spark.read.schema(REFERENCES).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("pdf_id IS NOT NULL")
-    rows = files.select("pdf_id", "numbered", "approved", F.col("page_count").try_cast("int").alias("page_count"), F.inline("sources"))
+    """One row per reference, of a folder of JSON files or of what ``write_references`` stored; a row without a status takes the
+    file's; files that aren't JSON give no rows."""
+    snapshot = open_snapshot(spark, path)
+    files = snapshot.rows(STORED_REFERENCES, "json") if snapshot else spark.read.schema(REFERENCES).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    rows = files.where("pdf_id IS NOT NULL").select("pdf_id", "numbered", "approved", F.col("page_count").try_cast("int").alias("page_count"), F.inline("sources"))
     status = F.coalesce("status", F.when(F.coalesce("approved", F.lit(False)), "approved").otherwise("detected"))
     return rows.select(F.col("pdf_id").alias("doc_id"), F.col("id").alias("ref_id"), F.col("text").alias("raw"), "ref_number", status.alias("status"), "bbox", "bboxes", "numbered", "page_count")
 
 
-def write_references(refs: DataFrame, path: str, previous: DataFrame | None = None) -> None:
-    """One JSON row per document, in a folder of its own: approved where it has references and all are; boxes rounded to
-    hundredths; nulls left out. Only the documents at hand are replaced. numbered and page_count that refs doesn't know keep their
-    value of ``previous`` (rows as ``read_references`` gives them, taken before)."""
+def write_references(refs: DataFrame, path: str, buckets: int = 64) -> int:
+    """One JSON row per document in a snapshot store: approved where it has references and all are; boxes rounded to hundredths;
+    nulls left out. Only the documents at hand are replaced, in one step; numbered and page_count that refs doesn't know keep
+    their stored value. Returns the version."""
     for c in ("numbered", "page_count"):
         if c not in refs.columns:
             refs = refs.withColumn(c, F.lit(None).cast("boolean" if c == "numbered" else "int"))
@@ -41,10 +46,14 @@ def write_references(refs: DataFrame, path: str, previous: DataFrame | None = No
     source = F.struct(F.col("ref_number"), F.col("ref_id").alias("id"), F.col("raw").alias("text"), "status", F.transform("bboxes", rounded).alias("bboxes"))
     known = [F.first(c, ignorenulls=True).alias(c) for c in ("numbered", "page_count")]
     rows = refs.groupBy(F.col("doc_id").alias("pdf_id")).agg(F.bool_and(F.col("status") == "approved").alias("approved"), *known, F.array_sort(F.collect_list(source)).alias("sources"))
-    if previous is not None:
-        old = previous.groupBy(F.col("doc_id").alias("pdf_id")).agg(*[k.alias(f"_{c}") for c, k in zip(("numbered", "page_count"), known, strict=True)])
-        rows = rows.join(old, "pdf_id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in ("numbered", "page_count")}).drop("_numbered", "_page_count")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", True).partitionBy("pdf_id").json(path)
+    return write_snapshot(aligned(rows, STORED_REFERENCES), path, "pdf_id", "json", buckets, _keep_known, ignoreNullFields=True)
+
+
+def _keep_known(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored documents replaced by those at hand, which take over what they don't know themselves."""
+    stored = old.select(F.col("pdf_id").alias("_id"), F.col("numbered").alias("_numbered"), F.col("page_count").alias("_page_count"))
+    filled = new.join(stored, F.col("pdf_id").eqNullSafe(F.col("_id")), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in ("numbered", "page_count")})
+    return replace_keys("pdf_id")(old, filled.select(new.columns))
 
 
 def all_approved(refs: DataFrame) -> DataFrame:

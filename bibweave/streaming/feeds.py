@@ -6,14 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bibweave.operators.catalog_index import CatalogIndex, build_catalog_index, open_catalog_index
 from bibweave.operators.linkage import verify
-from bibweave.session import persisted
+from bibweave.sources.snapshots import open_snapshot, write_snapshot
 
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
@@ -47,26 +46,29 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return last.select("ref_no", "e.job_no", "e.ts", "e.event_id", "e.source_db", "e.outcome")
 
 
+PROGRESS = ["ref_no", "job_no", "ts", "event_id", "source_db", "outcome"]
+
+
 def progress_stream(events: DataFrame, store: str, checkpoint: str, parts: int = 64) -> object:
-    """Keeps latest_progress as a Parquet table in ``parts`` folders by reference. A micro-batch reads and rewrites only the folders
-    that its references are in; replaying one changes nothing."""
-    spark = events.sparkSession
-    part = F.pmod(F.xxhash64("ref_no"), F.lit(parts)).cast("int").alias("part")
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select("ref_no", "job_no", "ts", "event_id", "source_db", "outcome", part)
-        touched = [r.part for r in rows.select("part").distinct().collect()]  # at most ``parts``
-        if not touched:
-            return
-        try:
-            stored = spark.read.parquet(store).where(F.col("part").isin(*touched))
-            rows = rows.unionByName(stored.select(*rows.columns))
-        except AnalysisException:  # nothing stored yet
-            pass
-        fresh = persisted(latest_progress(rows).select("*", part), "progress")
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps latest_progress as a snapshot store of ``parts`` buckets by reference. A micro-batch reads and rewrites only the buckets
+    that its references are in and then publishes them in one step, so a run that is killed leaves the last whole batch; as the
+    newest event is a maximum, replaying one changes nothing."""
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return latest_progress(old.unionByName(new))
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        write_snapshot(latest_progress(batch.select(PROGRESS)), store, "ref_no", buckets=parts, merge=merge)
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_progress(spark: SparkSession, store: str) -> DataFrame:
+    """The newest snapshot of what ``progress_stream`` keeps."""
+    snapshot = open_snapshot(spark, store)
+    if snapshot is None:
+        raise ValueError(f"no progress stored in {store}")
+    return snapshot.rows(snapshot.schema("parquet"), "parquet")
 
 
 def verify_stream(refs: DataFrame, catalog: DataFrame | CatalogIndex, sink: Callable[[DataFrame, int], None], checkpoint: str) -> object:

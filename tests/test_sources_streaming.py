@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bibweave.plans import queries
 from bibweave.plans.derived import FEED, view
-from bibweave.sources import catalogs, files
+from bibweave.sources import catalogs, files, snapshots
 from bibweave.streaming import feeds
 
 
@@ -51,13 +51,13 @@ def test_files(spark, tmp_path):
     (r,) = refs.collect()
     assert (r.ref_id, r.status, r.page_count) == ("s", "approved", None)
     files.write_references(refs, str(tmp_path / "out"))
-    (w,) = spark.read.json(str(tmp_path / "out")).collect()
+    (w,) = snapshots.open_snapshot(spark, str(tmp_path / "out")).rows(files.STORED_REFERENCES, "json").collect()
     assert w.approved and w.sources[0].bboxes[0].y1 == 3.33
     # another document is added beside it; what a later write doesn't know keeps its value
     known = refs.withColumns({"doc_id": F.lit("q"), "page_count": F.lit(7), "numbered": F.lit(True), "status": F.lit("detected")})
     files.write_references(known, str(tmp_path / "out"))
-    before = spark.createDataFrame(files.read_references(spark, str(tmp_path / "out")).collect(), files.read_references(spark, str(tmp_path / "out")).schema)
-    files.write_references(before.drop("page_count", "numbered").where("doc_id = 'q'"), str(tmp_path / "out"), before)
+    before = files.read_references(spark, str(tmp_path / "out"))
+    files.write_references(before.drop("page_count", "numbered").where("doc_id = 'q'"), str(tmp_path / "out"))
     again = {r.doc_id: r for r in files.read_references(spark, str(tmp_path / "out")).collect()}
     assert set(again) == {"p", "q"} and (again["q"].page_count, again["q"].numbered) == (7, True)
     assert {r.doc_id: r.approved for r in files.all_approved(before).collect()} == {"p": True, "q": False}
@@ -87,7 +87,7 @@ def test_streams_equal_their_batch_forms(spark, sf_dir, tmp_path):
     steps = spark.sql(FEED, events=feeds.read_feed(spark, source, events.schema))
     feeds.progress_stream(steps, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination(120)
     want = feeds.latest_progress(batch)
-    assert sorted(spark.read.parquet(str(tmp_path / "store")).select(want.columns).collect()) == sorted(want.collect())
+    assert sorted(feeds.read_progress(spark, str(tmp_path / "store")).select(want.columns).collect()) == sorted(want.collect())
     last = feeds.last_events(batch, 3).collect()
     assert {(r.source_db, r.n) for r in last} == {(f"db{i}", n) for i in range(11) for n in (1, 2, 3)}
 
