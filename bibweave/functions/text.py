@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Numbering prefixes; only the first that matches is removed (fixed patterns).
 NUMBERING = [r"^\s*\[\d{1,3}\]\s*", r"^\s*\d{1,3}\.\s+", r"^\s*\d{1,3}\)\s+", r"^\s*\d{1,3}-\s*"]
@@ -35,6 +38,12 @@ def collapsed(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
+@F.arrow_udf(StringType())
+def nfkc(column: pa.Array) -> pa.Array:
+    """Compatibility forms composed."""
+    return pc.utf8_normalize(column, "NFKC")
+
+
 def strip_noise(col: Column) -> Column:
     """Without the numbering prefix and access dates, blanks collapsed; null is empty."""
     text = F.coalesce(col, F.lit(""))

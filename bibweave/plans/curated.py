@@ -288,12 +288,13 @@ def example_rows(spark, sf_dir):
     return compare.example_rows(compare.compare_extractions(*sides(spark, sf_dir)), 5)
 
 
-@query(f"""SELECT ref_id AS source_id, doc_id AS pdf_id, CAST(ref_number AS INT) AS ref, title AS ner_title, other_title AS regex_title, authors AS ner_authors, other_authors AS regex_authors, coalesce(doi, '') AS ner_doi, coalesce(other_doi, '') AS regex_doi, CAST(confidence AS DOUBLE) AS ner_conf, year = other_year AS year_match FROM {duck(SIDES)} WHERE kind <> 1""")
+@query(f"""SELECT ref_id AS source_id, doc_id AS pdf_id, CAST(ref_number AS INT) AS ref, title AS ner_title, other_title AS regex_title, authors AS ner_authors, other_authors AS regex_authors, coalesce(doi, '') AS ner_doi, coalesce(other_doi, '') AS regex_doi, CAST(confidence AS DOUBLE) AS ner_conf, year = other_year AS year_match, CASE WHEN kind <> 3 THEN CAST(1 AS DOUBLE) END AS title_sim, CASE WHEN journal <> '' THEN CAST(1 AS DOUBLE) END AS journal_sim,
+    CAST(CASE WHEN kind = 7 THEN round(1.0 / len(list_distinct(list_transform(string_split(authors, '; '), lambda x: lower(split_part(x, ',', 1))))), 3) ELSE 1 END AS DOUBLE) AS authors_jacc FROM {duck(SIDES)} WHERE kind <> 1""")
 def comparison_rows(spark, sf_dir):
-    """Rows of the comparison file (here without the measured similarities)."""
+    """Rows of the comparison file. The similarity of two unlike titles is left to the tests of the ratio."""
     raw = refs(spark, sf_dir).withColumn("raw", F.col("title"))
     out = compare.comparison_rows(compare.compare_extractions(*sides(spark, sf_dir)), raw)
-    return out.select("source_id", "pdf_id", F.col("ref").cast("int").alias("ref"), "ner_title", "regex_title", "ner_authors", "regex_authors", "ner_doi", "regex_doi", "ner_conf", "year_match")
+    return out.select("source_id", "pdf_id", F.col("ref").cast("int").alias("ref"), "ner_title", "regex_title", "ner_authors", "regex_authors", "ner_doi", "regex_doi", "ner_conf", "year_match", "journal_sim", "authors_jacc", F.when(F.col("title_sim") >= compare.TITLE, F.col("title_sim")).alias("title_sim"))
 
 
 @query(f"SELECT count(*) AS n, round(avg(CASE WHEN kind NOT IN (1, 4) THEN 1.0 ELSE 0 END), 6) AS rate FROM {duck(REFS)}")
@@ -565,14 +566,14 @@ def normalize_text(spark, sf_dir):
     return catalog(spark, sf_dir).select("work_id", names.nfkd(F.concat(F.lit("ﬁ\u00a0 "), "title", F.lit("\t½ "))).alias("text"))
 
 
-@query(f"""SELECT work_id, lower(family) AS last_name, concat('the ', lower(title), ' a b') AS title, CASE work_id % 3 WHEN 0 THEN journal WHEN 1 THEN journal ELSE 'J' END AS journal FROM (SELECT work_id, title, journal, split_part(authors, ',', 1) AS family FROM {duck(CATALOG)})""")
+@query(f"""SELECT work_id, lower(family) AS last_name, concat('the ', lower(title), ' a b fi 1') AS title, CASE work_id % 3 WHEN 0 THEN journal WHEN 1 THEN journal ELSE 'J' END AS journal FROM (SELECT work_id, title, journal, split_part(authors, ',', 1) AS family FROM {duck(CATALOG)})""")
 def compare_forms(spark, sf_dir):
     """The forms in which two extractions are compared."""
     form = F.col("work_id") % 4
     family = F.split_part("authors", F.lit(","), F.lit(1))
     name = F.when(form == 0, F.concat(family, F.lit(", A."))).when(form == 1, F.concat(F.lit("Ada "), family)).when(form == 2, F.concat(family, F.lit(" A.B."))).otherwise(F.concat(F.lit(" A. "), family, F.lit(".")))
     tail = F.when(F.col("work_id") % 3 == 0, F.concat("journal", F.lit(", vol. 3, no. 2"))).when(F.col("work_id") % 3 == 1, F.concat("journal", F.lit(" 12(3), 1-9"))).otherwise(F.lit("J, pp. 4"))
-    return catalog(spark, sf_dir).select("work_id", compare.compare_last_name(name).alias("last_name"), compare.compare_normalize(F.concat(F.lit("The  "), "title", F.lit(": (A) b!"))).alias("title"), compare.strip_journal_tail(tail).alias("journal"))
+    return catalog(spark, sf_dir).select("work_id", compare.compare_last_name(name).alias("last_name"), compare.compare_normalize(F.concat(F.lit("The  "), "title", F.lit(": (A) b! ﬁ ①"))).alias("title"), compare.strip_journal_tail(tail).alias("journal"))
 
 
 @query(f"SELECT ref_id, round(CAST(CASE WHEN kind % 3 = 0 THEN 0.4 ELSE 0 END + CASE WHEN kind <> 1 THEN 0.15 ELSE 0 END + 0.35 + CASE WHEN journal <> '' THEN 0.1 ELSE 0 END AS DOUBLE), 6) AS sure FROM {duck(REFS)}")

@@ -407,11 +407,12 @@ def entities_from_bio(spark, sf_dir):
     return labels.entities_from_bio(t).withColumn("score", F.round("score", 6))
 
 
-@query(rf"""WITH d AS (SELECT DISTINCT title FROM {duck(REFS)}), t AS (SELECT title, regexp_extract_all(title, '\w+|[^\w\s]') AS w FROM d)
-    SELECT md5(title) AS key, CAST(unnest(range(len(w))) AS INT) AS tok, unnest(w) AS token FROM t""")
+@query(rf"""WITH d AS (SELECT DISTINCT title FROM {duck(REFS)}), t AS (SELECT title, regexp_extract_all(title, '\w+|[^\w\s]') AS w, list_transform(regexp_extract_all(title, '\s*(?:\w+|[^\w\s])'), lambda x: length(x)) AS n FROM d),
+    p AS (SELECT title, w, n, unnest(range(len(w))) AS i FROM t)
+    SELECT md5(title) AS key, CAST(i AS INT) AS tok, w[i + 1] AS token, CAST(list_sum(n[1:i + 1]) - length(w[i + 1]) AS INT) AS start, CAST(list_sum(n[1:i + 1]) AS INT) AS "end" FROM p""")
 def word_tokens(spark, sf_dir):
     rows = refs(spark, sf_dir).select("title").distinct().select(F.md5("title").alias("key"), "title")
-    return labels.word_tokens(rows, "key", "title").select("key", "tok", "token")
+    return labels.word_tokens(rows, "key", "title").select("key", "tok", "token", "start", "end")
 
 
 @query(f"""WITH s AS (SELECT ref_id, label, s, e FROM {duck(SPANS)}), t AS (SELECT ref_id, title, unnest(range(len(string_split(title, ' ')))) AS i, string_split(title, ' ') AS w FROM {duck(REFS)} WHERE kind NOT IN (6, 9)),
