@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibweave.functions import fuzzy, identifiers, text
+from bibweave.functions.sql import register_functions
 from bibweave.operators import curation, extract, labels, layout, linkage, reports
 from bibweave.plans.derived import ASKED, CATALOG, CROWDED, FEED, LINES, RAW, REFS, STYLED, VERDICTS, catalog, derived, duck, refs, view
 from bibweave.streaming import feeds
@@ -407,14 +408,25 @@ def entities_from_bio(spark, sf_dir):
     return labels.entities_from_bio(t).withColumn("score", F.round("score", 6))
 
 
-@query(rf"""WITH d AS (SELECT DISTINCT title FROM {duck(REFS)}), t AS (SELECT title, regexp_extract_all(title, '\w+|[^\w\s]') AS w, list_transform(regexp_extract_all(title, '\s*(?:\w+|[^\w\s])'), lambda x: length(x)) AS n FROM d),
+TOKEN_SQL = rf"""WITH d AS (SELECT DISTINCT title FROM {duck(REFS)}), t AS (SELECT title, regexp_extract_all(title, '\w+|[^\w\s]') AS w, list_transform(regexp_extract_all(title, '\s*(?:\w+|[^\w\s])'), lambda x: length(x)) AS n FROM d),
     p AS (SELECT title, w, n, unnest(range(len(w))) AS i FROM t)
-    SELECT md5(title) AS key, CAST(i AS INT) AS tok, w[i + 1] AS token, CAST(list_sum(n[1:i + 1]) - length(w[i + 1]) AS INT) AS start, CAST(list_sum(n[1:i + 1]) AS INT) AS "end" FROM p""")
+    SELECT md5(title) AS key, CAST(i AS INT) AS tok, w[i + 1] AS token, CAST(list_sum(n[1:i + 1]) - length(w[i + 1]) AS INT) AS start, CAST(list_sum(n[1:i + 1]) AS INT) AS "end" FROM p"""
+
+
+@query(TOKEN_SQL)
 def word_tokens(spark, sf_dir):
     rows = refs(spark, sf_dir).select("title").distinct().select(F.md5("title").alias("key"), "title")
     return labels.word_tokens(rows, "key", "title").select("key", "tok", "token", "start", "end")
 
 
+@query(TOKEN_SQL)
+def tokens_in_sql(spark, sf_dir):
+    """The same by the table function that ``register_functions`` makes known to SQL."""
+    register_functions(spark)
+    titles = refs(spark, sf_dir).select("title").distinct()
+    return spark.sql("SELECT md5(d.title) AS key, t.tok, t.token, t.start, t.`end` FROM {titles} d, LATERAL bib_tokens(d.title) t", titles=titles)
+
+
 @query(f"""WITH s AS (SELECT ref_id, label, s, e FROM {duck(SPANS)}), t AS (SELECT ref_id, title, unnest(range(len(string_split(title, ' ')))) AS i, string_split(title, ' ') AS w FROM {duck(REFS)} WHERE kind NOT IN (6, 9)),
     o AS (SELECT ref_id, CAST(i AS INT) AS tok, coalesce(list_sum(list_transform(w[1:i], lambda x: length(x) + 1)), 0) AS a, length(w[i + 1]) AS n FROM t),
     h AS (SELECT o.ref_id, tok, label, s, min(tok) OVER (PARTITION BY o.ref_id, label) AS first FROM o JOIN s ON o.ref_id = s.ref_id AND o.a < s.e AND o.a + n > s.s)

@@ -141,3 +141,13 @@ def test_identifiers(spark):
 def test_scholar_authors(spark):
     got = spark.range(1).select(names.clean_scholar_authors(F.array(F.lit("JH Lee - Cells"), F.lit("2024"), F.lit("S Niknazar… - Journal of Lasers in…"), F.lit("12"))).alias("x")).first()["x"]
     assert got == ["JH Lee", "S Niknazar"]
+
+
+def test_functions_in_sql(spark):
+    from bibweave.functions.sql import register_functions
+
+    assert {"bib_tokens", "bib_author_agreement"} <= set(register_functions(spark))
+    got = spark.sql("SELECT bib_indel_ratio('abc', 'abd') AS r, bib_nfkc('ﬁ') AS c, bib_normalize_name('Ş. Yılmaz') AS n, bib_author_agreement(array('Smith, J.'), array('John Smith')).match AS m").first()
+    assert (round(got.r, 4), got.c, got.n, got.m) == (0.6667, "fi", "s yilmaz", True)
+    rows = spark.sql("SELECT k, tok, token, start, `end` FROM VALUES ('a', 'x, é!'), ('b', ''), ('c', NULL) AS d(k, v), LATERAL bib_tokens(v)").collect()
+    assert sorted(map(tuple, rows)) == [("a", 0, "x", 0, 1), ("a", 1, ",", 1, 2), ("a", 2, "é", 3, 4), ("a", 3, "!", 4, 5)]
