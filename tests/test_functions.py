@@ -134,6 +134,7 @@ def test_identifiers(spark):
     assert one(spark, doi, a="x. doi: 10.1234/abc- def. Foo") == "10.1234/abc-def"
     assert one(spark, doi, a="see https://dx.doi.org/10.5555/Ab.1). And") == "10.5555/ab.1" and one(spark, doi, a="none") is None
     assert one(spark, identifiers.arxiv_base(identifiers.extract_arxiv(F.col("a"))), a="arXiv:2403. 12345v2") == "2403.12345"
+    assert one(spark, identifiers.arxiv_base(identifiers.extract_arxiv(F.col("a"))), a="https://arxiv.org/abs/2101.1234567v2") == "2101.1234567"
     safe = text.url_is_safe(F.col("a"))
     assert [one(spark, safe, a=u) for u in ("http://a.b/", "ftp://a.b/", "http://10.0.0.1/", "https://8.8.8.8:8443/x", "http://a.b:22/", "http://172.20.1.1")] == [True, False, False, True, False, False]
 
