@@ -72,3 +72,9 @@ def test_years_one_apart_agree(spark):
     got = found(spark, refs, [work(1, "sparse planning for deep basins", ["Keller, Ada"])])
     assert {r for r in got if "!year" not in got[r].problem_tags} == {"r1999", "r2000", "r2001"}
     assert {r for r in got if got[r].decision == "valid"} == {"r1999", "r2000", "r2001"}
+
+
+def test_match_by_arxiv_keeps_long_numbers_apart(spark):
+    refs = spark.createDataFrame([(1, "https://arxiv.org/abs/2101.110001v1"), (2, "https://arxiv.org/abs/2101.110002v3")], "ref_id long, url string")
+    works = spark.createDataFrame([(10, "2101.110001v9"), (20, "2101.110002"), (30, "2101.11000")], "work_id long, arxiv string")
+    assert sorted((r.ref_id, r.work_id) for r in linkage.match_by_arxiv(refs, works).collect()) == [(1, 10), (2, 20)]
