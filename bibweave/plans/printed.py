@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bibweave.operators import layout
-from bibweave.plans.derived import LINES, REFS, derived, duck, refs
+from bibweave.plans.derived import LINES, LINES_AT_ONCE, REFS, derived, duck, refs
 from bibweave.plans.queries import query
 
 #: The printed lines with numbers that start at 0 on every page, and with what the filter must drop: an instruction in place of
 #: each seventh reference's second line, the site's footer in place of page numbers.
-PAGED = f"""SELECT doc_id, page, CAST(line_no - (page - 1) * 12 AS INT) AS line_no, CASE WHEN line_no % 21 = 11 THEN 'Zorunludur.' WHEN text = ' 17 ' AND line_no % 2 = 0 THEN 'see tubitak.gov.tr page 3' ELSE text END AS text, x0, y0, x1, y1 FROM ({LINES}) AS l"""
+PAGED_LINES = """SELECT doc_id, page, CAST(line_no - (page - 1) * 12 AS INT) AS line_no, CASE WHEN line_no % 21 = 11 THEN 'Zorunludur.' WHEN text = ' 17 ' AND line_no % 2 = 0 THEN 'see tubitak.gov.tr page 3' ELSE text END AS text, x0, y0, x1, y1 FROM ({lines}) AS l"""
+PAGED = PAGED_LINES.format(lines=LINES)
 
 
 def paged(spark, sf_dir):
-    return derived(spark, sf_dir, PAGED)
+    return derived(spark, sf_dir, PAGED_LINES.format(lines=LINES_AT_ONCE))
 
 
 def numbered(spark, sf_dir):
@@ -23,7 +24,7 @@ def numbered(spark, sf_dir):
 
 @query(f"SELECT doc_id, page, line_no, length(text) AS size FROM {duck(LINES)}")
 def number_lines(spark, sf_dir):
-    return layout.number_lines(derived(spark, sf_dir, f"SELECT doc_id, page, CAST(line_no - (page - 1) * 12 AS INT) AS line_no, text FROM ({LINES}) AS l")).select("doc_id", "page", "line_no", F.length("text").alias("size"))
+    return layout.number_lines(derived(spark, sf_dir, f"SELECT doc_id, page, CAST(line_no - (page - 1) * 12 AS INT) AS line_no, text FROM ({LINES_AT_ONCE}) AS l")).select("doc_id", "page", "line_no", F.length("text").alias("size"))
 
 
 KEPT = f"""(SELECT * FROM (SELECT p.* REPLACE (line_no + (page - 1) * 12 AS line_no) FROM {duck(PAGED)} p) WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\\s*\\d{{1,3}}\\s*$') AND text <> 'Zorunludur.' AND NOT contains(text, 'tubitak')
@@ -47,8 +48,7 @@ def paged_header(spark, sf_dir):
 @query(f"SELECT doc_id, line_no, CAST((line_no + 2) // 3 AS BIGINT) AS ref_no FROM {KEPT} WHERE doc_id % 3 > 0")
 def split_numbered(spark, sf_dir):
     """Numbered documents of several pages: every line after the header in its reference."""
-    rows = numbered(spark, sf_dir)
-    body = layout.line_filter(layout.lines_after_header(rows, layout.find_header(rows)))
+    body = layout.line_filter(layout.lines_below_header(numbered(spark, sf_dir)))
     return layout.split_numbered(body.where("doc_id % 3 > 0")).select("doc_id", "line_no", "ref_no")
 
 

@@ -135,3 +135,19 @@ def test_numbers_that_hold(spark):
     rows = [(d, i, n) for d, ns in numbers.items() for i, n in enumerate(ns)]
     got = layout.valid_splits(spark.createDataFrame(rows, "doc_id string, line_no int, ref_no long")).collect()
     assert {r.doc_id for r in got} == {"from one", "short", "one", "mixed"}
+
+
+def test_screened_instructions_and_headers_in_one_pass(spark):
+    texts = ["1001BF-02 form", "Bu bölümde yer", "Proje önerisinde", "17. sayfasındaki AÇIKLAMALARA", "verilmeli ve bu kaynaklara", "listenin sonuna DOI numarası", "İçerisinde ilgili yerlerde", "Güncelleme tarihi", "ZORUNLUDUR..", "YAPILMALIDIR"]
+    texts += ["kaynakların listesi", "bibliyografik", "verilerin-duzenlenmesi", "böyle eklenmesi ", "Kurum İçi Sınırsız Kullanım / Kişisel Veri Değil", " 2020 - BF Güncelleme Tarihi: 01/02/2020 ", "a plain line of the end", "[1] Keller", "12) Weber", "3-4 pages", "2020. Title", "7- Moreau", "[12 x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = layout.any_of(F.col("t"), layout.INSTRUCTIONS, "(?iu)")
+    got = rows.select("t", layout.is_instruction(F.col("t")).alias("a"), plain.alias("b"), layout.line_number(F.col("t")).alias("n")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(r.b for r in got) == 16
+    assert [r.n for r in got][16:] == [None, 1, 12, None, None, 7, None]
+    body = ["title page", "References", "x", "References", "Keller, A. one", "Weber, B. two", "Novak, C. three", "References"]
+    lines = spark.createDataFrame([(d, 1 + i // 4, i % 4, t, 0.0, i * 12.0, 9.0, i * 12.0 + 10) for d in (1, 2) for i, t in enumerate(body[d - 1 :])], "doc_id long, page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    rows = layout.number_lines(lines)
+    assert sorted(r.line_no for r in rows.where("doc_id = 1").collect()) == list(range(8))
+    want = layout.lines_after_header(rows, layout.find_header(rows)).select("doc_id", "line_no")
+    assert sorted(map(tuple, layout.lines_below_header(rows).select("doc_id", "line_no").collect())) == sorted(map(tuple, want.collect())) != []
