@@ -116,11 +116,12 @@ def prune_results(results: DataFrame, refs: DataFrame) -> DataFrame:
 def merge_second_tier(results: DataFrame, scholar: DataFrame) -> DataFrame:
     """All matches of a reference (ref_id, source_db, title, raw_score) with earlier scholar rows replaced by the single best
     new one, ranked again from 1."""
-    best = Window.partitionBy("ref_id").orderBy(F.desc("raw_score"), "title")
-    new = scholar.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-    old = results.where("source_db <> 'scholar'").unionByName(results.where("source_db = 'scholar'").join(new, "ref_id", "left_anti"))
+    rows = results.withColumn("_new", F.lit(False)).unionByName(scholar.select(*results.columns, F.lit(True).alias("_new")))
+    best = Window.partitionBy("ref_id").orderBy(F.desc("_new"), F.desc("raw_score"), "title")
+    rows = rows.withColumns({"_n": F.row_number().over(best), "_searched": F.max("_new").over(Window.partitionBy("ref_id"))})
+    rows = rows.where((F.col("_new") & (F.col("_n") == 1)) | (~F.col("_new") & ((F.col("source_db") != "scholar") | ~F.col("_searched"))))
     rank = Window.partitionBy("ref_id").orderBy(F.desc("raw_score"), "source_db", "title")
-    return old.unionByName(new.select(old.columns)).withColumn("rank", F.row_number().over(rank))
+    return rows.select(*results.columns, F.row_number().over(rank).alias("rank"))
 
 
 def sort_key(key: str, ascending: bool = True) -> list[Column]:
