@@ -45,3 +45,12 @@ def test_pairs_meet_unprepared_sides(spark):
     pairs = spark.createDataFrame([(1, 5)], "ref_id int, work_id int")
     early = linkage.score_pairs(pairs, linkage.prepared(refs), linkage.prepared(works)).collect()
     assert linkage.score_pairs(pairs, refs, works).collect() == early and early[0].title_score == 1.0
+
+
+def test_annotations_go_to_python_in_batches(spark):
+    refs = spark.createDataFrame([(1, "deep x and deep"), (2, None)], "ref_id int, raw string")
+    asked = [(1, 1, "deep", "TITLE"), (1, 0, " x ", "DOI"), (1, 2, "deep", "TITLE"), (1, 3, "deep", "TITLE"), (1, 4, " ", "DOI"), (2, 0, "a", "DOI"), (2, 1, "a", "NOPE")]
+    out = labels.locate_annotations(refs, spark.createDataFrame(asked, "ref_id int, at int, substring string, label string"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.ref_id, r.at, r.start, r.end, r.error) for r in out.collect())
+    assert got == [(1, 0, 5, 6, None), (1, 1, 0, 4, None), (1, 2, 11, 15, None), (1, 3, None, None, "not found"), (1, 4, None, None, "empty"), (2, 0, None, None, "not found"), (2, 1, None, None, "unknown label")]
