@@ -1,6 +1,7 @@
 """Rows of one reference travel together: how often the larger steps deal their rows, and what they give on odd inputs."""
 
 from bibweave.operators import curation, labels, linkage
+from bibweave.sources import store
 
 
 def exchanges(df):
@@ -54,3 +55,10 @@ def test_annotations_go_to_python_in_batches(spark):
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.ref_id, r.at, r.start, r.end, r.error) for r in out.collect())
     assert got == [(1, 0, 5, 6, None), (1, 1, 0, 4, None), (1, 2, 11, 15, None), (1, 3, None, None, "not found"), (1, 4, None, None, "empty"), (2, 0, None, None, "not found"), (2, 1, None, None, "unknown label")]
+
+
+def test_levels_are_walked_once(spark):
+    json = '{"list": [{"x": {"text": "a text that is long enough"}}, 7, "raw_text"], "text": 12345678901234567890123, "deep": {"raw_text": "short", "text": "another text of some length", "in": {"text": "never searched as it lies inside"}}}'
+    out = store.walk_reference_records(spark.createDataFrame([(1, json), (2, "no json"), (3, "[]")], "k int, j string"), "k", "j")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # every level is read from where it was written
+    assert sorted((r.key, r.path, r.text) for r in out.collect()) == [(1, "$.deep", "another text of some length"), (1, "$.list[0].x", "a text that is long enough")]
