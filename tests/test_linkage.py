@@ -78,3 +78,9 @@ def test_match_by_arxiv_keeps_long_numbers_apart(spark):
     refs = spark.createDataFrame([(1, "https://arxiv.org/abs/2101.110001v1"), (2, "https://arxiv.org/abs/2101.110002v3")], "ref_id long, url string")
     works = spark.createDataFrame([(10, "2101.110001v9"), (20, "2101.110002"), (30, "2101.11000")], "work_id long, arxiv string")
     assert sorted((r.ref_id, r.work_id) for r in linkage.match_by_arxiv(refs, works).collect()) == [(1, 10), (2, 20)]
+
+
+def test_match_by_arxiv_meets_a_repeated_work_once(spark):
+    refs = spark.createDataFrame([(1, "https://arxiv.org/abs/2101.11000v1"), (2, "")], "ref_id long, url string")
+    works = spark.createDataFrame([(10, "2101.11000v9"), (10, "2101.11000"), (20, "2101.11000v2"), (30, None)], "work_id long, arxiv string")
+    assert sorted((r.ref_id, r.work_id) for r in linkage.match_by_arxiv(refs, works).collect()) == [(1, 10), (1, 20)]
