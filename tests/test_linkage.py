@@ -84,3 +84,24 @@ def test_match_by_arxiv_meets_a_repeated_work_once(spark):
     refs = spark.createDataFrame([(1, "https://arxiv.org/abs/2101.11000v1"), (2, "")], "ref_id long, url string")
     works = spark.createDataFrame([(10, "2101.11000v9"), (10, "2101.11000"), (20, "2101.11000v2"), (30, None)], "work_id long, arxiv string")
     assert sorted((r.ref_id, r.work_id) for r in linkage.match_by_arxiv(refs, works).collect()) == [(1, 10), (1, 20)]
+
+
+def test_block_by_title_cuts_stock_titles_before_questions_are_told_apart(spark, monkeypatch):
+    kept = {}
+
+    def counted(df, name, write=linkage.persisted):
+        out = write(df, name)
+        kept[name] = max(kept.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(linkage, "persisted", counted)
+    names = [f"Name{c}" for c in "abcdefgh"]
+    rows = [(100 * year + n, "crossref", f"Study {'abcdef'[n % 6]} in the journal", [f"{names[n % 8]}, Q."], 1900 + year, None, None, None) for year in range(12) for n in range(24)]
+    works = spark.createDataFrame(rows, WORK)
+    refs = spark.createDataFrame([(f"{s}{y}", "invented matters in the journal", [f"{s}, A."], y, None, "") for s in names for y in (1903, 1907)], REF)
+    index = linkage.build_catalog_index(works, rare=4)
+    got = {(r.ref_id, r.work_id) for r in linkage.block_by_title(refs, index, 2).collect()}
+    assert 0 < kept["heads"] <= 16 * 4 * 2  # questions, lists by title and by surname, k
+    by_author = {s: [(w[0], w[4]) for w in rows if w[3] == [f"{s}, Q."]] for s in names}
+    want = {(f"{s}{y}", i) for s in names for y in (1903, 1907) for near in (False, True) for i in sorted(i for i, at in by_author[s] if not near or abs(at - y) <= 1)[:2]}
+    assert got == want
