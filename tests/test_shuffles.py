@@ -62,3 +62,12 @@ def test_levels_are_walked_once(spark):
     out = store.walk_reference_records(spark.createDataFrame([(1, json), (2, "no json"), (3, "[]")], "k int, j string"), "k", "j")
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # every level is read from where it was written
     assert sorted((r.key, r.path, r.text) for r in out.collect()) == [(1, "$.deep", "another text of some length"), (1, "$.list[0].x", "a text that is long enough")]
+
+
+def test_entities_run_the_patterns_of_their_label_only(spark):
+    refs = spark.createDataFrame([(1, "Deep maps. 1999. doi:10.5555/abc")], "ref_id int, raw string")
+    entities = spark.createDataFrame([(1, "TITLE", 0, 9, 0.9), (1, "PUBLICATION_YEAR", 11, 13, 0.9), (1, "DOI", 21, 32, 0.9)], "ref_id int, label string, start int, end int, score double")
+    out = labels.parsed_from_entities(entities, refs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f" = {label}) THEN") > 0 for label in ("DOI", "PUBLICATION_YEAR")] == [True, True]
+    assert out.select("title", "year", "doi").first() == ("Deep maps", 1999, "10.5555/abc")
