@@ -12,7 +12,7 @@ one kind only, every score is that label's share (0.5 without labels). Null labe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -115,14 +115,14 @@ def fit(rows: list[tuple[int, bytes, int]], dictionary_bytes: int = 112_640) ->
 def score_column(spark, model: CompressionModel, text: Column) -> Column:
     held = spark.sparkContext.broadcast(model)  # two dictionaries and three weights
 
+    # a plain function of the column as it is: beside another one over the same text it shares its worker and its batches
     @F.arrow_udf(DoubleType())
-    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
-            batch = pa.RecordBatch.from_arrays([column], ["text"])
-            parts = [held.value.scores([t.encode() for t in part.column(0).to_pylist()]) for part in pieces(batch, "text")]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [held.value.scores([(t or "").encode() for t in part.column(0).to_pylist()]) for part in pieces(batch, "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return score(F.coalesce(text, F.lit("")))
+    return score(text)
 
 
 def weight_on(docs: DataFrame, labels: DataFrame, least: float = 0.05, **options) -> Callable[[Column], Column]:

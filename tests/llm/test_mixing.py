@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from bibweave.llm import queries
+from bibweave.llm import mixing, quality, queries
 from bibweave.llm.mixing import _row_key, mix, quality_weight
 
 
@@ -100,3 +100,11 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert mix(docs).columns == [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies"]
     assert run(spark.createDataFrame([], "doc_id long, text string, source string")) == []
     assert all(r.taken == 0 and r.target == 0 for r in run(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")))
+
+
+def test_counts_and_scores_share_one_pass_over_the_text(spark):
+    docs = spark.createDataFrame([(i, None if i == 3 else f"some good words {i}", "a") for i in range(12)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    planned = mixing._planned(docs, weigh=quality.weight_on(docs, labels))
+    assert planned._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert planned.count() == 12
