@@ -151,3 +151,14 @@ def test_screened_instructions_and_headers_in_one_pass(spark):
     assert sorted(r.line_no for r in rows.where("doc_id = 1").collect()) == list(range(8))
     want = layout.lines_after_header(rows, layout.find_header(rows)).select("doc_id", "line_no")
     assert sorted(map(tuple, layout.lines_below_header(rows).select("doc_id", "line_no").collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_patterns_stay_linear_in_long_texts(spark):
+    """A long text without a bracketed year, and a title longer than Java's stack would recurse over."""
+    from time import time
+
+    long = "Keller, A. 2001. " + "maps and things " * 4000 + "Annals of Maps"
+    rows = spark.createDataFrame([(1, long)], "ref_id int, raw string")
+    began = time()
+    out = extract.parse_references(rows).select("year", F.length("title").alias("n"), extract.late_year(F.lit("x " * 20000)).alias("late")).first()
+    assert (out.year, out.late) == (2001, None) and out.n > 60000 and time() - began < 30
