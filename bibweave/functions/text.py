@@ -15,6 +15,8 @@ ACCESS_DATES = [
     r"(?iu)[,;]?\s*son\s+eri[şs]im\s+tarihi\s*:?\s*\d{1,2}\s+[A-Za-zÇĞİÖŞÜçğıöşü]+\s+\d{4}\.?",
     r"(?iu)[,;]?\s*eri[şs]im\s+tarihi\s*:?\s*\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\.?",
 ]
+#: What both phrases hold.
+ACCESS = r"(?iu)eri[şs]im\s+tarihi"
 #: Search pages: address before and after the encoded title, and whether a blank becomes + (fixed values).
 SEARCH_PAGES = {
     "crossref": ("https://search.crossref.org/search/works?q=", "&from_ui=yes", True),
@@ -35,7 +37,7 @@ KEEPS_COMMAS = "trdizin"  # fixed value
 
 
 def collapsed(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col, r"(?U) \s+|[^\S ]\s*", " "))  # a single blank is left as it is
 
 
 @F.arrow_udf(StringType())
@@ -47,17 +49,19 @@ def nfkc(column: pa.Array) -> pa.Array:
 def strip_noise(col: Column) -> Column:
     """Without the numbering prefix and access dates, blanks collapsed; null is empty."""
     text = F.coalesce(col, F.lit(""))
-    bare = text
-    for pattern in reversed(NUMBERING):
-        bare = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "")).otherwise(bare)
+    bare = dated = F.regexp_replace(text, "|".join(NUMBERING), "")
     for pattern in ACCESS_DATES:
-        bare = F.regexp_replace(bare, pattern, " ")
-    return collapsed(bare)
+        dated = F.regexp_replace(dated, pattern, " ")
+    return collapsed(F.when(text.rlike(ACCESS), dated).otherwise(bare))
 
 
 def search_text(col: Column) -> Column:
     """strip_noise without links and DOIs."""
-    text = strip_noise(col)
+    return unlinked(strip_noise(col))
+
+
+def unlinked(text: Column) -> Column:
+    """A clean text without links and DOIs."""
     for pattern in (r"https?://\S+", r"(?i)doi[:\s]*10\.\S+", r"10\.\d{4,9}/\S+"):
         text = F.regexp_replace(text, pattern, "")
     return collapsed(text)
