@@ -1,6 +1,6 @@
 """Rows of one reference travel together: how often the larger steps deal their rows, and what they give on odd inputs."""
 
-from bibweave.operators import curation, labels, linkage
+from bibweave.operators import compare, curation, labels, linkage
 from bibweave.sources import store
 
 
@@ -71,3 +71,11 @@ def test_entities_run_the_patterns_of_their_label_only(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.count(f" = {label}) THEN") > 0 for label in ("DOI", "PUBLICATION_YEAR")] == [True, True]
     assert out.select("title", "year", "doi").first() == ("Deep maps", 1999, "10.5555/abc")
+
+
+def test_search_by_fields_builds_no_index(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "build_catalog_index", lambda *_, **__: 1 / 0)
+    refs = spark.createDataFrame([(1, ["Keller, A."], 2000, "Annals of Deep Maps")], "ref_id int, authors array<string>, year int, journal string")
+    works = spark.createDataFrame([(w, None, "t", ["Keller, Ada"], 2000 + w, "Annals of Deep Maps") for w in (3, 1, 0)], "work_id int, source_db string, title string, authors array<string>, year int, journal string")
+    out = linkage.block_by_fields(refs, works, 2)
+    assert sorted(map(tuple, out.collect())) == [(1, "", 0, 4), (1, "", 1, 4)]
