@@ -79,3 +79,20 @@ def test_search_by_fields_builds_no_index(spark, monkeypatch):
     works = spark.createDataFrame([(w, None, "t", ["Keller, Ada"], 2000 + w, "Annals of Deep Maps") for w in (3, 1, 0)], "work_id int, source_db string, title string, authors array<string>, year int, journal string")
     out = linkage.block_by_fields(refs, works, 2)
     assert sorted(map(tuple, out.collect())) == [(1, "", 0, 4), (1, "", 1, 4)]
+
+
+def test_equal_texts_are_compared_without_python(spark):
+    schema = "ref_id int, title string, authors array<string>, year int, journal string, doi string, parse_confidence double"
+    a = [(1, "Deep maps", ["Keller, A."], 1, "J. Maps, vol. 3", None, 1.0), (2, "ﬁne  Ｍaps!", ["Ünal, Ö."], 1, None, None, 1.0), (3, None, None, None, "A", "", 1.0), (4, "a b c", [], 1, "--", "x", 1.0)]
+    b = [(1, "DEEP: maps", ["Ada Keller"], 1, "j maps", None, 1.0), (2, "fine maps", ["Ö. ÜNAL"], 1, "", None, 1.0), (3, " ", [], None, "b", None, 1.0), (4, "c d", ["X"], 2, "!", "X", 1.0)]
+    sent = []
+    real = compare.token_set_ratio
+    compare.token_set_ratio = lambda x, y: sent.append((x, y)) or real(x, y)
+    try:
+        out = compare.compare_extractions(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    finally:
+        compare.token_set_ratio = real
+    assert len(sent) == 2 and all("CASE WHEN" in str(c) for pair in sent for c in pair)  # null where the sides are equal
+    got = {r.ref_id: (r.title_score, r.journal_score, r.authors_jaccard, r.year_match, r.doi_match) for r in out.collect()}
+    assert got[1] == (1.0, 1.0, 1.0, True, True) and got[2] == (1.0, None, 1.0, True, True) and got[3] == (0.0, 0.0, 1.0, True, True)
+    assert 0 < got[4][0] < 1 and got[4][1:] == (0.0, 0.0, False, True)
