@@ -96,3 +96,10 @@ def test_equal_texts_are_compared_without_python(spark):
     got = {r.ref_id: (r.title_score, r.journal_score, r.authors_jaccard, r.year_match, r.doi_match) for r in out.collect()}
     assert got[1] == (1.0, 1.0, 1.0, True, True) and got[2] == (1.0, None, 1.0, True, True) and got[3] == (0.0, 0.0, 1.0, True, True)
     assert 0 < got[4][0] < 1 and got[4][1:] == (0.0, 0.0, False, True)
+
+
+def test_entity_kinds_need_no_pattern(spark):
+    rows = [(1, i, label, i, i + 1, 0.5) for i, label in enumerate(["B-A", "I-A", "B-A", "O", "I-B", "B", "X-A", "I-A"])] + [(2, 0, None, 0, 1, 1.0)]
+    out = labels.entities_from_bio(spark.createDataFrame(rows, "ref_id int, tok int, label string, start int, end int, score double"))
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.label, r.start, r.end) for r in out.collect()) == [("A", 0, 2), ("A", 2, 3), ("A", 7, 8), ("B", 4, 6), ("X-A", 6, 7)]
