@@ -1,6 +1,6 @@
 """Rows of one reference travel together: how often the larger steps deal their rows, and what they give on odd inputs."""
 
-from bibweave.operators import compare, curation, labels, linkage
+from bibweave.operators import compare, curation, firsts, labels, linkage
 from bibweave.sources import store
 
 
@@ -103,3 +103,35 @@ def test_entity_kinds_need_no_pattern(spark):
     out = labels.entities_from_bio(spark.createDataFrame(rows, "ref_id int, tok int, label string, start int, end int, score double"))
     assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.label, r.start, r.end) for r in out.collect()) == [("A", 0, 2), ("A", 2, 3), ("A", 7, 8), ("B", 4, 6), ("X-A", 6, 7)]
+
+
+def dealt_unsorted(df):
+    """Whether rows are dealt once, by ref_id alone, and nothing is sorted before that."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    before = plan.partition("Exchange hashpartitioning(ref_id#")[2]
+    return exchanges(df) == 1 and "Sort" in plan and before != "" and "Sort" not in before
+
+
+def in_batches_of(spark, n, df):
+    """The rows of df where Arrow batches hold n rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        return sorted(map(tuple, df.collect()), key=repr)
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_words_are_dealt_without_a_sort(spark):
+    rows = [(1, 0, None, "X"), (1, 2, 0, "B"), (1, 1, 0, "A"), (1, 3, 1, None), (2, 5, 0, "C"), (1, 4, 1, "E"), (None, 2, 0, "F"), (2, None, 0, "G"), (2, None, 7, "H"), (None, 1, 0, "I"), (2, 4, 0, "J"), (1, 0, 0, "K")]
+    out = labels.word_level_predictions(spark.createDataFrame(rows, "ref_id int, piece int, word int, label string").coalesce(1))
+    assert dealt_unsorted(out)
+    want = sorted([(1, 0, "K"), (1, 1, None), (2, 0, "J"), (2, 7, None), (None, 0, "I")], key=repr)
+    assert all(in_batches_of(spark, n, out) == want for n in (1, 3, 5, 10_000))
+
+
+def test_later_rows_of_a_batch_stay_home(spark):
+    rows = spark.range(3000).selectExpr("id div 6 AS ref_id", "CAST(id % 6 AS INT) AS piece", "CAST(id % 6 div 2 AS INT) AS word", "'L' AS label").coalesce(1)
+    left = firsts.without_later(rows, ["ref_id", "word"], {"piece": "ascending"})
+    assert in_batches_of(spark, 600, left) == sorted(((r, p, p // 2, "L") for r in range(500) for p in (0, 2, 4)), key=repr)
