@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibweave.operators.firsts import without_later
+
 TAGS = ["!title", "!authors", "!year", "!journal", "!doi/arXiv"]
 
 
@@ -145,9 +147,12 @@ def sort_references(refs: DataFrame, key: str, ascending: bool = True) -> DataFr
 
 def pick_enrichment(candidates: DataFrame) -> DataFrame:
     """ref_id, cid: of each reference's rows (ref_id, at, overlap, scraped_truncated, cid) the one with the largest overlap, of equal
-    ones the first, if the page cut it and it has a cid."""
-    best = candidates.groupBy("ref_id").agg(F.max_by(F.struct("scraped_truncated", "cid"), F.struct("overlap", -F.col("at"))).alias("b"))
-    return best.where("b.scraped_truncated AND b.cid <> ''").select("ref_id", "b.cid")
+    ones the first, if the page cut it and it has a cid. The rows of a search are made together, so most lesser ones go before the
+    rest are dealt."""
+    worth = F.when(F.col("scraped_truncated") & (F.col("cid") != ""), F.col("cid"))
+    rows = without_later(candidates.select("ref_id", "at", "overlap", worth.alias("cid")), ["ref_id"], {"overlap": "descending", "at": "ascending"})
+    best = rows.repartition("ref_id").groupBy("ref_id").agg(F.max_by("cid", F.struct("overlap", -F.col("at"))).alias("cid"))
+    return best.where("cid IS NOT NULL")
 
 
 def sort_rank(status: Column, excluded: Column) -> Column:

@@ -135,3 +135,13 @@ def test_later_rows_of_a_batch_stay_home(spark):
     rows = spark.range(3000).selectExpr("id div 6 AS ref_id", "CAST(id % 6 AS INT) AS piece", "CAST(id % 6 div 2 AS INT) AS word", "'L' AS label").coalesce(1)
     left = firsts.without_later(rows, ["ref_id", "word"], {"piece": "ascending"})
     assert in_batches_of(spark, 600, left) == sorted(((r, p, p // 2, "L") for r in range(500) for p in (0, 2, 4)), key=repr)
+
+
+def test_enrichment_deals_best_rows_without_a_sort(spark):
+    nan = float("nan")
+    rows = [(1, 2, 0.5, True, "b"), (1, 1, 0.5, True, "a"), (1, 0, 0.1, True, "z"), (2, 0, 0.9, False, "no"), (2, 1, 0.8, True, "c"), (3, 0, 0.9, True, ""), (3, 1, 0.1, True, "d"), (4, 0, None, True, "e"), (4, 1, -1.0, True, "f")]
+    rows += [(5, 0, 9.0, True, "g"), (5, 3, nan, True, "i"), (5, 2, nan, True, "h"), (6, 0, None, True, "j"), (6, None, None, True, "k"), (7, None, 1.0, True, "l"), (7, 5, 1.0, True, "m"), (None, 0, 0.0, True, "n"), (1, 3, 0.2, True, "y")]
+    out = curation.pick_enrichment(spark.createDataFrame(rows, "ref_id int, at int, overlap double, scraped_truncated boolean, cid string").coalesce(1))
+    assert dealt_unsorted(out)
+    want = sorted([(1, "a"), (4, "f"), (5, "h"), (6, "j"), (7, "m"), (None, "n")], key=repr)
+    assert all(in_batches_of(spark, n, out) == want for n in (1, 2, 5, 10_000))
