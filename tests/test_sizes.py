@@ -50,3 +50,14 @@ def test_works_are_not_sent_by_the_size_of_their_file(spark, tmp_path):
 def test_no_catalog_is_sent_beside_large_references(spark, sf_dir, name):
     with settings(spark, **{LIMIT: "20000"}):  # the parts' file is smaller, their works are not
         assert "BroadcastHashJoin" not in plan(getattr(curated, name)(spark, sf_dir))
+
+
+def test_second_tier_reads_each_side_once(spark):
+    fields = "ref_id int, work_id int, work_source_db string, title_score double, raw_score double, score double, title_ok boolean, authors_ok boolean, year_ok boolean, venue_ok boolean, id_ok boolean"
+    row = lambda ref, work, db, raw: (ref, work, db, 0.9, raw, raw, True, True, True, True, True)
+    old = [row(1, 1, "scholar", 0.9), row(1, 2, "base", 0.5), row(2, 3, "scholar", 0.4), row(3, 4, "base", 0.6), row(None, 5, "scholar", 0.7), row(5, 9, None, 0.2)]
+    new = [row(1, 6, "scholar", 0.3), row(1, 7, "scholar", 0.6), row(3, 8, "z", 0.6), row(4, 9, "z", 0.1), row(4, 8, "a", 0.1), row(4, 9, "a", 0.1), row(None, 6, "scholar", 0.2), row(5, 4, "scholar", None)]
+    out = linkage.second_tier_verdicts(spark.createDataFrame(old, fields), spark.createDataFrame(new, fields))
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    got = sorted(((r.ref_id, r.work_id, r.source_db) for r in out.collect()), key=str)
+    assert got == [(1, 7, "scholar"), (2, 3, "scholar"), (3, 4, "base"), (4, 8, "a"), (5, 9, None), (None, 5, "scholar")]
