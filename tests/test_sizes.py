@@ -1,5 +1,6 @@
 """What large tables do to a plan, on small rows with small limits."""
 
+import re
 from contextlib import contextmanager
 
 import pytest
@@ -61,3 +62,10 @@ def test_second_tier_reads_each_side_once(spark):
     assert plan(out).count("Exchange hashpartitioning") == 1
     got = sorted(((r.ref_id, r.work_id, r.source_db) for r in out.collect()), key=str)
     assert got == [(1, 7, "scholar"), (2, 3, "scholar"), (3, 4, "base"), (4, 8, "a"), (5, 9, None), (None, 5, "scholar")]
+
+
+def test_lattice_deals_a_reference_in_one_row(spark):
+    rows = [(1, "a", 1, 3.0, 7, 7), (1, None, 1, 5.0, 1, 7), (1, None, 2, None, 0, 0), (1, "b", 3, 1.0, 4, 4), (1, "b", 3, 1.0, 4, 4), (None, "a", 9, 2.0, 0, 7), (1, None, 4, 5.0, 0, 7), (1, None, 5, 6.0, 0, 7)]
+    out = linkage.relaxation_lattice(spark.createDataFrame(rows, "ref_id int, source_db string, work_id int, weight double, keys int, usable int"), 2)
+    assert re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", plan(out))) == ["ref_id, 8"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", 1, 8), (1, "b", 3, 4), (1, None, 1, 2), (1, None, 5, 1), (None, "a", 9, 1)], key=str)
