@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 import pytest
 
-from bibweave.operators import linkage
+from bibweave.operators import compare, linkage
 from bibweave.plans import curated
 
 
@@ -69,3 +69,12 @@ def test_lattice_deals_a_reference_in_one_row(spark):
     out = linkage.relaxation_lattice(spark.createDataFrame(rows, "ref_id int, source_db string, work_id int, weight double, keys int, usable int"), 2)
     assert re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", plan(out))) == ["ref_id, 8"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", 1, 8), (1, "b", 3, 4), (1, None, 1, 2), (1, None, 5, 1), (None, "a", 9, 1)], key=str)
+
+
+def test_comparison_rows_deals_what_python_made_by_itself(spark):
+    side = "ref_id int, title string, authors array<string>, year int, journal string, doi string, parse_confidence double"
+    rows = spark.createDataFrame([(1, "Deep maps", ["Weber, A."], 2000, None, None, 0.9), (2, None, None, None, "J", "10.1/A", 0.9), (3, "x", [], 2001, "J", None, None)], side)
+    refs = spark.createDataFrame([(1, 5, 1, "a\nb"), (2, 5, 2, None), (3, 5, 3, "c")], "ref_id int, doc_id int, ref_number int, raw string")
+    out = compare.comparison_rows(compare.compare_extractions(rows, rows), refs)
+    assert "EvalPython" not in plan(out)
+    assert sorted((r.source_id, r.title_sim, r.journal_sim, r.ner_authors, r.raw_text) for r in out.collect()) == [(1, 1.0, None, "Weber, A.", "a b"), (2, 0.0, 1.0, None, None)]
