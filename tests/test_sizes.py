@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 import pytest
 
-from bibweave.operators import compare, linkage
+from bibweave.operators import compare, labels, linkage
 from bibweave.plans import curated
 
 
@@ -78,3 +78,12 @@ def test_comparison_rows_deals_what_python_made_by_itself(spark):
     out = compare.comparison_rows(compare.compare_extractions(rows, rows), refs)
     assert "EvalPython" not in plan(out)
     assert sorted((r.source_id, r.title_sim, r.journal_sim, r.ner_authors, r.raw_text) for r in out.collect()) == [(1, 1.0, None, "Weber, A.", "a b"), (2, 0.0, 1.0, None, None)]
+
+
+def test_entities_of_a_reference_travel_in_one_row(spark):
+    raw = "Deep maps 1987 1234-5678 8765-4321"
+    refs = spark.createDataFrame([(1, raw), (1, raw), (2, None), (None, raw)], "ref_id int, raw string")
+    rows = [(1, "TITLE", 0, 9, 0.9), (1, "ISSN", 15, 24, 0.6), (1, "ISSN", 25, 34, None), (1, "ISSN", 25, 34, 0.7), (1, None, 0, 4, 0.9), (2, "TITLE", 0, 4, 0.9), (None, "TITLE", 0, 9, 0.9), (3, "TITLE", 0, 4, 0.9)]
+    out = labels.parsed_from_entities(spark.createDataFrame(rows, "ref_id int, label string, start int, end int, score double"), refs)
+    assert re.search(r"partial_collect_list\(struct\(label", plan(out))
+    assert sorted((r.ref_id, r.title, r.year, r.issn) for r in out.collect()) == [(1, "Deep maps", 1987, ["1234-5678", "8765-4321"]), (2, None, None, [])]
