@@ -4,9 +4,11 @@ import re
 from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from bibweave.operators import compare, labels, linkage
 from bibweave.plans import curated
+from bibweave.sources.snapshots import aligned
 
 
 @contextmanager
@@ -87,3 +89,14 @@ def test_entities_of_a_reference_travel_in_one_row(spark):
     out = labels.parsed_from_entities(spark.createDataFrame(rows, "ref_id int, label string, start int, end int, score double"), refs)
     assert re.search(r"partial_collect_list\(struct\(label", plan(out))
     assert sorted((r.ref_id, r.title, r.year, r.issn) for r in out.collect()) == [(1, "Deep maps", 1987, ["1234-5678", "8765-4321"]), (2, None, None, [])]
+
+
+def test_rows_are_aligned_without_json(spark):
+    have = "a string, m struct<x: int, y: string, z: array<struct<p: string, q: int>>>, l array<struct<y: string, u: int>>, k map<string,boolean>, n bigint, t array<int>"
+    rows = [("s", (1, "y", [("p", 2), None]), [("y", 1), None, (None, 2)], {"a": True, "b": None}, 5, [1, None]), (None, None, None, None, None, None), ("", (None, None, None), [], {}, -1, [])]
+    want = "l array<struct<w: double, y: string>>, m struct<z: array<struct<q: int, p: string, r: int>>, x: int>, k map<string,boolean>, a string, n int, t array<string>, gone map<string,boolean>"
+    df = spark.createDataFrame(rows, have)
+    by_json = df.select(F.from_json(F.to_json(F.struct("*")), want).alias("_row")).select("_row.*")
+    out = aligned(df, want)
+    assert out.dtypes == by_json.dtypes and out.collect() == by_json.collect()
+    assert "json" not in plan(aligned(df.drop("n", "t"), want)).lower()
