@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bibweave.operators import compare, labels, linkage
 from bibweave.plans import curated
+from bibweave.session import persisted
 from bibweave.sources.snapshots import aligned
 
 
@@ -100,3 +101,13 @@ def test_rows_are_aligned_without_json(spark):
     out = aligned(df, want)
     assert out.dtypes == by_json.dtypes and out.collect() == by_json.collect()
     assert "json" not in plan(aligned(df.drop("n", "t"), want)).lower()
+
+
+def test_what_a_written_step_shuffled_is_gone(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).endswith(".data")}
+
+    before = shuffled()
+    made = persisted(spark.range(1000).repartition(3, "id"), "rows")
+    assert shuffled() <= before and made.count() == 1000
